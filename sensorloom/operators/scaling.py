@@ -52,7 +52,7 @@ def class_weights(df: DataFrame, label: str = "label", *, balanced: bool = True)
 
 def with_class_weight(df: DataFrame, label: str = "label", out: str = "weight", *, balanced: bool = True) -> DataFrame:
     weights = class_weights(df, label, balanced=balanced).select(label, F.col("weight").alias(out))
-    return df.join(weights, label)
+    return df.join(F.broadcast(weights), label)  # one row per class
 
 
 def recalibrate(df: DataFrame, mean_weight: float, std_weight: float, vector: str = "features") -> DataFrame:
