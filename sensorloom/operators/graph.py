@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sensorloom.operators.ordering import digest
 from sensorloom.schema import PHASES
 from sensorloom.session import materialise
 
@@ -163,7 +164,7 @@ def sample_neighbours(seeds: DataFrame, edges: DataFrame, keys: list[str], fanou
     for h, n in enumerate(fanout):
         drawn = edges.select(*keys, "src", "dst").distinct()
         if n >= 0:
-            w = W.partitionBy(*keys, "dst").orderBy(F.xxhash64("src", "dst", F.lit(seed + h)), "src")
+            w = W.partitionBy(*keys, "dst").orderBy(digest([F.col("src"), F.col("dst")], seed + h), "src")
             drawn = drawn.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).drop("__r")
         step = frontier.join(drawn, (frontier["node"] == drawn["dst"]) & _same(frontier, drawn, keys))
         step = step.select(*[frontier[k] for k in keys], "seed", F.lit(h).alias("hop"), "src", "dst")

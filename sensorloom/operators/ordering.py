@@ -17,6 +17,7 @@ from sensorloom.session import split_count
 BLOCK = "__block"
 RN = "__rn"
 BEFORE = "__before"
+HASH_BITS = 60
 
 
 def order_blocks(df: DataFrame, leading: Column, target_bytes: int | None = None) -> tuple[DataFrame, bool]:
@@ -32,16 +33,18 @@ def order_blocks(df: DataFrame, leading: Column, target_bytes: int | None = None
     fitted = QuantileDiscretizer(
         numBuckets=n, inputCol="__lead", outputCol=BLOCK, relativeError=min(0.01, 0.25 / n), handleInvalid="keep",
     ).fit(ranked)
-    return fitted.transform(ranked).withColumn(BLOCK, F.col(BLOCK).cast("int")).drop("__lead"), True
+    # Missing values sort first, so they get a block of their own before all others.
+    block = F.when(F.col("__lead").isNull(), -1).otherwise(F.col(BLOCK).cast("int"))
+    return fitted.transform(ranked).withColumn(BLOCK, block).drop("__lead"), True
 
 
 def hash_blocks(df: DataFrame, hashed: str, target_bytes: int | None = None) -> tuple[DataFrame, bool]:
-    """Blocks for an order by a 64-bit hash: its top bits, so no statistics are needed."""
+    """Blocks for an order by :func:`hash_order`: its top bits, so no statistics are needed."""
     n = split_count(df, target_bytes)
     if n == 1:
         return df, False
     bits = (n - 1).bit_length()
-    return df.withColumn(BLOCK, F.shiftright(F.col(hashed), 64 - bits).cast("int")), True
+    return df.withColumn(BLOCK, F.shiftright(F.col(hashed), HASH_BITS - bits).cast("int")), True
 
 
 def _offsets(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
@@ -110,5 +113,11 @@ def running_before(
 
 
 def hash_order(df: DataFrame, key: list[str], seed: int, out: str = "__h") -> DataFrame:
-    """A reproducible shuffle order: a seeded hash of the row key."""
-    return df.withColumn(out, F.xxhash64(*key, F.lit(seed)))
+    """A reproducible shuffle order: 60 bits of a seeded digest of the row key. MD5 rather than a
+    Spark-only hash, so any engine can repeat the split."""
+    return df.withColumn(out, digest([F.col(k) for k in key], seed))
+
+
+def digest(parts: list[Column], seed: int) -> Column:
+    text = F.concat_ws("|", *[p.cast("string") for p in parts], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, HASH_BITS // 4), 16, 10).cast("long")

@@ -76,50 +76,77 @@ def polyphase_taps(up: int, down: int) -> np.ndarray:
     return taps / taps.sum() * up
 
 
-def _poly_chunk(x: np.ndarray, start: int, lo: int, hi: int, up: int, down: int) -> tuple[np.ndarray, np.ndarray]:
-    """Outputs whose centre lies in source positions [lo, hi); ``x`` begins at ``start``."""
+def _poly_points(x: np.ndarray, start: int, lo: int, hi: int, up: int, down: int) -> tuple[np.ndarray, np.ndarray]:
+    """Outputs centred on source positions [lo, hi); ``x`` begins at source position ``start``."""
     taps = polyphase_taps(up, down)
     half = len(taps) // 2
     out = np.arange(-(-lo * up // down), -(-hi * up // down))
     at = out * down
     first = -((half - at) // up)  # ceil((at - half) / up)
-    width = 2 * half // up + 1
-    src = first[:, None] + np.arange(width)[None, :]
+    src = first[:, None] + np.arange(2 * half // up + 1)[None, :]
     tap = at[:, None] - src * up + half
     inside = (src >= start) & (src < start + len(x)) & (tap >= 0) & (tap < len(taps))
     gathered = np.where(inside, x[np.clip(src - start, 0, len(x) - 1)], 0.0)
     return out, (gathered * np.where(inside, taps[np.clip(tap, 0, len(taps) - 1)], 0.0)).sum(axis=1)
 
 
-def polyphase(
-    series: DataFrame, cols: list[str], *, key: str = "subject_id", pos: str = "pos", up: str = "up", down: str = "down",
-    chunk: int = 16384, most_down: int = MAX_RATIO,
+def _linear_points(x: np.ndarray, start: int, lo: int, hi: int, n: int, target: int) -> tuple[np.ndarray, np.ndarray]:
+    """Points of the target grid that fall on source positions [lo, hi)."""
+    if n == 1 or target == 1:
+        out = np.arange(target if n == 1 else int(lo == 0))
+        return out, np.full(len(out), x[0])
+    ends = [-(-p * (target - 1) // (n - 1)) for p in (lo, hi)]
+    out = np.arange(ends[0], target if hi == n else ends[1])
+    j = out * (n - 1) // (target - 1)
+    share = (out * (n - 1) - j * (target - 1)) / (target - 1)
+    after = x[np.clip(j + 1 - start, 0, len(x) - 1)]
+    return out, x[j - start] + share * (after - x[j - start])
+
+
+def chunked(
+    series: DataFrame, cols: list[str], *, key: str = "subject_id", pos: str = "pos", chunk: int = 16384, most_down: int = MAX_RATIO,
 ) -> DataFrame:
-    """FIR rate change by up/down (reduced, one ratio per key), zeros outside the series.
+    """Change the rate of each key by its ``method`` column: polyphase (up/down), linear (n/target)
+    or same.
 
-    Each chunk computes the outputs centred in it, from its rows and a halo of ten filter periods.
+    Each chunk computes the outputs centred in it, from its rows and a halo of ten filter periods,
+    so one shuffle serves all methods and group sizes are bounded.
     """
     halo = TAPS_PER_SIDE * max(1, most_down) + 1
-    chunk = max(chunk, halo)
-    key_type = series.schema[key]
-    schema = T.StructType([key_type, T.StructField(pos, T.LongType()), *[T.StructField(c, T.DoubleType()) for c in cols]])
+    size = max(chunk, halo)
+    schema = T.StructType([series.schema[key], T.StructField(pos, T.LongType()), *[T.StructField(c, T.DoubleType()) for c in cols]])
+    names = [f.name for f in schema.fields]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(pos, ignore_index=True)
         p = pdf[pos].to_numpy()
-        lo = int(pdf[CHUNK].iat[0]) * chunk
-        hi = min(lo + chunk, int(p[-1]) + 1)
-        if hi <= lo:
-            return pd.DataFrame({f.name: [] for f in schema.fields})
-        u, d = int(pdf[up].iat[0]), int(pdf[down].iat[0])
+        lo = int(pdf[CHUNK].iat[0]) * size
+        hi = min(lo + size, int(p[-1]) + 1)
+        if hi <= lo:  # only halo rows
+            return pd.DataFrame({key: pdf[key].iloc[:0], pos: np.empty(0, "int64"), **{c: np.empty(0) for c in cols}})[names]
+        method = pdf["method"].iat[0]
         data = {}
         for c in cols:
-            data[pos], data[c] = _poly_chunk(pdf[c].to_numpy(dtype=np.float64), int(p[0]), lo, hi, u, d)
-        data[key] = pdf[key].iat[0]
-        return pd.DataFrame(data)[[f.name for f in schema.fields]]
+            x = pdf[c].to_numpy(dtype=np.float64)
+            if method == "polyphase":
+                data[pos], data[c] = _poly_points(x, int(p[0]), lo, hi, int(pdf["up"].iat[0]), int(pdf["down"].iat[0]))
+            elif method == "linear":
+                data[pos], data[c] = _linear_points(x, int(p[0]), lo, hi, int(pdf["n"].iat[0]), int(pdf["target"].iat[0]))
+            else:
+                core = (p >= lo) & (p < hi)
+                data[pos], data[c] = p[core], x[core]
+        return pd.DataFrame({key: pdf[key].iat[0], **data})[names]
+
+    return with_halo(series, size, halo, pos).groupBy(key, CHUNK).applyInPandas(run, schema)
+
 
-    picked = with_halo(series.select(key, pos, up, down, *cols), chunk, halo, pos)
-    return picked.groupBy(key, CHUNK).applyInPandas(run, schema)
+def polyphase(series: DataFrame, cols: list[str], up: int, down: int, **kw) -> DataFrame:
+    """FIR rate change of every key by the reduced ratio up/down, zeros outside the series."""
+    g = math.gcd(up, down)
+    up, down = up // g, down // g
+    method = "same" if up == down else "polyphase"
+    rows = series.withColumns({"up": F.lit(up), "down": F.lit(down), "n": F.lit(0), "target": F.lit(0), "method": F.lit(method)})
+    return chunked(rows, cols, most_down=-(-down // up), **kw)
 
 
 @F.pandas_udf(T.LongType())
@@ -136,15 +163,12 @@ def ratios(per_key: DataFrame, n: str = "n", target: str = "target") -> DataFram
     return g.withColumn("method", method)
 
 
-def to_length(series: DataFrame, cols: list[str], targets: DataFrame, *, key: str = "subject_id", pos: str = "pos") -> DataFrame:
+def to_length(series: DataFrame, cols: list[str], targets: DataFrame, *, key: str = "subject_id", pos: str = "pos",
+              chunk: int = 16384) -> DataFrame:
     """Resample each key to ``targets.target`` samples by the method its ratio calls for."""
     plan = ratios(lengths(series, key).join(targets.select(key, "target"), key))
     rows = series.select(key, pos, *cols).join(plan, key)
-    as_double = [F.col(c).cast("double").alias(c) for c in cols]
-    same = rows.where("method = 'same'").select(key, pos, *as_double)
-    straight = linear(rows.where("method = 'linear'"), cols, F.col("target"), key=key, pos=pos)
-    poly = polyphase(rows.where("method = 'polyphase'"), cols, key=key, pos=pos)
-    return same.unionByName(straight).unionByName(poly)
+    return chunked(rows, cols, key=key, pos=pos, chunk=chunk)
 
 
 def expand_to_grid(series: DataFrame, cols: list[str], rate: int, *, keys: list[str] = ["subject_id"], pos: str = "pos",

@@ -6,8 +6,6 @@ runs a batched real FFT per channel. Everything around it stays in the JVM.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -54,27 +52,24 @@ def _top_bin(mag: np.ndarray, total: np.ndarray) -> np.ndarray:
     return (mag[:, 1:] >= (peak - slack)[:, None]).argmax(axis=1) + 1
 
 
+# Plain (not iterator) functions: the calls for all channels then share one Python exchange.
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
-def magnitudes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def magnitudes(batch: pd.Series) -> pd.Series:
     """One-sided magnitude spectrum of equally long windows."""
-    for batch in batches:
-        yield pd.Series(list(_power(batch)) if len(batch) else [], dtype=object)
+    return pd.Series(list(_power(batch)) if len(batch) else [], dtype=object)
 
 
 @F.pandas_udf(SPECTRUM_TYPE)
-def spectrum(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def spectrum(batch: pd.Series) -> pd.DataFrame:
     """Dominant bin without DC (lowest on a tie), total power and base-2 entropy of the power."""
-    for batch in batches:
-        if not len(batch):
-            yield pd.DataFrame({"bin": [], "total": [], "entropy": []})
-            continue
-        mag = _power(batch)
-        psd = mag**2
-        total = psd.sum(axis=1)
-        share = psd / np.where(total > 0, total, 1.0)[:, None]
-        bits = np.log2(share, out=np.zeros_like(share), where=share > 0)
-        top = _top_bin(mag, total)
-        yield pd.DataFrame({"bin": top.astype("int32"), "total": total, "entropy": -(share * bits).sum(axis=1)})
+    if not len(batch):
+        return pd.DataFrame({"bin": [], "total": [], "entropy": []})
+    mag = _power(batch)
+    psd = mag**2
+    total = psd.sum(axis=1)
+    share = psd / np.where(total > 0, total, 1.0)[:, None]
+    bits = np.log2(share, out=np.zeros_like(share), where=share > 0)
+    return pd.DataFrame({"bin": _top_bin(mag, total).astype("int32"), "total": total, "entropy": -(share * bits).sum(axis=1)})
 
 
 def dominant_frequency(bin_: Column, fs: float, size: int) -> Column:

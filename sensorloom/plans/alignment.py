@@ -75,8 +75,8 @@ SELECT g.subject_id, i AS pos, round(sum(s.x * t.h), 6) AS x
 FROM grid g JOIN sig_pos s ON s.subject_id = g.subject_id AND abs(g.i * 2 - s.pos * 3) <= 30
 JOIN taps t ON t.k = g.i * 2 - s.pos * 3 GROUP BY g.subject_id, i"""))
 def resample_poly(spark, sf_dir):
-    samples = B.sig_pos(spark, sf_dir).select("subject_id", "pos", "x").withColumns({"up": F.lit(3), "down": F.lit(2)})
-    return resample.polyphase(samples, ["x"], most_down=2).withColumn("x", F.round("x", 6))
+    samples = B.sig_pos(spark, sf_dir).select("subject_id", "pos", "x")
+    return resample.polyphase(samples, ["x"], 3, 2).withColumn("x", F.round("x", 6))
 
 
 _PHASE_FS = 0.01

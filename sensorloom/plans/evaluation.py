@@ -331,12 +331,19 @@ def topk_importance(spark, sf_dir):
 # --- Splits ------------------------------------------------------------------------------------
 
 
-@query("split_stratified")
+def _digest(text: str) -> str:
+    return f"substr(md5({text} || '|42'), 1, 15)"
+
+
+@query("split_stratified", with_ctes([B.FEAT_SQL], f"""
+SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY {_digest('vec_id')}, vec_id)
+                      <= round(count(*) OVER (PARTITION BY label) * 0.2) AS is_test FROM feat"""))
 def split_stratified(spark, sf_dir):
     return splits.stratified(B.feat(spark, sf_dir).select("vec_id", "label"), "label", ["vec_id"])
 
 
-@query("split_kfold")
+@query("split_kfold", with_ctes([B.FEAT_SQL], f"""
+SELECT vec_id, label, CAST((row_number() OVER (PARTITION BY label ORDER BY {_digest('vec_id')}, vec_id) - 1) % 5 AS INTEGER) AS fold FROM feat"""))
 def split_kfold(spark, sf_dir):
     return splits.kfold(B.feat(spark, sf_dir).select("vec_id", "label"), "label", ["vec_id"])
 
@@ -351,7 +358,8 @@ def split_loso(spark, sf_dir):
     return counts.select(F.col("subject_id").alias("held_out"), (total - F.col("n_test")).alias("n_train"), "n_test")
 
 
-@query("split_random_mask")
+@query("split_random_mask", f"""
+SELECT event_id, row_number() OVER (ORDER BY {_digest('event_id')}, event_id) <= floor(count(*) OVER () * 0.8) AS is_train FROM events""")
 def split_random_mask(spark, sf_dir):
     return splits.random_mask(B.sig(spark, sf_dir).select("event_id"), ["event_id"])
 

@@ -90,7 +90,15 @@ def gr_channel_gcn(spark, sf_dir):
                       F.round(F.get("group_0", F.lit(1)), 6).alias("g0_label"), F.round(F.get("group_1", F.lit(0)), 6).alias("g1_xl"))
 
 
-@query("gr_neighbor_sample")
+_SAMPLE = """e AS (SELECT DISTINCT subject_id, src, dst FROM edges),
+h0 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subject_id, dst ORDER BY substr(md5(src || '|' || dst || '|42'), 1, 15), src) AS r FROM e) WHERE r <= 1),
+h1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subject_id, dst ORDER BY substr(md5(src || '|' || dst || '|43'), 1, 15), src) AS r FROM e) WHERE r <= 10)"""
+
+
+@query("gr_neighbor_sample", with_ctes([*BASE, _SAMPLE], """
+SELECT subject_id, dst AS seed, 0 AS hop, src, dst FROM h0
+UNION ALL SELECT a.subject_id, a.dst, 1, b.src, b.dst FROM h0 a JOIN h1 b ON a.subject_id = b.subject_id AND b.dst = a.src"""))
 def gr_neighbor_sample(spark, sf_dir):
+    """One neighbour in the first hop (a chain has two at most), up to ten in the second."""
     nodes, edges = nodes_and_edges(spark, sf_dir)
-    return graph.sample_neighbours(nodes, edges, KEYS, [10, 10])
+    return graph.sample_neighbours(nodes, edges, KEYS, [1, 10])

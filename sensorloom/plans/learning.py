@@ -163,7 +163,7 @@ def ml_importances(spark, sf_dir):
     return importance.top(named, 15)
 
 
-@query("src_model_store")
+@query("src_model_store", "SELECT vec_id, TRUE AS same FROM embeddings")
 def src_model_store(spark, sf_dir):
     """Predictions of a stored and reloaded model beside those of the original."""
     feat = B.feat(spark, sf_dir)
@@ -173,7 +173,7 @@ def src_model_store(spark, sf_dir):
     again = learn.load(root, "general")
     a = model.score(feat, "vec_id").select("vec_id", F.col("prediction").alias("before"))
     b = again.score(feat, "vec_id").select("vec_id", F.col("prediction").alias("after"))
-    return a.join(b, "vec_id").withColumn("same", F.col("before") == F.col("after"))
+    return a.join(b, "vec_id").select("vec_id", (F.col("before") == F.col("after")).alias("same"))
 
 
 @query("gr_node_classify")

@@ -74,7 +74,7 @@ def src_comparison_ttl(spark, sf_dir):
     newest = history.newest(df, 1)
     docs = stores.document(newest, "tracking_id", F.col("captured_at"), ["seq"])
     out = stores.comparison(docs, F.lit("2000-01-01").cast("timestamp"), 90 * 86400, "tracking_id")
-    return stores.decode(out, "seq long", "tracking_id").join(out.select("tracking_id", "served_from"), "tracking_id").select("tracking_id", "seq", "served_from")
+    return stores.decode(out, "seq long", "tracking_id").select("tracking_id", "seq", "served_from")
 
 
 @query("src_history_append", with_ctes([B.HIST_SQL], """

@@ -14,7 +14,21 @@ from sensorloom.streaming import logs, rate_limit, run, score, windows
 LIMIT, PER_SECONDS = 3, 3600.0
 
 
-@query("st_rate_limit")
+# Admission as a recursion over admitted events: the next one is the first that finds the oldest of
+# the last three at least an hour old.
+_LIMIT_SQL = """WITH RECURSIVE ev AS (
+  SELECT event_type, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events),
+r AS (
+  SELECT event_type, rn, t AS a3, NULL::BIGINT AS a2, NULL::BIGINT AS a1 FROM ev WHERE rn = 1
+  UNION ALL
+  SELECT event_type, rn, t, a3, a2 FROM (
+    SELECT e.event_type, e.rn, e.t, r.a3, r.a2, row_number() OVER (PARTITION BY r.event_type ORDER BY e.rn) AS q
+    FROM r JOIN ev e ON e.event_type = r.event_type AND e.rn > r.rn AND (r.a1 IS NULL OR e.t >= r.a1 + 3600000000))
+  WHERE q = 1)
+SELECT ev.event_type, ev.event_id, r.rn IS NOT NULL AS allowed FROM ev LEFT JOIN r ON r.event_type = ev.event_type AND r.rn = ev.rn"""
+
+
+@query("st_rate_limit", _LIMIT_SQL)
 def st_rate_limit(spark, sf_dir):
     """Three admitted events per hour and event kind."""
     events = run.read_table(spark, sf_dir, "events").select("event_type", "event_id", "ts")
@@ -22,7 +36,7 @@ def st_rate_limit(spark, sf_dir):
     return run.drain(stream, "limit").select("event_type", "event_id", "allowed")
 
 
-@query("st_rate_limit_batch")
+@query("st_rate_limit_batch", _LIMIT_SQL)
 def st_rate_limit_batch(spark, sf_dir):
     events = B.table(spark, sf_dir, "events").select("event_type", "event_id", "ts")
     out = rate_limit.limit_batch(events, "event_type", "ts", "event_id", limit=LIMIT, window_sec=PER_SECONDS)

@@ -210,7 +210,15 @@ def sig_local_maxima(spark, sf_dir):
         "subject_id", "window_id", F.col("p").cast("long").alias("p"), "h")
 
 
-@query("sig_peak_suppress")
+_GREEDY_SQL = """start AS (SELECT subject_id, window_id, list({'h': h, 'p': p} ORDER BY h DESC, p DESC) AS rem FROM peaks GROUP BY subject_id, window_id),
+greedy AS (
+  SELECT subject_id, window_id, [rem[1].p] AS kept, [x FOR x IN rem IF abs(x.p - rem[1].p) >= 3] AS rem FROM start
+  UNION ALL
+  SELECT subject_id, window_id, list_append(kept, rem[1].p), [x FOR x IN rem IF abs(x.p - rem[1].p) >= 3] FROM greedy WHERE len(rem) > 0)"""
+
+
+@query("sig_peak_suppress", with_ctes([*B.SIG4_WIN_CTES, PEAKS_SQL, _GREEDY_SQL], """
+SELECT subject_id, window_id, CAST(unnest(kept) AS INTEGER) AS p FROM greedy WHERE len(rem) = 0""").replace("WITH ", "WITH RECURSIVE ", 1))
 def sig_peak_suppress(spark, sf_dir):
     kept = hrv.suppress(F.col("peaks"), 3)
     return _sig4_peaks(spark, sf_dir).select("subject_id", "window_id", F.explode_outer(kept).alias("p")).where("p IS NOT NULL")

@@ -52,7 +52,8 @@ def current(versions: DataFrame, key: str = ID) -> DataFrame:
 
 
 def decode(documents: DataFrame, schema: str, key: str = ID) -> DataFrame:
-    return documents.select(key, "version", F.from_json("data", schema).alias("d")).select(key, "version", "d.*")
+    kept = [c for c in documents.columns if c != "data"]
+    return documents.select(*kept, F.from_json("data", schema).alias("d")).select(*kept, "d.*")
 
 
 def save_documents(documents: DataFrame, path: str) -> None:

@@ -53,11 +53,11 @@ def limit_batch(
     t = requests.withColumn("__t", F.unix_micros(F.col(ts).cast("timestamp")))
     order = ["__t", request_id]
     blocks, blocked = ordering.order_blocks(t, F.col("__t"), target_bytes)
-    lagged = ordering.previous_value(blocks, [key], order, {"__t": "__before"}, blocked=blocked)
-    starts = lagged.withColumn("__new", F.when(F.col("__t") - F.col("__before") < window, 0).otherwise(1).cast("long"))
+    lagged = ordering.previous_value(blocks, [key], order, {"__t": "__prev"}, blocked=blocked)
+    starts = lagged.withColumn("__new", F.when(F.col("__t") - F.col("__prev") < window, 0).otherwise(1).cast("long"))
     blocks, blocked = ordering.order_blocks(starts, F.col("__t"), target_bytes)
     counted = ordering.running_before(blocks, [key], [F.col(c) for c in order], "__new", "__past", blocked=blocked)
-    session = counted.withColumn("__session", F.col("__past") + F.col("__new")).drop("__past", "__new", "__before")
+    session = counted.withColumn("__session", F.col("__past") + F.col("__new")).drop("__past", "__new", "__prev")
     fields = [f for f in requests.schema.fields]
     schema = T.StructType([*fields, T.StructField("allowed", T.BooleanType())])
 
