@@ -27,21 +27,22 @@ def channel_groups(vector: Column, widths: list[int]) -> Column:
     return F.array(*[F.slice(vector, s, w) for s, w in zip(starts, widths)])
 
 
-def manual_vector(readings: Column) -> Column:
-    """Window features made up from one reading per channel."""
-    def spread(share: float) -> Column:
-        return F.transform(readings, lambda v: (F.abs(v) + MANUAL_EPSILON) * share)
+def manual_vector(readings: list[Column]) -> Column:
+    """Window features made up from one reading per channel. Plain arithmetic on the given columns,
+    so the whole vector is generated code."""
+    def spread(share: float) -> list[Column]:
+        return [(F.abs(v) + MANUAL_EPSILON) * share for v in readings]
 
-    def scaled(share: float) -> Column:
-        return F.transform(readings, lambda v: v * share)
+    def scaled(share: float) -> list[Column]:
+        return [v * share for v in readings]
 
-    flat = F.transform(readings, lambda v: F.lit(0.0))
+    flat = [F.lit(0.0)] * len(readings)
     by_stat = [
         readings, spread(MANUAL_STD_SHARE), scaled(MANUAL_MIN_SHARE), scaled(MANUAL_MAX_SHARE),
         readings, spread(MANUAL_IQR_SHARE), flat, flat,
     ]
-    resting = F.array(*[F.lit(v) for v in MANUAL_HRV])
-    return F.concat(*by_stat, *[flat for _ in SPECTRAL_STATS], resting)
+    spectral = flat * len(SPECTRAL_STATS)
+    return F.array(*[v for stat in by_stat for v in stat], *spectral, *[F.lit(v) for v in MANUAL_HRV])
 
 
 def named(vector: Column, names: list[str]) -> Column:

@@ -18,18 +18,14 @@ def window_features(
 ) -> DataFrame:
     """(keys, window_id, label, features): statistics of every channel, then spectra, then HRV.
 
-    Moments, quartiles, the peak gate, the label vote and the sample arrays come from the same
-    aggregation; FFT and HRV are narrow steps on its rows.
+    One aggregation collects each window's arrays and votes on its label; statistics, FFT and HRV are
+    narrow steps on its rows.
     """
-    aggs = [
-        *stats.time_aggregates(channels, constant_kurtosis),
-        F.percentile(F.col(f"`{ecg}`").cast("double"), hrv.GATE_PERCENTILE).alias("__gate"),
-        win.majority(F.col("label")).alias("label"),
-    ]
-    df = spectral.window_arrays(samples, spec, channels, keys=keys, extra=aggs)
-    df = stats.finish_quartiles(df, channels)
+    vote = win.majority(F.col("label")).alias("label")
+    df = stats.window_arrays(samples, spec, channels, keys=keys, extra=[vote])
+    df = stats.with_time_stats(df, channels, spec.size, constant_kurtosis=constant_kurtosis, gates={ecg: hrv.GATE_PERCENTILE})
     df = spectral.spectral_stats(df, channels, fs, spec.size)
-    df = hrv.hrv_features(df, ecg, F.col("__gate"), fs, distance)
+    df = hrv.hrv_features(df, ecg, F.col(f"`{stats.stat_name(ecg, '_gate')}`"), fs, distance)
     return df.select(*keys, "window_id", "label", sanitize_features(stat_vector(channels)).alias("features"))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 
 from sensorloom.operators.chunks import CHUNK, with_halo
 from sensorloom.schema import FILTER_BANK, FILTER_ORDER, MIN_FILTER_SAMPLES, SAMPLE_RATE_HZ
+from sensorloom.session import spread
 
 DECAY = 1e-10  # impulse response is cut where it has decayed to this
 CHUNK_SECONDS = 60
@@ -61,9 +62,13 @@ def butterworth(low: float | None, high: float, fs: float, order: int = FILTER_O
     return Response(np.fft.irfft(spectrum, n)[:length], 3 * (2 * sections + 1))
 
 
-def _convolve(x: np.ndarray, taps: np.ndarray) -> np.ndarray:
-    n = 1 << (len(x) + len(taps) - 1).bit_length()
-    return np.fft.irfft(np.fft.rfft(x, n) * np.fft.rfft(taps, n), n)[: len(x)]
+def _causal(x: np.ndarray, taps: np.ndarray) -> np.ndarray:
+    """Filter ``x`` as if its first value had gone on forever before it."""
+    near = taps[: len(x)]
+    n = 1 << (len(x) + len(near) - 1).bit_length()
+    y = np.fft.irfft(np.fft.rfft(x, n) * np.fft.rfft(near, n), n)[: len(x)]
+    y[: len(taps)] += x[0] * (taps.sum() - np.cumsum(taps))[: len(x)]
+    return y
 
 
 def zero_phase(x: np.ndarray, response: Response, at_start: bool = True, at_end: bool = True) -> np.ndarray:
@@ -72,9 +77,7 @@ def zero_phase(x: np.ndarray, response: Response, at_start: bool = True, at_end:
     left = 2 * x[0] - x[pad:0:-1] if at_start else x[:0]
     right = 2 * x[-1] - x[-2 : -pad - 2 : -1] if at_end else x[:0]
     body = np.concatenate([left, x, right])
-    rest = len(taps)
-    forward = _convolve(np.concatenate([np.full(rest, body[0]), body]), taps)[rest:]
-    backward = _convolve(np.concatenate([np.full(rest, forward[-1]), forward[::-1]]), taps)[rest:][::-1]
+    backward = _causal(_causal(body, taps)[::-1], taps)[::-1]
     return backward[len(left) : len(left) + len(x)]
 
 
@@ -104,8 +107,8 @@ def filter_channels(
                 pdf[c] = zero_phase(x, r, p[0] == 0, at_end).astype(pdf[c].dtype)
         return pdf.loc[core, columns]
 
-    grouped = with_halo(series, size, halo, pos).groupBy(key, CHUNK)
-    return grouped.applyInPandas(run, series.schema)
+    cut = spread(with_halo(series, size, halo, pos), [key, CHUNK])
+    return cut.groupBy(key, CHUNK).applyInPandas(run, series.schema)
 
 
 def bandpass(series: DataFrame, channel: str, low: float, high: float, fs: float, **kw) -> DataFrame:

@@ -286,6 +286,7 @@ def train_eval(
 ) -> tuple[Fitted, DataFrame, DataFrame]:
     """Split, fit, evaluate, cross-validate. Returns the model, one metrics row, the scored test rows."""
     name = name if name in CATALOGUE else DEFAULT
+    rows = materialise(rows, "rows")
     parted = materialise(splits.stratified(rows, label, [row_id], test_size=test_size), "split")
     train, test = parted.where(~F.col("is_test")), parted.where("is_test")
     width = train.agg(F.max(F.size("features"))).first()[0]

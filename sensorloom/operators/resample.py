@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sensorloom.operators.chunks import CHUNK, with_halo
+from sensorloom.session import spread
 
 GRID_HZ = 700
 KAISER_BETA = 5.0
@@ -66,7 +66,6 @@ def linear(series: DataFrame, cols: list[str], target: Column, *, key: str = "su
     return points.select(key, F.col("__i").alias(pos), *[v.alias(c) for c, v in value.items()])
 
 
-@lru_cache(maxsize=64)
 def polyphase_taps(up: int, down: int) -> np.ndarray:
     """Kaiser-windowed sinc low-pass at the narrower of the two bands, unit gain at DC times up."""
     widest = max(up, down)
@@ -76,9 +75,8 @@ def polyphase_taps(up: int, down: int) -> np.ndarray:
     return taps / taps.sum() * up
 
 
-def _poly_points(x: np.ndarray, start: int, lo: int, hi: int, up: int, down: int) -> tuple[np.ndarray, np.ndarray]:
+def _poly_points(x: np.ndarray, start: int, lo: int, hi: int, up: int, down: int, taps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Outputs centred on source positions [lo, hi); ``x`` begins at source position ``start``."""
-    taps = polyphase_taps(up, down)
     half = len(taps) // 2
     out = np.arange(-(-lo * up // down), -(-hi * up // down))
     at = out * down
@@ -116,6 +114,7 @@ def chunked(
     size = max(chunk, halo)
     schema = T.StructType([series.schema[key], T.StructField(pos, T.LongType()), *[T.StructField(c, T.DoubleType()) for c in cols]])
     names = [f.name for f in schema.fields]
+    known: dict[tuple[int, int], np.ndarray] = {}  # taps of the ratios a task has met
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(pos, ignore_index=True)
@@ -125,11 +124,15 @@ def chunked(
         if hi <= lo:  # only halo rows
             return pd.DataFrame({key: pdf[key].iloc[:0], pos: np.empty(0, "int64"), **{c: np.empty(0) for c in cols}})[names]
         method = pdf["method"].iat[0]
+        ratio = int(pdf["up"].iat[0]), int(pdf["down"].iat[0])
+        if method == "polyphase" and ratio not in known:
+            known.clear()
+            known[ratio] = polyphase_taps(*ratio)
         data = {}
         for c in cols:
             x = pdf[c].to_numpy(dtype=np.float64)
             if method == "polyphase":
-                data[pos], data[c] = _poly_points(x, int(p[0]), lo, hi, int(pdf["up"].iat[0]), int(pdf["down"].iat[0]))
+                data[pos], data[c] = _poly_points(x, int(p[0]), lo, hi, *ratio, known[ratio])
             elif method == "linear":
                 data[pos], data[c] = _linear_points(x, int(p[0]), lo, hi, int(pdf["n"].iat[0]), int(pdf["target"].iat[0]))
             else:
@@ -137,7 +140,7 @@ def chunked(
                 data[pos], data[c] = p[core], x[core]
         return pd.DataFrame({key: pdf[key].iat[0], **data})[names]
 
-    return with_halo(series, size, halo, pos).groupBy(key, CHUNK).applyInPandas(run, schema)
+    return spread(with_halo(series, size, halo, pos), [key, CHUNK]).groupBy(key, CHUNK).applyInPandas(run, schema)
 
 
 def polyphase(series: DataFrame, cols: list[str], up: int, down: int, **kw) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sensorloom.operators import windows as win
+from sensorloom.operators.stats import total, window_arrays
 
 TIE = 1e-9
 NOISE = 1e-12
@@ -24,31 +24,16 @@ SPECTRUM_TYPE = T.StructType([
 ])
 
 
-def ordered_samples(channels: list[str], pos: str = "pos") -> Column:
-    """Collect a window's rows; bounded by the window size."""
-    return F.array_sort(F.collect_list(F.struct(F.col(pos), *[F.col(f"`{c}`").cast("double").alias(c) for c in channels])))
-
-
-def window_arrays(
-    samples: DataFrame, spec: win.WindowSpec, channels: list[str], *, keys: list[str] = ["subject_id"],
-    extra: list[Column] | None = None,
-) -> DataFrame:
-    """One row per complete window with one ordered ``array<double>`` per channel."""
-    grouped = win.aggregate(samples, spec, [ordered_samples(channels).alias("__rows"), *(extra or [])], keys=keys)
-    # A lambda, not a field access: the optimizer copies field accesses into every later expression.
-    return grouped.withColumns({c: F.transform("__rows", lambda r: r.getField(c)) for c in channels}).drop("__rows")
-
-
 def _power(batch: pd.Series) -> np.ndarray:
     return np.abs(np.fft.rfft(np.stack(batch.to_numpy()), axis=1))
 
 
-def _top_bin(mag: np.ndarray, total: np.ndarray) -> np.ndarray:
+def _top_bin(mag: np.ndarray, power: np.ndarray) -> np.ndarray:
     """Largest bin above DC. Bins equal up to rounding noise tie, and the lowest of them wins."""
     if mag.shape[1] < 2:
         return np.zeros(len(mag), dtype=int)
     peak = mag[:, 1:].max(axis=1)
-    slack = np.maximum(TIE * peak, NOISE * np.sqrt(total))
+    slack = np.maximum(TIE * peak, NOISE * np.sqrt(power))
     return (mag[:, 1:] >= (peak - slack)[:, None]).argmax(axis=1) + 1
 
 
@@ -66,10 +51,10 @@ def spectrum(batch: pd.Series) -> pd.DataFrame:
         return pd.DataFrame({"bin": [], "total": [], "entropy": []})
     mag = _power(batch)
     psd = mag**2
-    total = psd.sum(axis=1)
-    share = psd / np.where(total > 0, total, 1.0)[:, None]
+    power = psd.sum(axis=1)
+    share = psd / np.where(power > 0, power, 1.0)[:, None]
     bits = np.log2(share, out=np.zeros_like(share), where=share > 0)
-    return pd.DataFrame({"bin": _top_bin(mag, total).astype("int32"), "total": total, "entropy": -(share * bits).sum(axis=1)})
+    return pd.DataFrame({"bin": _top_bin(mag, power).astype("int32"), "total": power, "entropy": -(share * bits).sum(axis=1)})
 
 
 def dominant_frequency(bin_: Column, fs: float, size: int) -> Column:
@@ -78,9 +63,6 @@ def dominant_frequency(bin_: Column, fs: float, size: int) -> Column:
 
 def energy(samples: Column, size: int) -> Column:
     """Sum of squared one-sided magnitudes, from the samples alone."""
-    def total(values: Column) -> Column:
-        return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
-
     squares = total(F.transform(samples, lambda v: v * v)) * size
     dc = F.pow(total(samples), 2)
     if size % 2:
@@ -101,9 +83,9 @@ def energy_aggregate(x: Column, pos_in_window: Column, size: int) -> Column:
 
 def entropy(psd: Column) -> Column:
     """Base-2 entropy of a power array, 0 for silence: log2(T) - sum(v * log2 v) / T."""
-    total = F.aggregate(psd, F.lit(0.0), lambda a, v: a + v)
+    power = total(psd)
     weighted = F.aggregate(psd, F.lit(0.0), lambda a, v: a + F.when(v > 0, v * F.log2(v)).otherwise(0.0))
-    return F.when(total == 0, F.lit(0.0)).otherwise(F.log2(total) - weighted / total)
+    return F.when(power == 0, F.lit(0.0)).otherwise(F.log2(power) - weighted / power)
 
 
 def spectral_stats(arrays: DataFrame, channels: list[str], fs: float, size: int) -> DataFrame:

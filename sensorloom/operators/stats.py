@@ -1,4 +1,8 @@
-"""Time-domain statistics per window and channel."""
+"""Time-domain statistics per window and channel.
+
+A window's samples are collected once, as one bounded array per channel; statistics are array
+expressions on it. That moves each sample once and keeps no separate buffer per statistic.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +12,6 @@ from pyspark.sql import functions as F
 from sensorloom.operators import windows as win
 from sensorloom.schema import TIME_STATS
 
-QUARTILES = [0.25, 0.5, 0.75]
 CONSTANT_KURTOSIS = -3.0  # batch convention for a channel without variance
 CONSTANT_KURTOSIS_SINGLE = 0.0  # single-window convention
 
@@ -17,38 +20,89 @@ def stat_name(channel: str, stat: str) -> str:
     return f"{channel}_{stat}"
 
 
-def time_aggregates(channels: list[str], constant_kurtosis: float = CONSTANT_KURTOSIS) -> list[Column]:
-    """Aggregate expressions; quartiles come as one array per channel (a single value map)."""
-    out = []
-    for c in channels:
-        x = F.col(f"`{c}`").cast("double")
-        exprs = {
-            "mean": F.avg(x), "std": F.stddev_pop(x), "min": F.min(x), "max": F.max(x),
-            "skew": F.coalesce(F.skewness(x), F.lit(0.0)),
-            "kurtosis": F.coalesce(F.kurtosis(x), F.lit(constant_kurtosis)),
-            "__q": F.percentile(x, F.array(*[F.lit(q) for q in QUARTILES])),
-        }
-        out += [e.alias(stat_name(c, s)) for s, e in exprs.items()]
-    return out
-
-
-def finish_quartiles(df: DataFrame, channels: list[str]) -> DataFrame:
-    """Turn the quartile arrays into median and interquartile range."""
+def ordered_samples(channels: list[str], pos: str = "pos") -> Column:
+    """Collect a window's rows in order; bounded by the window size."""
+    values = [F.col(f"`{c}`").cast("double").alias(c) for c in channels]
+    return F.array_sort(F.collect_list(F.struct(F.col(pos), *values)))
+
+
+def window_arrays(
+    samples: DataFrame, spec: win.WindowSpec, channels: list[str], *, keys: list[str] = ["subject_id"],
+    extra: list[Column] | None = None,
+) -> DataFrame:
+    """One row per complete window with one ordered ``array<double>`` per channel."""
+    grouped = win.aggregate(samples, spec, [ordered_samples(channels).alias("__rows"), *(extra or [])], keys=keys)
+    # A lambda, not a field access: the optimizer copies field accesses into every later expression.
+    return grouped.withColumns({c: F.transform("__rows", lambda r: r.getField(c)) for c in channels}).drop("__rows")
+
+
+def total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+
+
+def quantile(ordered: Column, q: float, size: int) -> Column:
+    """Linear interpolation between the two nearest of ``size`` sorted values."""
+    at = (size - 1) * q
+    lo = int(at)
+    low = F.get(ordered, F.lit(lo))
+    if at == lo:
+        return low
+    return low + (F.get(ordered, F.lit(lo + 1)) - low) * F.lit(at - lo)
+
+
+def with_time_stats(
+    arrays: DataFrame, channels: list[str], size: int, *, constant_kurtosis: float = CONSTANT_KURTOSIS,
+    gates: dict[str, float] | None = None,
+) -> DataFrame:
+    """Add eight statistics per channel. ``gates`` adds further quantiles as ``{channel}__gate``.
+
+    Every intermediate column is read at least twice, so the optimizer keeps it as a column instead
+    of copying it into the lambdas.
+    """
+    def name(c: str, s: str) -> Column:
+        return F.col(f"`{stat_name(c, s)}`")
+
+    df = arrays.withColumns({
+        **{stat_name(c, "mean"): total(F.col(f"`{c}`")) / size for c in channels},
+        **{stat_name(c, "__sorted"): F.sort_array(F.col(f"`{c}`")) for c in channels},
+    })
+    df = df.withColumns({stat_name(c, "__dev"): _deviations(c, name(c, "mean"), name(c, "__sorted"), size) for c in channels})
     cols = {}
     for c in channels:
-        q = F.col(f"`{stat_name(c, '__q')}`")
-        cols[stat_name(c, "median")] = F.get(q, F.lit(1))
-        cols[stat_name(c, "iqr")] = F.get(q, F.lit(2)) - F.get(q, F.lit(0))
-    return df.withColumns(cols).drop(*[stat_name(c, "__q") for c in channels])
+        ordered, dev = name(c, "__sorted"), name(c, "__dev")
+        cols[stat_name(c, "std")] = F.sqrt(total(F.transform(dev, lambda d: d * d)) / size)
+        cols[stat_name(c, "__m3")] = total(F.transform(dev, lambda d: d * d * d)) / size
+        cols[stat_name(c, "__m4")] = total(F.transform(dev, lambda d: d * d * d * d)) / size
+        cols[stat_name(c, "min")] = F.get(ordered, F.lit(0))
+        cols[stat_name(c, "max")] = F.get(ordered, F.lit(size - 1))
+        cols[stat_name(c, "median")] = quantile(ordered, 0.5, size)
+        cols[stat_name(c, "iqr")] = quantile(ordered, 0.75, size) - quantile(ordered, 0.25, size)
+        if gates and c in gates:
+            cols[stat_name(c, "_gate")] = quantile(ordered, gates[c], size)
+    df = df.withColumns(cols)
+    shape = {}
+    for c in channels:
+        std = name(c, "std")
+        shape[stat_name(c, "skew")] = F.when(std == 0, F.lit(0.0)).otherwise(name(c, "__m3") / F.pow(std, F.lit(3.0)))
+        shape[stat_name(c, "kurtosis")] = F.when(std == 0, F.lit(constant_kurtosis)).otherwise(name(c, "__m4") / F.pow(std, F.lit(4.0)) - 3)
+    helpers = [stat_name(c, h) for c in channels for h in ("__sorted", "__dev", "__m3", "__m4")]
+    return df.withColumns(shape).drop(*helpers)
+
+
+def _deviations(channel: str, mean: Column, ordered: Column, size: int) -> Column:
+    """Distances from the mean; exactly 0 for a constant window, whose mean may carry rounding."""
+    constant = F.get(ordered, F.lit(0)) == F.get(ordered, F.lit(size - 1))
+    centre = F.when(constant, F.get(ordered, F.lit(0))).otherwise(mean)
+    return F.transform(F.col(f"`{channel}`"), lambda v: v - centre)
 
 
 def time_stats(
     samples: DataFrame, spec: win.WindowSpec, channels: list[str], *, keys: list[str] = ["subject_id"],
     constant_kurtosis: float = CONSTANT_KURTOSIS, extra: list[Column] | None = None,
 ) -> DataFrame:
-    """Wide frame: eight statistics per channel and window, in one aggregation."""
-    aggs = time_aggregates(channels, constant_kurtosis) + (extra or [])
-    return finish_quartiles(win.aggregate(samples, spec, aggs, keys=keys), channels)
+    """Wide frame: eight statistics per channel and window."""
+    arrays = window_arrays(samples, spec, channels, keys=keys, extra=extra)
+    return with_time_stats(arrays, channels, spec.size, constant_kurtosis=constant_kurtosis).drop(*channels)
 
 
 def long_stats(stats: DataFrame, channels: list[str], ids: list[str], names: list[str] = TIME_STATS) -> DataFrame:
@@ -57,4 +111,5 @@ def long_stats(stats: DataFrame, channels: list[str], ids: list[str], names: lis
         F.struct(F.lit(c).alias("channel"), *[F.col(f"`{stat_name(c, s)}`").alias(s) for s in names])
         for c in channels
     ])
-    return stats.select(*ids, F.inline(per_channel))
+    # The outer form: the plain one adds a size filter that copies all of the above below it.
+    return stats.select(*ids, F.inline_outer(per_channel))

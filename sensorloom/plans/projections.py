@@ -287,7 +287,7 @@ SELECT pos, count(*) AS n, round(min(value), 9) AS lowest, round(max(value), 9)
 FROM (SELECT unnest(vec) AS value, generate_subscripts(vec, 1) - 1 AS pos FROM w) GROUP BY pos"""))
 def prj_manual_synth(spark, sf_dir):
     """Vectors of all readings; negated prices keep the min-above-max case of negative readings."""
-    readings = F.array("quantity", -F.col("extendedprice"), "discount", "tax")
+    readings = [F.col("quantity"), -F.col("extendedprice"), F.col("discount"), F.col("tax")]
     made = B.sig4(spark, sf_dir).select(F.posexplode(vectors.manual_vector(readings)).alias("pos", "value"))
     return made.groupBy(F.col("pos").cast("long").alias("pos")).agg(
         F.count(F.lit(1)).alias("n"), F.round(F.min("value"), 9).alias("lowest"),

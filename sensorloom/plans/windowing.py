@@ -119,7 +119,7 @@ DFT_SQL = f"""dft AS (
 
 
 def _sig_arrays(spark, sf_dir):
-    return spectral.window_arrays(B.sig_pos(spark, sf_dir), B.SIG_SPEC, ["x"])
+    return stats.window_arrays(B.sig_pos(spark, sf_dir), B.SIG_SPEC, ["x"])
 
 
 @query("sig_rfft", with_ctes([*B.SIG_WIN_CTES, DFT_SQL], """
@@ -199,7 +199,7 @@ peaks AS (
 
 def _sig4_peaks(spark, sf_dir):
     gate = F.percentile("extendedprice", hrv.GATE_PERCENTILE).alias("gate")
-    arrays = spectral.window_arrays(B.sig4_pos(spark, sf_dir), B.SIG4_SPEC, ["extendedprice"], extra=[gate])
+    arrays = stats.window_arrays(B.sig4_pos(spark, sf_dir), B.SIG4_SPEC, ["extendedprice"], extra=[gate])
     return hrv.with_local_maxima(arrays, "extendedprice", F.col("gate"))
 
 
@@ -325,7 +325,7 @@ def win_feature_vector(spark, sf_dir):
     """Long form of the vectors; energies are compared on a log scale."""
     names = sig4_feature_names()
     pairs = F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("feature"), F.col("features").alias("value"))
-    df = sig4_vectors(spark, sf_dir).select("subject_id", "window_id", "label", F.inline(pairs).alias("feature", "value"))
+    df = sig4_vectors(spark, sf_dir).select("subject_id", "window_id", "label", F.inline_outer(pairs).alias("feature", "value"))
     ends = {"_mean": 7, "_std": 4, "_min": 4, "_max": 4, "_skew": 5, "_kurtosis": 5, "_dom_freq": 4}
     value = F.when(F.col("feature").endswith("_spectral_energy"), F.round(F.log2(1 + F.col("value")), 6))
     value = value.when(F.col("feature").startswith("ECG_"), F.round("value", 6))

@@ -22,6 +22,12 @@ def split_count(df: DataFrame, target_bytes: int | None = None, most: int = 4096
     return max(1, min(most, -(-plan_bytes(df) // max(1, target))))
 
 
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash-partition for a Python group job. Adaptive execution merges small partitions by bytes,
+    but such a job costs time per row, so an explicit number keeps all tasks busy."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def shared_dir(spark: SparkSession, kind: str) -> str:
     """A fresh folder below the cluster's shared checkpoint folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -86,7 +86,7 @@ def test_feature_names():
 
 def test_manual_vector(spark):
     readings = [float(i) for i in range(14)]
-    v = one(spark, vectors.manual_vector(F.array(*[F.lit(x) for x in readings])))
+    v = one(spark, vectors.manual_vector([F.lit(x) for x in readings]))
     assert len(v) == 159 and v[:14] == readings and v[-5:] == [30.0, 50.0, 800.0, 20.0, 75.0]
     assert math.isclose(v[14 + 3], 0.08 * (3 + 1e-6)) and math.isclose(v[28 + 3], 2.7) and math.isclose(v[42 + 3], 3.3)
     assert one(spark, vectors.means_only(F.array(*[F.lit(x) for x in v]))) == readings

@@ -158,7 +158,7 @@ def test_sine_frequency_and_entropy_bounds(series):
     fs, n = 64, 256
     t = np.arange(n) / fs
     df = series({"s": {"x": np.sin(2 * np.pi * 8 * t), "z": np.zeros(n), "label": [1] * n}})
-    arrays = spectral.window_arrays(df, WindowSpec(n, n), ["x", "z"])
+    arrays = stats.window_arrays(df, WindowSpec(n, n), ["x", "z"])
     r = spectral.spectral_stats(arrays, ["x", "z"], fs, n).first()
     assert r.x_dom_freq == 8.0 and 0 <= r.x_spectral_entropy < 1e-6
     assert r.z_spectral_energy == 0 and r.z_spectral_entropy == 0
@@ -168,7 +168,7 @@ def test_sine_frequency_and_entropy_bounds(series):
 @pytest.mark.parametrize("n", [9, 10])
 def test_parseval_energy(series, n):
     x = RNG.normal(size=n)
-    arrays = spectral.window_arrays(series({"s": {"x": x, "label": [1] * n}}), WindowSpec(n, n), ["x"])
+    arrays = stats.window_arrays(series({"s": {"x": x, "label": [1] * n}}), WindowSpec(n, n), ["x"])
     want = (np.abs(np.fft.rfft(x)) ** 2).sum()
     assert arrays.select(spectral.energy(F.col("x"), n)).first()[0] == pytest.approx(want)
     agg = windows.aggregate(series({"s": {"x": x, "label": [1] * n}}), WindowSpec(n, n),
@@ -201,6 +201,6 @@ def test_impulse_train(series):
     fs, n = 700, 7000
     x = np.zeros(n)
     x[100::560] = 1.0
-    arrays = spectral.window_arrays(series({"s": {"x": x, "label": [1] * n}}), WindowSpec(n, n), ["x"])
+    arrays = stats.window_arrays(series({"s": {"x": x, "label": [1] * n}}), WindowSpec(n, n), ["x"])
     r = hrv.hrv_features(arrays, "x", F.lit(0.5), fs).first()
     assert (r.hrv_rmssd, r.hrv_sdnn, r.hrv_mean_rr, r.hrv_pnn50, r.hrv_hr) == (0.0, 0.0, 800.0, 0.0, 75.0)
