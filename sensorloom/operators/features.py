@@ -18,13 +18,15 @@ def window_features(
 ) -> DataFrame:
     """(keys, window_id, label, features): statistics of every channel, then spectra, then HRV.
 
-    One aggregation collects each window's arrays and votes on its label; statistics, FFT and HRV are
-    narrow steps on its rows.
+    One aggregation votes on the label and collects each window's arrays. Moments and spectra share
+    one Arrow exchange; quartiles and HRV are array expressions.
     """
     vote = win.majority(F.col("label")).alias("label")
     df = stats.window_arrays(samples, spec, channels, keys=keys, extra=[vote])
-    df = stats.with_time_stats(df, channels, spec.size, constant_kurtosis=constant_kurtosis, gates={ecg: hrv.GATE_PERCENTILE})
-    df = spectral.spectral_stats(df, channels, fs, spec.size)
+    df = stats.with_time_stats(
+        df, channels, spec.size, constant_kurtosis=constant_kurtosis, gates={ecg: hrv.GATE_PERCENTILE},
+        also=spectral.spectrum_columns(channels))
+    df = spectral.finish_spectrum(df, channels, fs, spec.size)
     df = hrv.hrv_features(df, ecg, F.col(f"`{stats.stat_name(ecg, '_gate')}`"), fs, distance)
     return df.select(*keys, "window_id", "label", sanitize_features(stat_vector(channels)).alias("features"))
 

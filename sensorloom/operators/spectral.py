@@ -88,12 +88,20 @@ def entropy(psd: Column) -> Column:
     return F.when(power == 0, F.lit(0.0)).otherwise(F.log2(power) - weighted / power)
 
 
-def spectral_stats(arrays: DataFrame, channels: list[str], fs: float, size: int) -> DataFrame:
-    """Add dominant frequency, energy and entropy of every channel to a frame of window arrays."""
-    df = arrays.withColumns({f"__spec_{c}": spectrum(F.col(f"`{c}`")) for c in channels})
+def spectrum_columns(channels: list[str]) -> dict[str, Column]:
+    return {f"__spec_{c}": spectrum(F.col(f"`{c}`")) for c in channels}
+
+
+def finish_spectrum(df: DataFrame, channels: list[str], fs: float, size: int) -> DataFrame:
+    """Spectrum columns to dominant frequency, energy and entropy."""
     cols = {}
     for c in channels:
         cols[f"{c}_dom_freq"] = dominant_frequency(F.col(f"`__spec_{c}`.bin"), fs, size)
         cols[f"{c}_spectral_energy"] = F.col(f"`__spec_{c}`.total")
         cols[f"{c}_spectral_entropy"] = F.col(f"`__spec_{c}`.entropy")
     return df.withColumns(cols).drop(*[f"__spec_{c}" for c in channels])
+
+
+def spectral_stats(arrays: DataFrame, channels: list[str], fs: float, size: int) -> DataFrame:
+    """Add dominant frequency, energy and entropy of every channel to a frame of window arrays."""
+    return finish_spectrum(arrays.withColumns(spectrum_columns(channels)), channels, fs, size)
