@@ -12,9 +12,11 @@ import math
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier,
@@ -244,6 +246,12 @@ def _probability(df: DataFrame, name: str, extra: dict) -> Column:
     return F.transform(each, lambda v: v / total)
 
 
+def _in_parallel(spark: SparkSession, task: Callable, items: list, parallelism: int = 4) -> list:
+    """Run independent fits as concurrent Spark jobs, results in the order of the items."""
+    with ThreadPool(max(1, min(parallelism, len(items)))) as pool:
+        return pool.map(inheritable_thread_target(spark)(task), items)
+
+
 # --- Evaluation --------------------------------------------------------------------------------
 
 
@@ -260,12 +268,15 @@ def evaluate(scored: DataFrame, labels: list[int], label: str = "label") -> Data
 def cross_validate(rows: DataFrame, name: str, params: dict | None, folds: int, *, label: str = "label", row_id: str = "vec_id") -> DataFrame:
     """(fold, accuracy) with a fresh fit per fold on a table written once."""
     dealt = materialise(splits.kfold(rows, label, [row_id], folds=folds), "folds")
-    parts = []
-    for i in range(folds):
+
+    def one(i: int) -> DataFrame:
         model = fit(dealt.where(F.col("fold") != i), name, params, label=label, row_id=row_id)
-        parts.append(model.score(dealt.where(F.col("fold") == i), row_id).select("fold", F.col(label).alias("actual"), F.col("prediction").alias("predicted")))
+        return model.score(dealt.where(F.col("fold") == i), row_id).select("fold", F.col(label).alias("actual"), F.col("prediction").alias("predicted"))
+
     from sensorloom.sources.recordings import union_subjects
 
+    parts = _in_parallel(rows.sparkSession, one, list(range(folds)))
+
     hit = F.when(F.col("actual") == F.col("predicted"), 1.0).otherwise(0.0)
     return union_subjects(parts).groupBy("fold").agg(F.avg(hit).alias("accuracy"))
 
@@ -324,17 +335,20 @@ def compare(rows: DataFrame, names: list[str] | None = None, params: dict[str, d
     from sensorloom.sources.recordings import union_subjects
 
     spark = rows.sparkSession
-    frames = []
-    for i, name in enumerate(names or list(CATALOGUE)):
+    rows = materialise(rows, "rows")
+
+    def one(entry: tuple[int, str]) -> DataFrame:
+        i, name = entry
         try:
             _, row, _ = train_eval(rows, name, (params or {}).get(name), **kw)
             out = row.select(F.lit(i).alias("catalogue_idx"), "classifier_name", *FIGURES, F.lit(None).cast("string").alias("error"))
-            out = materialise(out, "metrics")
+            return materialise(out, "metrics")
         except Exception as exc:  # one classifier must not end the comparison
             schema = "catalogue_idx int, classifier_name string, " + ", ".join(f"{f} double" for f in FIGURES) + ", error string"
             zeros = [None if f == "roc_auc" else 0.0 for f in FIGURES]
-            out = spark.createDataFrame([(i, name, *zeros, str(exc)[:500])], schema)
-        frames.append(out)
+            return spark.createDataFrame([(i, name, *zeros, str(exc)[:500])], schema)
+
+    frames = _in_parallel(spark, one, list(enumerate(names or list(CATALOGUE))))
     return metrics.rank_models(union_subjects(frames).withColumn("__all", F.lit(0)), ["__all"]).drop("__all")
 
 
@@ -344,11 +358,14 @@ def leave_one_subject_out(rows: DataFrame, name: str = DEFAULT, params: dict | N
     from sensorloom.sources.recordings import union_subjects
 
     table = materialise(rows, "loso")
-    parts = []
-    for s in sorted(r[0] for r in table.select(subject).distinct().collect()):  # one fit each, so few
-        train, test = splits.leave_one_out(table, s, subject)
+
+    def one(held_out: str) -> DataFrame:
+        train, test = splits.leave_one_out(table, held_out, subject)
         model = fit(train, name, params, label=label, row_id=row_id)
-        parts.append(model.score(test, row_id).select(subject, F.col(label).alias("actual"), F.col("prediction").alias("predicted")))
+        return model.score(test, row_id).select(subject, F.col(label).alias("actual"), F.col("prediction").alias("predicted"))
+
+    subjects = sorted(r[0] for r in table.select(subject).distinct().collect())  # one fit each, so few
+    parts = _in_parallel(rows.sparkSession, one, subjects)
     return materialise(union_subjects(parts), "oof")
 
 

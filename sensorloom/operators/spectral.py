@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sensorloom.operators.stats import total, window_arrays
+from sensorloom.operators.stats import total
 
 TIE = 1e-9
 NOISE = 1e-12

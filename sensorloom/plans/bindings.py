@@ -22,8 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def epoch(ts: str):
-    """Seconds of a timestamp as a number, for order blocks."""
-    return F.unix_micros(F.col(ts).cast("timestamp"))
+    """Microseconds since 1970 of a zone-less timestamp, whatever the session's time zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(ts))
 
 
 def sig(spark: SparkSession, sf_dir: str, valid_only: bool = False) -> DataFrame:
