@@ -60,8 +60,8 @@ def moments(batch: pd.Series) -> pd.DataFrame:
     """Mean and population shape of equally long windows, by the one-pass update of central moments
     (Pébay, 2008): one step per sample position, for all windows of the batch at once.
 
-    Equal values leave exact zeros. On full-rate windows this takes a tenth of the time of the
-    aggregate functions, whose buffers for 14 channels outgrow generated code.
+    Equal values leave exact zeros. On full-rate windows (14 channels, 3,500 samples) the
+    aggregate functions were measured about seven times slower: their buffers outgrow generated code.
     """
     if not len(batch):
         return pd.DataFrame({f.name: pd.Series([], dtype="bool" if f.name == "flat" else "float64") for f in MOMENTS.fields})
