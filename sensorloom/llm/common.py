@@ -34,6 +34,14 @@ def stage(df: DataFrame, kind: str) -> DataFrame:
     return out
 
 
+def drop(staged: DataFrame) -> None:
+    """Delete the files of a written step that nothing reads any more."""
+    spark = staged.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in staged.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of Arrow batches with about ``limit`` bytes of text each, at least one row."""
     for batch in batches:

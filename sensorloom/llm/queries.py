@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.llm import bpe, chat, pii, quality, shard
+from sensorloom.llm import bpe, chat, pii, quality, shard, substring
 from sensorloom.llm.common import table
 from sensorloom.llm.registry import ORACLES, QUERIES, query
 
@@ -64,3 +64,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return pii.pseudonymise(docs.withColumn("n_candidates", F.coalesce(F.size(pii.values(docs)), F.lit(0)).cast("long")))
+
+
+@query("op2_substring_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.dedupe(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
