@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.llm import bpe, chat, pii, quality, shard, substring
-from sensorloom.llm.common import table
+from sensorloom.llm import bpe, chat, pii, quality, shard, substring, warc
+from sensorloom.llm.common import stage, table
 from sensorloom.llm.registry import ORACLES, QUERIES, query
+from sensorloom.session import shared_dir
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -70,3 +71,19 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.dedupe(table(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op1_warc", """
+WITH p AS (SELECT page_id, coalesce(strlen(html), 0) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+     k AS (SELECT d, max(page_id) AS kept FROM p WHERE n >= 1000 GROUP BY d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+       CASE WHEN page_id < kept THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < kept THEN kept END AS refers_to
+FROM p LEFT JOIN k ON p.d = k.d""")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages", "page_id", "url", "html"), path)
+    records = stage(warc.read(spark, path).drop("payload"), "records")
+    page = warc.field(F.col("metadata.fields"), "page-id").cast("long")
+    found = warc.resolve(warc.assemble(records), page)
+    return found.select(page.alias("page_id"), F.col("full_bytes").alias("payload_bytes"), F.col("full_sha1").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
