@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,7 @@ from sensorloom.session import materialise
 SPACE = "[\\x20\\x09-\\x0D]+"
 # Bytes of text that a task works on at a time.
 PIECE_BYTES = 8 << 20
+PAUSE_S = 1.0
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -26,10 +28,12 @@ def stage(df: DataFrame, kind: str) -> DataFrame:
     """Write a step to the shared folder, read it back, and let Spark drop the shuffle files behind it.
 
     Spark deletes shuffle files when the driver's JVM collects the plan that made them; asking for that
-    after each written step keeps the peak disk use at one step, not at the sum of all.
+    after each written step keeps the peak disk use at one step, not at the sum of all. The event queue
+    holds the finished plan for a moment, hence the pause.
     """
     out = materialise(df, kind)
     gc.collect()
+    time.sleep(PAUSE_S)
     df.sparkSession.sparkContext._jvm.System.gc()
     return out
 
