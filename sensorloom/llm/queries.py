@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.llm import bpe, chat, pii, quality, shard, substring, warc
+from sensorloom.llm import bpe, chat, jaccard, pii, quality, shard, substring, warc
 from sensorloom.llm.common import stage, table
 from sensorloom.llm.registry import ORACLES, QUERIES, query
 from sensorloom.session import shared_dir
@@ -87,3 +87,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = warc.field(F.col("metadata.fields"), "page-id").cast("long")
     found = warc.resolve(warc.assemble(records), page)
     return found.select(page.alias("page_id"), F.col("full_bytes").alias("payload_bytes"), F.col("full_sha1").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
+
+
+@query("op8_jaccard_join")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_components(table(spark, sf_dir, "documents", "doc_id", "text"))
