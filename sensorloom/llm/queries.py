@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.llm import bpe, chat, decontaminate, jaccard, pii, quality, shard, substring, warc
+from sensorloom.llm import bpe, chat, decontaminate, html_text, jaccard, pii, quality, shard, substring, warc
 from sensorloom.llm.common import stage, table
 from sensorloom.llm.registry import ORACLES, QUERIES, query
 from sensorloom.session import shared_dir
@@ -98,3 +98,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")
     return decontaminate.matches(docs, items).select("doc_id", F.col("item").alias("item_id"), "start", "words", "distance", "similarity")
+
+
+@query("op9_html_text")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.visible_text(table(spark, sf_dir, "pages", "page_id", "html"))
+    return found.select("page_id", F.length("text").cast("long").alias("n_chars"), "text")
