@@ -23,6 +23,8 @@ a match each. Empty tables give no matches. ``remove`` keeps all columns and row
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,14 +112,18 @@ def signed(bits: int) -> int:
 def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
     """``key``, ``hash`` (of the text), ``item``, ``start`` and ``words`` (the window), ``distance`` and ``similarity``: the best window per text and item."""
     told = stage(items.select(F.col(item_key).alias("item"), words_of(F.col(item_text)).alias("words")).where(F.size("words") > 0).withColumn("size", F.size("words")), "items")
-    spots = told.select("size", F.posexplode(shingle_hashes(F.col("words"), size)).alias("offset", "shingle")).distinct()
+    # Items shorter than a shingle are met by shingles of their own size.
+    widths = sorted(r[0] for r in told.select(F.least("size", F.lit(size))).distinct().collect()) or [size]
+    rows_of = lambda df, w, *keep: df.select(*keep, F.lit(w).alias("width"), F.posexplode(shingle_hashes(F.col("words"), w)).alias("at", "shingle"))
+    spots = reduce(DataFrame.union, [rows_of(told.where(F.least("size", F.lit(size)) == w), w, "size") for w in widths]).withColumnRenamed("at", "offset").distinct()
     spots = small(stage(spots, "spots"))
 
     own = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     read = own.select("id", F.xxhash64("text").alias("hash"), words_of(F.col("text")).alias("words"))
-    placed = read.select("id", "hash", F.size("words").alias("n"), F.posexplode(shingle_hashes(F.col("words"), size)).alias("place", "shingle"))
-    start = F.greatest(F.lit(0), F.least(F.col("place") - F.col("offset"), F.col("n") - F.col("size")))
-    windows = placed.join(spots, "shingle").select("id", "hash", "size", start.alias("start")).distinct()
+    sized = read.withColumn("n", F.size("words"))
+    placed = reduce(DataFrame.union, [rows_of(sized, w, "id", "hash", "n") for w in widths])
+    start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("offset"), F.col("n") - F.col("size")))
+    windows = placed.join(spots, ["width", "shingle"]).select("id", "hash", "size", start.alias("start")).distinct()
     windows = stage(windows, "windows")
 
     same = (F.col("w.id").eqNullSafe(F.col("r.id"))) & (F.col("w.hash") == F.col("r.hash"))

@@ -10,7 +10,7 @@
    distance never exceeds the symmetric difference.
 4. First each set is verified against its nearest earlier neighbour over all its groups, which already
    links most of what belongs together. Then every remaining pair that passes the filters and whose ends are not yet
-   in one component is verified, once. Pairs inside a component aren't formed, so a group of
+   in one component is verified, once. Finer parity maps decide most pairs before whole sets are fetched. Pairs inside a component aren't formed, so a group of
    thousands of copies costs rows in proportion to its size, while no link between components is lost.
 5. Components come from alternating large-star and small-star steps.
 
@@ -91,6 +91,14 @@ def parity_maps(owner: np.ndarray, shingles: np.ndarray, n: int) -> list[bytes]:
     return [x.tobytes() for x in np.packbits(counts.reshape(n, MAP_BITS).astype(np.uint8), axis=1)]
 
 
+def fine_maps(owner: np.ndarray, shingles: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Parity maps of two to four bits per shingle, a power of two each."""
+    bits = np.left_shift(1, np.ceil(np.log2(np.maximum(2 * size, MAP_BITS))).astype(np.int64))
+    ends = np.append(0, np.cumsum(bits))
+    at = ends[owner] + (shingles & (bits[owner] - 1).astype(np.uint64)).astype(np.int64)
+    return packed(np.packbits((np.bincount(at, minlength=ends[-1]) & 1).astype(np.uint8)), ends // 8)
+
+
 def _describe(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     names = ["id", "sig", "n", "map", "cell", "df"]
     total, kind = np.zeros(1 << CELL_BITS, np.int64), None
@@ -132,15 +140,17 @@ def _packed_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.R
         owner, shingles = shingle_sets(piece.column("text"), words)
         size, sig = signatures(owner, shingles, piece.num_rows)
         meant = pa.array(sig.view(np.int64) == piece.column("sig").to_numpy(zero_copy_only=False))
-        sets = packed(shingles, np.append(0, np.cumsum(size)))
-        yield pa.RecordBatch.from_arrays([piece.column("sig").filter(meant), sets.filter(meant)], names=["sig", "items"])
+        ends = np.append(0, np.cumsum(size))
+        columns = [piece.column("sig"), pa.array(size.astype(np.int32)), packed(shingles, ends), fine_maps(owner, shingles, size)]
+        yield pa.RecordBatch.from_arrays([c.filter(meant) for c in columns], names=["sig", "n", "items", "fine"])
 
 
 # --- Candidates --------------------------------------------------------------------------------
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], percent: int, nearest: bool) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by group, size and name. Groups are whole: the last one of a batch waits for the next batch."""
+    """Rows come sorted by group, size and name. Groups are whole: the last one of a batch waits for the next batch.
+    With ``nearest`` each set gets its nearest earlier one, and sets that are the earlier one of any pair are named alone."""
     held: pa.Table | None = None
 
     def groups() -> Iterator[pa.Table]:
@@ -187,21 +197,25 @@ def _candidates(batches: Iterator[pa.RecordBatch], percent: int, nearest: bool)
             apart = np.bitwise_count(maps[late] ^ maps[early]).sum(axis=1, dtype=np.int64)
             fit = apart <= total - 2 * need
             late, early, apart = late[fit], early[fit], apart[fit]
+            others = np.unique(sig[early]) if nearest else early[:0]
             if nearest and len(late):
                 order = np.lexsort((sig[early], apart, late))
                 one = order[np.append(True, late[order][1:] != late[order][:-1])]
                 late, early, apart = late[one], early[one], apart[one]
             if len(late):
                 yield pa.RecordBatch.from_arrays([pa.array(sig[late]), pa.array(sig[early]), pa.array(apart.astype(np.int32))], names=["a", "b", "apart"])
+            if len(others):
+                yield pa.RecordBatch.from_arrays([pa.array(others), pa.nulls(len(others), pa.int64()), pa.nulls(len(others), pa.int32())], names=["a", "b", "apart"])
 
 
 def candidates(groups: DataFrame, labels: DataFrame | None, percent: int, nearest: bool) -> DataFrame:
-    """Pairs (``a``, ``b``) that pass the filters. ``labels``: ``sig`` and ``label``; pairs inside a label are left out."""
+    """Pairs (``a``, ``b``) that pass the filters. ``labels``: ``sig`` and ``label``; pairs inside a label are left out.
+    With ``nearest`` the nearest ``b`` of each ``a``, null for sets that only stand on the other side of a pair."""
     rows = groups.withColumn("label", F.col("sig")) if labels is None else groups.join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     sorted_ = rows.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high", "n", "sig")
     pairs = sorted_.mapInArrow(lambda b: _candidates(b, percent, nearest), "a long, b long, apart int")
     if nearest:
-        return pairs.groupBy("a").agg(F.min(F.struct("apart", "b"))["b"].alias("b"))
+        return pairs.groupBy("a").agg(F.min(F.when(F.col("b").isNotNull(), F.struct("apart", "b")))["b"].alias("b"))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -220,7 +234,22 @@ def blocked(prefixes: DataFrame, described: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose whole sets are similar enough."""
+    """The pairs whose whole sets are similar enough. The fine parity maps come first, as they are a small part of the sets."""
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "left"):
+            total = piece.column("n_left").to_numpy().astype(np.int64) + piece.column("n_right").to_numpy()
+            most = total - 2 * -(-percent * total // (100 + percent))
+            apart = []
+            for x, y in zip(piece.column("left"), piece.column("right")):
+                one, two = (np.frombuffer(v.as_buffer(), np.uint8) for v in (x, y))
+                while len(one) > len(two):
+                    one = one[: len(one) // 2] ^ one[len(one) // 2 :]
+                while len(two) > len(one):
+                    two = two[: len(two) // 2] ^ two[len(two) // 2 :]
+                apart.append(int(np.bitwise_count(one ^ two).sum(dtype=np.int64)))
+            mask = pa.array(np.array(apart, np.int64) <= most)
+            yield pa.RecordBatch.from_arrays([piece.column("a").filter(mask), piece.column("b").filter(mask)], names=["a", "b"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "left"):
@@ -232,9 +261,13 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             mask = pa.array(fit, pa.bool_())
             yield pa.RecordBatch.from_arrays([piece.column("a").filter(mask), piece.column("b").filter(mask)], names=["a", "b"])
 
-    left = sets.select(F.col("sig").alias("a"), F.col("items").alias("left"))
-    right = sets.select(F.col("sig").alias("b"), F.col("items").alias("right"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(check, "a long, b long").distinct()
+    def beside(pairs: DataFrame, column: str) -> DataFrame:
+        left = sets.select(F.col("sig").alias("a"), F.col(column).alias("left"), F.col("n").alias("n_left"))
+        right = sets.select(F.col("sig").alias("b"), F.col(column).alias("right"), F.col("n").alias("n_right"))
+        return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right", "n_left", "n_right")
+
+    near = stage(beside(pairs, "fine").mapInArrow(close, "a long, b long"), "close")
+    return stage(beside(near, "items").mapInArrow(check, "a long, b long").distinct(), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -267,11 +300,13 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     groups = stage(blocked(prefixes, described.where("id IS NOT NULL")), "groups")
     drop(prefixes)
 
-    chosen = described.where("id IS NOT NULL").join(groups.select("sig").distinct(), "sig").groupBy("sig").agg(F.min("id").alias("id"))
-    sets = stage(known.join(chosen, "id").select("sig", "text").mapInArrow(lambda b: _packed_sets(b, words), "sig long, items binary"), "sets")
-    links = stage(verified(stage(candidates(groups, None, percent, True), "nearest"), sets, percent), "links")
+    nearest = stage(candidates(groups, None, percent, True), "nearest")
+    involved = nearest.select(F.col("a").alias("sig")).union(nearest.where("b IS NOT NULL").select("b")).distinct()
+    chosen = described.where("id IS NOT NULL").join(involved, "sig").groupBy("sig").agg(F.min("id").alias("id"))
+    sets = stage(known.join(chosen, "id").select("sig", "text").mapInArrow(lambda b: _packed_sets(b, words), "sig long, n int, items binary, fine binary"), "sets")
+    links = verified(nearest.where("b IS NOT NULL"), sets, percent)
     labels = components(links)
-    more = stage(verified(stage(candidates(groups, labels, percent, False), "rest"), sets, percent), "more")
+    more = verified(stage(candidates(groups, labels, percent, False), "rest"), sets, percent)
     drop(groups)
     drop(sets)
     if not more.isEmpty():

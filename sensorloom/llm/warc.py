@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 LEAST_REVISIT = 1000  # bytes; smaller payloads are stored each time
 PRINCIPAL = ("response", "revisit", "resource")
+STEP = 1 << 13  # bytes fed to the unpacker at a time
 DATE = "2024-01-01T00:00:00Z"
 EMPTY_MEMBER = bytes([0x1F, 0x8B, 8, 0, 0, 0, 0, 0, 0, 3, 3, 0, 0, 0, 0, 0, 0, 0, 0, 0])
 RECORD = "record_id string, type string, concurrent_to array<string>, target_uri string, declared_digest string, fields string, payload binary, payload_bytes long, payload_sha1 string"
@@ -108,36 +109,39 @@ def unpacked(data: bytes) -> Iterator[bytes]:
     """The content of a file in pieces: of each gzip member, or of a file that isn't packed as it is."""
     import zlib
 
-    view = memoryview(data)
-    while len(view):
-        if bytes(view[:2]) != b"\x1f\x8b":
-            yield bytes(view)
+    view, at = memoryview(data), 0
+    while at < len(view):
+        if bytes(view[at : at + 2]) != b"\x1f\x8b":
+            yield bytes(view[at:])
             return
-        opened = zlib.decompressobj(31)
-        yield opened.decompress(view) + opened.flush()
-        view = view[len(view) - len(opened.unused_data) :]
+        opened, parts = zlib.decompressobj(31), []
+        while not opened.eof and at < len(view):  # small steps: what follows the member is copied
+            step = view[at : at + STEP]
+            parts.append(opened.decompress(step))
+            at += len(step) - len(opened.unused_data)
+        yield b"".join(parts)
 
 
 def records_in(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
     """(headers, block) of each record, cut by Content-Length. A record cut off at the end is an error."""
-    buffer = b""
+    buffer, at = b"", 0
     for piece in unpacked(data):
-        buffer = buffer + piece if buffer else piece
-        while buffer:
-            if buffer[:2] == b"\r\n":
-                buffer = buffer[2:]
+        buffer, at = (buffer[at:] + piece if at < len(buffer) else piece), 0
+        while at < len(buffer):
+            if buffer.startswith(b"\r\n", at):
+                at += 2
                 continue
-            end = buffer.find(b"\r\n\r\n")
+            end = buffer.find(b"\r\n\r\n", at)
             if end < 0:
                 break
-            lines = buffer[:end].decode("utf-8", "replace").split("\r\n")
+            lines = buffer[at:end].decode("utf-8", "replace").split("\r\n")
             headers = [(k.strip().lower(), v.strip()) for k, _, v in (line.partition(":") for line in lines[1:])]
             stop = end + 4 + int(dict(headers).get("content-length", 0))
             if len(buffer) < stop:
                 break
             yield headers, buffer[end + 4 : stop]
-            buffer = buffer[stop:]
-    if buffer.strip(b"\r\n"):
+            at = stop
+    if buffer[at:].strip(b"\r\n"):
         raise ValueError("the archive ends inside a record")
 
 
