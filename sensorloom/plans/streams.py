@@ -82,7 +82,9 @@ def st_windows(spark, sf_dir):
     for name, code in B.EVENT_LABELS.items():
         label = F.when(F.col("event_type") == name, code).otherwise(label)
     samples = events.select(F.col("user_id").alias("subject_id"), "event_id", "ts", F.col("value").alias("x"), label.alias("label"))
-    out = run.drain(windows.window_stream(samples, B.SIG_SPEC), "windows")
+    checkpoint = shared_dir(spark, "windows-ck")
+    out = run.drain(windows.window_stream(samples, B.SIG_SPEC), "windows", checkpoint)
+    out = out.unionByName(windows.open_windows(spark, checkpoint, B.SIG_SPEC, out.schema["subject_id"]))
     return out.select("subject_id", "window_id", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "min", "max", "label")
 
 

@@ -18,13 +18,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: i
     return reader.parquet(sf_dir)
 
 
-def drain(stream: DataFrame, kind: str) -> DataFrame:
+def drain(stream: DataFrame, kind: str, checkpoint: str | None = None) -> DataFrame:
     """Run a stream over what is available, into Parquet, and return the written rows."""
     spark = stream.sparkSession
     out = shared_dir(spark, kind)
     query = (
         stream.writeStream.format("parquet").option("path", out)
-        .option("checkpointLocation", shared_dir(spark, f"{kind}-ck"))
+        .option("checkpointLocation", checkpoint or shared_dir(spark, f"{kind}-ck"))
         .outputMode("append").trigger(availableNow=True).start()
     )
     query.awaitTermination()

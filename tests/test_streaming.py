@@ -78,17 +78,39 @@ def test_limit_stream_over_several_batches(spark, tmp_path):
     assert {r.id: r.allowed for r in out.collect()} == expected(df)
 
 
-def test_window_stream_equals_batch(spark, tmp_path):
+def batch_windows(df, spec):
+    found = windows.aggregate(windows.reindex(df, ["ts", "event_id"], leading=F.col("ts")), spec,
+                              [F.avg("x").alias("mean"), windows.majority(F.col("label")).alias("label")])
+    return {(r.subject_id, r.window_id): (round(r.mean, 9), r.label) for r in found.collect()}
+
+
+def streamed_windows(stream, spec, path, **options):
+    checkpoint = str(path / "ck")
+    got = run.drain(stream_windows.window_stream(stream, spec, **options), "t-win", checkpoint)
+    left = stream_windows.open_windows(got.sparkSession, checkpoint, spec, got.schema["subject_id"])
+    first, rest = got.collect(), left.collect()
+    rows = {(r.subject_id, r.window_id): (round(r.mean, 9), r.label) for r in first + rest}
+    assert len(rows) == len(first) + len(rest)
+    return rows, len(first)
+
+
+@pytest.mark.parametrize("lateness", ["10 minutes", "10 seconds"])
+def test_window_stream_equals_batch(spark, tmp_path, lateness):
     n = 240
     rows = [("ab"[i % 2], i, i // 3, float(v), int(c)) for i, (v, c) in enumerate(zip(RNG.normal(size=n), RNG.integers(0, 4, n)))]
-    df = spark.createDataFrame(rows, "subject_id string, event_id long, t long, x double, label int").withColumn("ts", F.timestamp_seconds("t")).drop("t")
+    df = spark.createDataFrame(rows, "subject_id string, event_id long, t long, x double, label int").withColumn("ts", F.timestamp_seconds(F.col("t") + 1_700_000_000)).drop("t")
     spec = WindowSpec(10, 4)
-    stream = staged(df, str(tmp_path / "in"), ["ts", "event_id"], 6)
-    got = run.drain(stream_windows.window_stream(stream, spec), "t-win").collect()
-    batch = windows.aggregate(windows.reindex(df, ["ts", "event_id"], leading=F.col("ts")), spec,
-                              [F.avg("x").alias("mean"), windows.majority(F.col("label")).alias("label")]).collect()
-    a = {(r.subject_id, r.window_id): (round(r.mean, 9), r.label) for r in got}
-    assert len(a) == len(got) and a == {(r.subject_id, r.window_id): (round(r.mean, 9), r.label) for r in batch}
+    got, early = streamed_windows(staged(df, str(tmp_path / "in"), ["ts", "event_id"], 6), spec, tmp_path, lateness=lateness)
+    assert got == batch_windows(df, spec) and (early > 0) == (lateness == "10 seconds")
+
+
+def test_window_stream_keeps_rows_out_of_order(spark, tmp_path):
+    """Samples 4 and 5 change places between files; a row far behind the watermark is left out."""
+    times = [0, 1, 2, 3, 5, 4, 6, 7, 2000, 2001, 2002, 2003, 1, 2004]
+    df = spark.createDataFrame([("s", i, t, float(t), 1, i) for i, t in enumerate(times)], "subject_id string, event_id long, t long, x double, label int, place int")
+    df = df.withColumn("ts", F.timestamp_seconds(F.col("t") + 1_700_000_000))
+    got, early = streamed_windows(staged(df, str(tmp_path / "in"), ["place"], 7).drop("t", "place"), WindowSpec(4, 4), tmp_path, lateness="10 minutes")
+    assert got == batch_windows(df.where("place != 12"), WindowSpec(4, 4)) and early == 2 and len(got) == 3
 
 
 def test_history_log_is_idempotent_and_capped(spark, tmp_path):
