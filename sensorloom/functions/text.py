@@ -18,10 +18,9 @@ def fold_accents(raw: pd.Series) -> pd.Series:
     )
 
 
-def tracking_id(raw: Column, fold: bool = False) -> Column:
-    """A file-name-safe id; an empty string when nothing usable remains.
-
-    Plain ASCII input stays in the JVM. ``fold=True`` first reduces accented letters.
+def tracking_id(raw: Column, fold: bool = True) -> Column:
+    """A file-name-safe id; an empty string when nothing usable remains. Accented letters lose their
+    accent (with ``fold=False`` they are dropped, and everything stays in the JVM).
     """
     text = F.trim(F.coalesce(raw, F.lit("")))
     text = fold_accents(text) if fold else text
@@ -31,13 +30,11 @@ def tracking_id(raw: Column, fold: bool = False) -> Column:
     return F.regexp_replace(text, r"^[._]+|[._]+$", "")
 
 
-def natural_key(text: Column, width: int = 20) -> Column:
-    """Sort key with digit runs compared as numbers (S2 before S10)."""
+def natural_key(text: Column) -> Column:
+    """Sort key with digit runs compared as numbers (S2 before S10): a run is preceded by its length."""
     runs = F.regexp_extract_all(text, F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.transform(
-        runs,
-        lambda r: F.when(r.rlike(r"^\d+$"), F.lpad(F.regexp_replace(r, "^0+(?=.)", ""), width, "0")).otherwise(r),
-    )
+    bare = F.transform(runs, lambda r: F.regexp_replace(r, r"^0+(?=\d)", ""))
+    return F.transform(bare, lambda r: F.when(r.rlike(r"^\d+$"), F.concat(F.lpad(F.length(r).cast("string"), 10, "0"), r)).otherwise(r))
 
 
 def css_slug(title: Column) -> Column:
@@ -59,14 +56,16 @@ def delta_text(delta: Column) -> Column:
 
 
 def iso_utc(ts: Column) -> Column:
-    """Second-precision ISO text with a Z suffix."""
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """Second-precision ISO text of an instant in UTC, whatever the session's zone."""
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 def history_bound(local_text: Column, is_end: bool = False, zone: str = "UTC") -> Column:
-    """Minute- or second-precision local text to a UTC bound; end bounds cover their whole minute."""
+    """Minute- or second-precision local text of a zone to an instant, whatever the session's zone; end bounds cover their
+    whole minute."""
     full = F.when(F.length(local_text) == 16, F.concat(local_text, F.lit(":00"))).otherwise(local_text)
-    ts = F.try_to_timestamp(full, F.lit("yyyy-MM-dd'T'HH:mm:ss"))
+    local = F.when(full.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d$"), full).try_cast("timestamp_ntz")
+    ts = F.convert_timezone(F.lit(zone), F.current_timezone(), local).cast("timestamp")
     if is_end:
         ts = F.date_trunc("minute", ts) + F.expr("INTERVAL '59.999' SECOND")
-    return F.to_utc_timestamp(ts, zone)
+    return ts

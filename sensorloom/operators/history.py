@@ -33,7 +33,7 @@ def append(history: DataFrame, entries: DataFrame, cap: int = HISTORY_CAP, *, ti
 
 
 def in_range(history: DataFrame, tracking_id: str | None = None, start=None, end=None) -> DataFrame:
-    """Rows of an id inside optional inclusive bounds, in time order. Plain comparisons, so they
+    """Rows of an id inside optional inclusive bounds; those of one id come in time order. Plain comparisons, so they
     reach the scan. Bounds are compared as timestamps."""
     df = history if tracking_id is None else history.where(F.col(ID) == tracking_id)
     kind = history.schema[TIME].dataType
@@ -41,7 +41,7 @@ def in_range(history: DataFrame, tracking_id: str | None = None, start=None, end
         df = df.where(F.col(TIME) >= F.lit(start).cast(kind))
     if end is not None:
         df = df.where(F.col(TIME) <= F.lit(end).cast(kind))
-    return df
+    return df if tracking_id is None else df.orderBy(F.col(TIME).asc_nulls_first(), *[c for c in ("seq",) if c in df.columns])
 
 
 def summary(history: DataFrame, *, tie: str = "seq") -> DataFrame:

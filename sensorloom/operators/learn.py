@@ -346,7 +346,7 @@ def compare(rows: DataFrame, names: list[str] | None = None, params: dict[str, d
         except Exception as exc:  # one classifier must not end the comparison
             schema = "catalogue_idx int, classifier_name string, " + ", ".join(f"{f} double" for f in FIGURES) + ", error string"
             zeros = [None if f == "roc_auc" else 0.0 for f in FIGURES]
-            return spark.createDataFrame([(i, name, *zeros, str(exc)[:500])], schema)
+            return spark.createDataFrame([(i, name, *zeros, str(exc))], schema)
 
     frames = _in_parallel(spark, one, list(enumerate(names or list(CATALOGUE))))
     return metrics.rank_models(union_subjects(frames).withColumn("__all", F.lit(0)), ["__all"]).drop("__all")

@@ -27,11 +27,11 @@ def to_long(samples: DataFrame, ids: list[str], channels: list[str], name: str =
 
 
 def with_band(readings: DataFrame, dim: DataFrame, *, sensor: str = "sensor", value: str = "value") -> DataFrame:
-    """Judge long readings by their sensor's thresholds. The dimension has one row per channel, a
-    number fixed by the schema, so it is broadcast."""
+    """Judge long readings by their sensor's thresholds. Spark broadcasts the dimension
+    if it is small."""
     limits = dim.select(F.col("sensor").alias(sensor), "high", "critical")
     return (
-        readings.join(F.broadcast(limits), sensor, "left")
+        readings.join(limits, sensor, "left")
         .withColumn("band", bands.sensor_band(F.col(value), F.col("high"), F.col("critical")))
         .drop("high", "critical")
     )

@@ -303,7 +303,7 @@ def win_timeline(spark, sf_dir):
 
 
 @query("sort_natural", with_ctes([B.FEAT_SQL], """
-SELECT subject_id, 'S' || lpad(substr(subject_id, 2), 20, '0') AS natural_key FROM (SELECT DISTINCT subject_id FROM feat)"""))
+SELECT subject_id, 'S' || lpad(CAST(length(subject_id) - 1 AS VARCHAR), 10, '0') || substr(subject_id, 2) AS natural_key FROM (SELECT DISTINCT subject_id FROM feat)"""))
 def sort_natural(spark, sf_dir):
     ids = B.feat(spark, sf_dir).select("subject_id").distinct()
     return ids.withColumn("natural_key", F.array_join(text.natural_key(F.col("subject_id")), "")).orderBy("natural_key")

@@ -306,13 +306,13 @@ def prj_channel_groups(spark, sf_dir):
 @query("prj_feature_names", with_ctes([B.FEAT_SQL], """
 SELECT vec_id, pos, 'F' || pos AS feature, value FROM """ + _EXPLODED.format(v="features") + """
 UNION ALL
-SELECT vec_id, pos, ['Chest Acc X_mean', 'Chest Acc Y_mean', 'Chest Acc Z_mean'][pos + 1], value FROM """ + _EXPLODED.format(v="features[1:3]")))
+SELECT vec_id, pos, [""" + ", ".join(f"'{n}'" for n in schema.feature_names()[:64]) + """][pos + 1], value FROM """ + _EXPLODED.format(v="features")))
 def prj_feature_names(spark, sf_dir):
     """Long form: positional names where the width does not fit, real names where it does."""
     names = schema.feature_names()
     df = B.feat(spark, sf_dir)
     both = df.select("vec_id", F.inline(vectors.named(F.col("features"), names))).unionByName(
-        df.select("vec_id", F.inline(vectors.named(vectors.truncate(F.col("features"), 3), names[:3]))))
+        df.select("vec_id", F.inline(vectors.named(F.col("features"), names[:64]))))
     return both.select("vec_id", F.col("pos").cast("long").alias("pos"), "feature", "value")
 
 

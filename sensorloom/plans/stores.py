@@ -14,20 +14,21 @@ from sensorloom.sources import recordings, stores
 
 @query("src_validate", with_ctes([B.SIG_SQL], """
 SELECT subject_id, array_to_string([s FOR s IN ['error', 'click', 'view', 'purchase', 'signup'] IF NOT list_contains(seen, s)], ',') AS missing
-FROM (SELECT user_id AS subject_id, list(DISTINCT event_type) AS seen FROM events WHERE value > 15 GROUP BY user_id)"""))
+FROM (SELECT user_id AS subject_id, list(DISTINCT event_type) AS seen FROM events GROUP BY user_id)"""))
 def src_validate(spark, sf_dir):
-    """Which event kinds does a user lack among the large values?"""
-    events = B.table(spark, sf_dir, "events").where("value > 15").select(F.col("user_id").alias("subject_id"), F.col("event_type").alias("sensor"))
+    """Which event kinds does a user lack?"""
+    events = B.table(spark, sf_dir, "events").select(F.col("user_id").alias("subject_id"), F.col("event_type").alias("sensor"))
     out = recordings.missing_sensors(events, ["error", "click", "view", "purchase", "signup"])
     return out.select("subject_id", F.array_join("missing", ",").alias("missing"))
 
 
-@query("src_multi", """SELECT subject_id, n FROM (
-  SELECT 'events' AS subject_id, count(*) AS n FROM events UNION ALL SELECT 'orders', count(*) FROM orders
-  UNION ALL SELECT 'lineitem', count(*) FROM lineitem UNION ALL SELECT 'customer', count(*) FROM customer)""")
+ALL_TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations").split()
+
+
+@query("src_multi", "SELECT subject_id, n FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS subject_id, count(*) AS n FROM {t}" for t in ALL_TABLES) + ")")
 def src_multi(spark, sf_dir):
     """Scan a folder of recordings; the id is the file stem."""
-    df = recordings.read_directory(spark, sf_dir, schema="l_orderkey long", pattern="{events,orders,lineitem,customer}.parquet")
+    df = recordings.read_directory(spark, sf_dir, schema="l_orderkey long")
     return df.groupBy("subject_id").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -38,22 +38,22 @@ MANUAL_EPSILON = 1e-6
 MANUAL_MIN_SHARE = 0.9
 MANUAL_MAX_SHARE = 1.1
 
-# sensor, unit, hint, low (baseline centroid), high (stress centroid), critical
+# sensor, low (baseline centroid), high (stress centroid), critical
 SENSOR_ROWS = [
-    ("Chest Acc X", "g", "~0.77–0.85", 0.77, 0.85, 0.89),
-    ("Chest Acc Y", "g", "~−0.05–0.0", -0.049, -0.009, 0.01),
-    ("Chest Acc Z", "g", "~−0.39–−0.27", -0.391, -0.266, -0.20),
-    ("Chest ECG", "mV", "~0.001", 0.00115, 0.00102, 0.00095),
-    ("Chest EMG", "mV", "~−0.003", -0.00292, -0.00291, -0.00314),
-    ("Chest EDA", "µS", "3.9–6.0", 3.9, 6.0, 7.0),
-    ("Chest Temp", "°C", "33–34", 33.4, 34.1, 34.5),
-    ("Chest Resp", "a.u.", "~0.05", 0.056, 0.050, 0.046),
-    ("Wrist Acc X", "1/64g", "14–17", 14.3, 17.3, 19.0),
-    ("Wrist Acc Y", "1/64g", "−9 – −4", -4.4, -9.4, -12.0),
-    ("Wrist Acc Z", "1/64g", "3–12", 12.4, 3.1, -2.0),
-    ("Wrist BVP", "a.u.", "~0.0", 0.005, 0.018, 0.025),
-    ("Wrist EDA", "µS", "1.3–3.4", 1.3, 3.4, 4.5),
-    ("Wrist Temp", "°C", "32.6–33.3", 33.3, 32.7, 32.3),
+    ("Chest Acc X", 0.77, 0.85, 0.89),
+    ("Chest Acc Y", -0.049, -0.009, 0.01),
+    ("Chest Acc Z", -0.391, -0.266, -0.20),
+    ("Chest ECG", 0.00115, 0.00102, 0.00095),
+    ("Chest EMG", -0.00292, -0.00291, -0.00314),
+    ("Chest EDA", 3.9, 6.0, 7.0),
+    ("Chest Temp", 33.4, 34.1, 34.5),
+    ("Chest Resp", 0.056, 0.050, 0.046),
+    ("Wrist Acc X", 14.3, 17.3, 19.0),
+    ("Wrist Acc Y", -4.4, -9.4, -12.0),
+    ("Wrist Acc Z", 12.4, 3.1, -2.0),
+    ("Wrist BVP", 0.005, 0.018, 0.025),
+    ("Wrist EDA", 1.3, 3.4, 4.5),
+    ("Wrist Temp", 33.3, 32.7, 32.3),
 ]
 
 # Ratio bands: (upper bound exclusive, level, colour, gauge class); the last has no bound.
@@ -130,8 +130,6 @@ def feature_names(channels: list[str] | None = None) -> list[str]:
 
 SENSOR_SCHEMA = T.StructType([
     T.StructField("sensor", T.StringType()),
-    T.StructField("unit", T.StringType()),
-    T.StructField("hint", T.StringType()),
     T.StructField("low", T.DoubleType()),
     T.StructField("high", T.DoubleType()),
     T.StructField("critical", T.DoubleType()),

@@ -28,16 +28,19 @@ def spread(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def is_local(master: str) -> bool:
+    """Do driver and executors run in one process? A local cluster has several."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession, kind: str) -> str:
     """A fresh folder below the cluster's shared checkpoint folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        current = spark.sparkContext.getCheckpointDir()
-        if current:
-            base = current
-        else:  # nothing configured: a local test session
-            base = tempfile.mkdtemp(prefix="sensorloom-")
-            spark.sparkContext.setCheckpointDir(base)
+        if not is_local(spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="sensorloom-")  # one machine: its own folder is shared
+        spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 

@@ -61,7 +61,7 @@ def test_tracking_id(spark, raw, clean_id):
 
 
 def test_tracking_id_folds_accents(spark):
-    assert one(spark, text.tracking_id(F.lit("Zoë Ångström"), fold=True)) == "Zoe_Angstrom"
+    assert one(spark, text.tracking_id(F.lit("Zoë Ångström"))) == "Zoe_Angstrom"
 
 
 def test_natural_order(spark):
@@ -104,3 +104,38 @@ def test_percent_text(spark):
     assert one(spark, text.delta_text(F.lit(None).cast("double"))) == "No previous entry yet"
     assert one(spark, text.percent(F.lit(0.12345), 2)) == 12.35 or one(spark, text.percent(F.lit(0.12345), 2)) == 12.34
     assert one(spark, text.css_slug(F.lit("High Stress"))) == "high-stress"
+
+
+def test_natural_order_of_long_numbers(spark):
+    ids = ["S" + "9" * 20 + "12", "S" + "9" * 20 + "13", "S2", "S010", "S"]
+    df = spark.createDataFrame([(i,) for i in reversed(ids)], "s string").orderBy(text.natural_key(F.col("s")))
+    assert [r.s for r in df.collect()] == ["S", "S2", "S010", ids[0], ids[1]]
+
+
+def test_times_do_not_depend_on_the_session_zone(spark):
+    row = spark.range(1).select(F.timestamp_seconds(F.lit(0)).alias("t"))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for name in ("UTC", "America/New_York", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            got = row.select(text.iso_utc(F.col("t")).alias("iso"), F.unix_seconds(text.history_bound(F.lit("1970-01-01T00:00"))).alias("utc"),
+                             F.unix_seconds(text.history_bound(F.lit("1970-01-01T00:00:00"), zone="America/New_York")).alias("ny")).first()
+            assert tuple(got) == ("1970-01-01T00:00:00Z", 0, 18000)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_shared_folder_is_required_on_a_cluster():
+    from sensorloom.session import is_local, shared_dir
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda name, default=None: default)
+
+        class sparkContext:
+            master = "local-cluster[3,2,3000]"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    assert is_local("local[4]") and is_local("local") and not is_local("yarn")
+    with pytest.raises(ValueError):
+        shared_dir(Session, "x")
