@@ -1,132 +1,88 @@
-"""Exact k nearest neighbours without comparing every pair.
+"""k nearest neighbours against a bounded training matrix.
 
-Training vectors are assigned to pivots. A query first searches its own pivot's cell, which bounds
-the distance of its k-th neighbour; the triangle inequality then rules out every cell that cannot
-hold a closer vector. Cells are cut into blocks of bounded size, so a crowded cell spreads over many
-tasks, and copies of one vector are reduced to the k that can ever be used.
+The training rows of a nearest-neighbour classifier are a bounded sample of labelled rows: at most
+``MAX_TRAIN_ROWS``, those first in a hash order of their ids when there are more. They travel to the tasks as one matrix, and
+queries of any number are scored where they are: no shuffle, no copies, in batch and on streams alike.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sensorloom.session import materialise
-
-MAX_PIVOTS = 1024
-BLOCK_ROWS = 1024
-
-_HIT = T.ArrayType(T.StructType([
-    T.StructField("qid", T.LongType()), T.StructField("distance", T.DoubleType()),
-    T.StructField("tid", T.LongType()), T.StructField("label", T.IntegerType()),
-]))
-_CELL = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("dist", T.DoubleType())])
+MAX_TRAIN_ROWS = 100_000
+CELLS = 4_000_000  # distances computed at a time
+
+
+@dataclass
+class Training:
+    """Training rows in id order."""
+
+    tid: np.ndarray
+    label: np.ndarray
+    x: np.ndarray
+
+    def nearest(self, q: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query the places and distances of its k nearest rows, smaller id first on a tie."""
+        k = min(k, len(self.tid))
+        norms = (self.x**2).sum(axis=1)
+        step = max(1, CELLS // max(1, len(self.tid)))
+        for at in range(0, len(q), step):
+            part = q[at : at + step]
+            # One matrix product finds who may be near; those few get exact distances.
+            square = (part**2).sum(axis=1)[:, None] + norms[None, :] - 2 * part @ self.x.T
+            limit = np.partition(square, k - 1, axis=1)[:, k - 1] if k else np.zeros(len(part))
+            slack = 1e-9 * ((part**2).sum(axis=1) + norms.max(initial=0.0)) + 1e-12
+            for v, row, most in zip(part, square, limit + slack):
+                near = np.flatnonzero(row <= most)
+                distance = np.sqrt(((self.x[near] - v) ** 2).sum(axis=1))
+                order = np.argsort(distance, kind="stable")[:k]
+                yield near[order], distance[order]
+
+
+def training(train: DataFrame, train_id: str = "vec_id", vector: str = "features", label: str = "label", most: int = MAX_TRAIN_ROWS) -> Training:
+    """Fetch the training matrix; ``most`` rows at most."""
+    t = train.select(F.col(train_id).cast("long").alias("tid"), F.col(label).cast("int").alias("label"), F.col(vector).alias("v"))
+    rows = t.orderBy(F.xxhash64("tid"), "tid").limit(most).toPandas().sort_values("tid", kind="stable")
+    return Training(rows["tid"].to_numpy(), rows["label"].to_numpy(), _matrix(rows["v"]))
 
 
 def _matrix(vectors) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
-
-
-def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.stack([np.sqrt(((x - p) ** 2).sum(axis=1)) for p in pivots], axis=1)
-
-
-def _distinct_train(train: DataFrame, k: int) -> DataFrame:
-    """One row per distinct vector with its k smallest ids; no other copy can be among k neighbours."""
-    w = W.partitionBy("v").orderBy("tid")
-    few = train.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k)
-    return few.groupBy("v").agg(F.array_sort(F.collect_list(F.struct("tid", "label"))).alias("members"))
+    return np.stack([np.asarray(v, dtype=np.float64) for v in vectors]) if len(vectors) else np.zeros((0, 0))
 
 
 def neighbours(
     train: DataFrame, queries: DataFrame, k: int = 5, *, train_id: str = "vec_id", query_id: str = "vec_id",
-    vector: str = "features", label: str = "label", block_rows: int = BLOCK_ROWS, max_pivots: int = MAX_PIVOTS,
+    vector: str = "features", label: str = "label", most: int = MAX_TRAIN_ROWS,
 ) -> DataFrame:
     """(qid, rank, tid, label, distance): the k nearest training rows, smaller id first on a tie."""
-    t = train.select(F.col(train_id).cast("long").alias("tid"), F.col(label).cast("int").alias("label"), F.col(vector).alias("v"))
-    distinct = materialise(_distinct_train(t, k), "train")
-    n = distinct.count()
-    n_pivots = max(1, min(max_pivots, math.isqrt(n)))
-    # At most max_pivots vectors come to the driver, whatever the table size.
-    chosen = distinct.select("v").orderBy(F.xxhash64("v"), "v").limit(n_pivots).collect()
-    pivots = _matrix([r.v for r in chosen])
-
-    @F.pandas_udf(_CELL)
-    def nearest_pivot(v: pd.Series) -> pd.DataFrame:
-        d = _distances(_matrix(v), pivots)
-        best = d.argmin(axis=1)
-        return pd.DataFrame({"cell": best.astype("int32"), "dist": d[np.arange(len(d)), best]})
-
-    placed = materialise(distinct.withColumn("c", nearest_pivot("v")).select("v", "members", "c.*"), "cells")
-    cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("radius")).collect()
-    radius = np.full(len(pivots), -np.inf)
-    blocks = np.zeros(len(pivots), dtype=int)
-    for c in cells:
-        radius[c.cell], blocks[c.cell] = c.radius, -(-c.n // block_rows)
-    n_blocks = F.array(*[F.lit(int(b)) for b in blocks])
-
-    part = F.pmod(F.xxhash64("v"), F.greatest(F.get(n_blocks, F.col("cell")), F.lit(1))).cast("int")
-    train_blocks = placed.groupBy("cell", part.alias("part")).agg(F.collect_list(F.struct("v", "members")).alias("rows"))
-
-    @F.pandas_udf(_HIT)
-    def search(qs: pd.Series, ts: pd.Series) -> pd.Series:
-        out = []
-        for q_rows, t_rows in zip(qs, ts):
-            tm = _matrix([r["v"] for r in t_rows])
-            hits = []
-            for q in q_rows:
-                d = np.sqrt(((tm - np.asarray(q["v"])) ** 2).sum(axis=1))
-                near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
-                found = [(float(d[i]), int(m["tid"]), int(m["label"])) for i in near for m in t_rows[i]["members"]]
-                hits += [(int(q["qid"]), *h) for h in sorted(found)[:k]]
-            out.append([dict(zip(("qid", "distance", "tid", "label"), h)) for h in hits])
-        return pd.Series(out, dtype=object)
-
-    def look_up(wanted: DataFrame) -> DataFrame:
-        """Rows (qid, v, cell) against the blocks of their cell."""
-        grouped = (
-            wanted.withColumn("__g", F.pmod(F.xxhash64("qid"), F.lit(groups)))
-            .groupBy("cell", "__g").agg(F.collect_list(F.struct("qid", "v")).alias("qs"))
-            .withColumn("part", F.explode(F.sequence(F.lit(0), F.get(n_blocks, F.col("cell")) - 1)))
-        )
-        pairs = grouped.join(train_blocks, ["cell", "part"])
-        return pairs.select(F.inline(search("qs", "rows")))
+    sent = train.sparkSession.sparkContext.broadcast(_arrays(training(train, train_id, vector, label, most)))
+
+    def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = Training(*sent.value)
+        for pdf in parts:
+            if not len(pdf) or not len(known.tid):
+                continue
+            found = list(known.nearest(_matrix(pdf["v"]), k))
+            at, d = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+            sizes = [len(f[0]) for f in found]
+            yield pd.DataFrame({
+                "qid": np.repeat(pdf["qid"].to_numpy(), sizes), "rank": np.concatenate([np.arange(1, s + 1) for s in sizes]),
+                "tid": known.tid[at], "label": known.label[at], "distance": d})
 
     q = queries.select(F.col(query_id).cast("long").alias("qid"), F.col(vector).alias("v"))
-    own = materialise(q.withColumn("c", nearest_pivot("v")).select("qid", "v", "c.cell"), "queries")
-    groups = max(1, -(-own.count() // block_rows))
-    first = materialise(look_up(own), "first")
-    bound = _bounds(first, k)
+    return q.mapInPandas(search, "qid long, rank int, tid long, label int, distance double")
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def cells_in_reach(v: pd.Series, own_cell: pd.Series, limit: pd.Series) -> pd.Series:
-        d = _distances(_matrix(v), pivots)
-        lim = limit.to_numpy(dtype=np.float64)
-        lim = np.where(np.isfinite(lim), lim * (1 + 1e-9) + 1e-12, np.inf)
-        reach = (d - radius[None, :] <= lim[:, None]) & (blocks > 0)[None, :]
-        reach[np.arange(len(d)), own_cell.to_numpy(dtype=int)] = False
-        return pd.Series([np.flatnonzero(r).astype("int32") for r in reach], dtype=object)
 
-    limited = own.join(bound, "qid", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
-    more = limited.select("qid", "v", F.explode(cells_in_reach("v", "cell", "bound")).alias("cell"))
-    return _best(first.unionByName(look_up(more)), k)
-
-
-def _best(hits: DataFrame, k: int) -> DataFrame:
-    w = W.partitionBy("qid").orderBy("distance", "tid")
-    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def _bounds(hits: DataFrame, k: int) -> DataFrame:
-    """Distance of the k-th neighbour found so far; unbounded while fewer are known."""
-    enough = F.count(F.lit(1)) >= k
-    return _best(hits, k).groupBy("qid").agg(F.when(enough, F.max("distance")).otherwise(F.lit(float("inf"))).alias("bound"))
+def _arrays(t: Training) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return t.tid, t.label, t.x  # plain arrays: executors need no copy of this package
 
 
 def vote(found: DataFrame, labels: list[int]) -> DataFrame:
@@ -140,3 +96,20 @@ def vote(found: DataFrame, labels: list[int]) -> DataFrame:
     scored = scored.select("qid", share.alias("probability"))
     top = F.array_position("probability", F.array_max("probability")).cast("int")
     return scored.select("qid", F.element_at(F.array(*[F.lit(c) for c in labels]), top).alias("prediction"), "probability")
+
+
+def judge(train: DataFrame, vector: Column, k: int, labels: list[int], train_id: str = "vec_id", train_vector: str = "features", label: str = "label") -> Column:
+    """The same vote as a column: struct of ``prediction`` and ``probability`` of each row's vector, row by row."""
+    sent = train.sparkSession.sparkContext.broadcast(_arrays(training(train, train_id, train_vector, label)))
+
+    @F.pandas_udf(T.StructType([T.StructField("prediction", T.IntegerType()), T.StructField("probability", T.ArrayType(T.DoubleType()))]))
+    def verdict(vectors: pd.Series) -> pd.DataFrame:
+        known = Training(*sent.value)
+        shares = np.zeros((len(vectors), len(labels)))
+        for i, (at, d) in enumerate(known.nearest(_matrix(vectors), k) if len(vectors) else ()):
+            weight = (d == 0).astype(float) if (d == 0).any() else 1 / d
+            votes = np.array([weight[known.label[at] == c].sum() for c in labels])
+            shares[i] = votes / weight.sum()
+        return pd.DataFrame({"prediction": np.array(labels, dtype="int32")[shares.argmax(axis=1)], "probability": list(shares)})
+
+    return verdict(vector)

@@ -2,7 +2,7 @@
 
 Tree and linear learners are MLlib's. Where MLlib has no counterpart the catalogue composes one:
 multi-class boosting is one-vs-rest, the kernel SVM is a linear SVM on random Fourier features
-(Rahimi and Recht, 2007), nearest neighbours is the exact join of :mod:`knn`.
+(Rahimi and Recht, 2007), nearest neighbours score against the bounded matrix of :mod:`knn`.
 """
 
 from __future__ import annotations
@@ -82,11 +82,10 @@ class Fitted:
         }).drop(*drop)
 
     def _vote(self, rows: DataFrame, row_id: str) -> DataFrame:
-        scaled = _vectors(rows)
-        scaled = self.pipeline.transform(scaled).withColumn("scaled", vector_to_array("scaled"))
-        found = knn.neighbours(self.train, scaled, self.extra["k"], train_id="tid", query_id=row_id, vector="scaled")
-        votes = knn.vote(found, self.labels).withColumnRenamed("qid", row_id)
-        return rows.join(votes, row_id)
+        scaled = self.pipeline.transform(_vectors(rows))
+        found = knn.judge(self.train, vector_to_array("scaled"), self.extra["k"], self.labels, train_id="tid", train_vector="scaled")
+        told = scaled.withColumn("__v", found)
+        return told.withColumns({"prediction": F.col("__v.prediction"), "probability": F.col("__v.probability")}).drop("__v", "__x", "__c", "scaled")
 
     def importances(self) -> DataFrame | None:
         """(pos, importance), or None when the classifier has none."""

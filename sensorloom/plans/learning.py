@@ -72,8 +72,8 @@ def ml_knn(spark, sf_dir):
     """Every vector, halved, against all vectors."""
     feat = B.feat(spark, sf_dir)
     halved = feat.select("vec_id", F.transform("features", lambda v: v * 0.5).alias("features"))
-    votes = knn.vote(knn.neighbours(feat, halved, 5), [1, 2, 3])
-    return votes.select(F.col("qid").alias("vec_id"), "prediction", F.round(F.get("probability", F.lit(1)), 6).alias("p_stress"))
+    votes = halved.select("vec_id", knn.judge(feat, F.col("features"), 5, [1, 2, 3]).alias("v"))
+    return votes.select("vec_id", "v.prediction", F.round(F.get("v.probability", F.lit(1)), 6).alias("p_stress"))
 
 
 _CENTROID_SQL = with_ctes([B.FEAT_SQL,

@@ -10,9 +10,7 @@ from sensorloom.operators.learn import Fitted, stress_probability
 
 
 def score_stream(features: DataFrame, model: Fitted, row_id: str) -> DataFrame:
-    """Row-wise only, so it runs stateless. Nearest neighbours need joins and are batch only."""
-    if model.train is not None:
-        raise ValueError("a nearest-neighbour model cannot score a stream")
+    """Row-wise only, so it runs stateless, for every classifier of the catalogue."""
     scored = model.score(features, row_id)
     return scored.withColumns({
         "label_name": L.label_name(F.col("prediction")), "is_stressed": L.is_stressed(F.col("prediction")),

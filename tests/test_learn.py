@@ -29,14 +29,15 @@ def brute_knn(train, query, k):
     return out
 
 
-@pytest.mark.parametrize("block_rows,pivots", [(1024, 1024), (5, 1024), (7, 1), (3, 40)])
-def test_knn_is_exact(spark, block_rows, pivots):
-    """Clusters, many copies of one vector, tiny blocks: the same neighbours as all pairs."""
+@pytest.mark.parametrize("cells", [4_000_000, 500])
+def test_knn_is_exact(spark, cells, monkeypatch):
+    """Clusters, many copies of one vector, few distances at a time: the same neighbours as all pairs."""
+    monkeypatch.setattr(knn, "CELLS", cells)
     x = np.concatenate([RNG.normal(size=(70, 3)), RNG.normal(size=(40, 3)) * 0.01 + 4, np.tile([[1.0, 1.0, 1.0]], (60, 1)), np.round(RNG.normal(size=(30, 3)))])
     train = spark.createDataFrame([(i, [float(a) for a in v], i % 3 + 1) for i, v in enumerate(x)], "vec_id long, features array<double>, label int")
     q = np.concatenate([x[::9], RNG.normal(size=(20, 3)) * 2])
     queries = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(q)], "vec_id long, features array<double>")
-    got = knn.neighbours(train, queries, 5, block_rows=block_rows, max_pivots=pivots)
+    got = knn.neighbours(train, queries, 5)
     mine = {}
     for r in got.orderBy("qid", "rank").collect():
         mine.setdefault(r.qid, []).append((r.distance, r.tid))
@@ -44,6 +45,12 @@ def test_knn_is_exact(spark, block_rows, pivots):
         assert [t for _, t in mine[i]] == [t for _, t in want] and np.allclose([d for d, _ in mine[i]], [d for d, _ in want])
 
 
+def test_knn_training_rows_are_bounded_by_a_parameter(spark):
+    train = spark.createDataFrame([(i, [float(i)], 1) for i in range(50)], "vec_id long, features array<double>, label int")
+    got = knn.training(train, most=20)
+    assert len(got.tid) == 20 and list(got.tid) == sorted(got.tid) and list(knn.training(train, most=20).tid) == list(got.tid)
+
+
 def test_vote(spark):
     rows = [(1, 0.0, 7, 2), (1, 0.0, 8, 3), (1, 0.1, 9, 1), (2, 1.0, 1, 1), (2, 0.5, 2, 3), (2, 1.0, 3, 1), (3, 2.0, 4, 3)]
     found = spark.createDataFrame(rows, "qid long, distance double, tid long, label int")

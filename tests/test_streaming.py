@@ -142,5 +142,6 @@ def test_score_stream_equals_batch(spark, tmp_path):
     got = run.drain(score.score_stream(stream, model, "vec_id").select("vec_id", "prediction", "p_stress"), "t-score")
     want = {r.vec_id: r.prediction for r in model.score(df, "vec_id").collect()}
     assert {r.vec_id: r.prediction for r in got.collect()} == want
-    with pytest.raises(ValueError):
-        score.score_stream(stream, learn.fit(df, "KNN"), "vec_id")
+    near = learn.fit(df, "KNN")
+    got = run.drain(score.score_stream(stream, near, "vec_id").select("vec_id", "prediction"), "t-near")
+    assert {r.vec_id: r.prediction for r in got.collect()} == {r.vec_id: r.prediction for r in near.score(df, "vec_id").collect()}
