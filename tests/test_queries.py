@@ -38,7 +38,7 @@ def test_matches_sql_when_no_key_fits_one_task(spark, sf, duck, name, monkeypatc
     compare(spark, sf, duck, name)
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - set(ORACLES) - {"ml_compare", "ml_general"}))
+@pytest.mark.parametrize("name", sorted(set(queries()) - set(ORACLES)))
 def test_runs(spark, sf, name):
     assert queries()[name](spark, sf).count() > 0
 
