@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.llm.common import drop, hash_words, mix, packed, pieces, split_words, stage
+from sensorloom.session import materialise
 
 WORDS = 3
 PERCENT = 90
@@ -279,7 +280,7 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least).where("u != v").distinct()
-        edges = stage(small, "components")
+        edges = materialise(small, "components")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
         if now == before:
             return edges.select(F.col("u").alias("sig"), F.col("v").alias("label"))
@@ -314,7 +315,8 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
     member = described.select("id", "n", "sig").join(labels, "sig", "left").select("id", "n", F.coalesce("label", "sig").alias("label"))
     linked = F.col("id").isNotNull() & (F.col("n") > 0)
-    least = member.where(linked).groupBy("label").agg(F.min("id").alias("component"))
+    # Written, so that the join below may split a component that holds a large part of all rows.
+    least = materialise(member.where(linked).groupBy("label").agg(F.min("id").alias("component")), "least")
     joined = member.where(linked).join(least, "label").select("id", "n", "component")
     alone = member.where(~linked).select("id", "n", F.col("id").alias("component"))
     return joined.union(alone).select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
