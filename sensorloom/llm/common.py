@@ -17,7 +17,8 @@ from sensorloom.session import materialise
 SPACE = "[\\x20\\x09-\\x0D]+"
 # Bytes of text that a task works on at a time.
 PIECE_BYTES = 8 << 20
-PAUSE_S = 1.0
+PAUSE_S = 0.5
+WAIT_MS = 60_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -29,12 +30,14 @@ def stage(df: DataFrame, kind: str) -> DataFrame:
 
     Spark deletes shuffle files when the driver's JVM collects the plan that made them; asking for that
     after each written step keeps the peak disk use at one step, not at the sum of all. The event queue
-    holds the finished plan for a moment, hence the pause.
+    holds the finished plan until it is empty, hence the wait.
     """
     out = materialise(df, kind)
     gc.collect()
+    context = df.sparkSession.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty(WAIT_MS)
     time.sleep(PAUSE_S)
-    df.sparkSession.sparkContext._jvm.System.gc()
+    context._jvm.System.gc()
     return out
 
 

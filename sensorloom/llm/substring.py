@@ -27,6 +27,7 @@ are not carried over. Words meet as 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,7 @@ from sensorloom.llm.common import drop, hash_words, mix, pieces, split_words, st
 
 WIDTH = 13
 ROUNDS = 2
+PARTS = 2
 LONGEST = 3  # symbols of at least so many words weigh the same
 SEED = np.uint64(0x9E3779B97F4A7C15)
 
@@ -183,6 +185,11 @@ def _kept(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["id", "n_words", "n_removed", "kept"])
 
 
+def parts(rows: DataFrame, name: str) -> list[DataFrame]:
+    """All rows in PARTS blocks of names, one after the other, so that only one block's shuffle is on disk at a time."""
+    return [rows.where(F.pmod(F.col(name), F.lit(PARTS)) == p) for p in range(PARTS)]
+
+
 def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, rounds: int = ROUNDS) -> DataFrame:
     """``key``, ``n_words``, ``n_removed`` and ``kept``: the words that no repeated window covers, joined by single spaces."""
     kind = docs.schema[key].dataType.simpleString()
@@ -190,16 +197,20 @@ def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     hashed = own.withColumn("hash", F.hash("text"))  # tells apart rows that share an id
     known = hashed.where("id IS NOT NULL AND text IS NOT NULL")
     anchors = stage(known.mapInArrow(lambda b: _anchors(b, width, rounds), f"name long, id {kind}, hash int, at int, n int"), "anchors")
-    shared = anchors.groupBy("name").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("name")
-    hits = anchors.join(shared, "name", "left_semi").groupBy("id", "hash").agg(F.collect_list(F.struct("at", "n")).alias("hits"))
-    hits = stage(hits, "hits")
+    found = []
+    for part in parts(anchors, "name"):
+        shared = part.groupBy("name").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("name")
+        found.append(stage(part.join(shared, "name", "left_semi").select("id", "hash", "at", "n"), "shared"))
     drop(anchors)
-    found = known.join(hits, ["id", "hash"]).select("id", "hash", "text", "hits")
-    windows = stage(found.mapInArrow(lambda b: _windows(b, width), f"a long, b int, id {kind}, hash int, at int"), "windows")
-    first = windows.groupBy("a", "b").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("a", "b", "low")
-    marks = windows.join(first, ["a", "b"]).where("id > low").groupBy("id", "hash").agg(F.collect_list("at").alias("marks"))
-    marks = stage(marks, "marks")
+    hits = stage(reduce(DataFrame.union, found).groupBy("id", "hash").agg(F.collect_list(F.struct("at", "n")).alias("hits")), "hits")
+    texts = known.join(hits, ["id", "hash"]).select("id", "hash", "text", "hits")
+    windows = stage(texts.mapInArrow(lambda b: _windows(b, width), f"a long, b int, id {kind}, hash int, at int"), "windows")
+    found = []
+    for part in parts(windows, "a"):
+        first = part.groupBy("a", "b").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("a", "b", "low")
+        found.append(stage(part.join(first, ["a", "b"]).where("id > low").select("id", "hash", "at"), "again"))
     drop(windows)
+    marks = stage(reduce(DataFrame.union, found).groupBy("id", "hash").agg(F.collect_list("at").alias("marks")), "marks")
     marked = hashed.join(marks, ["id", "hash"], "left").select("id", "text", "marks")
     out = marked.mapInArrow(lambda b: _kept(b, width), f"id {kind}, n_words long, n_removed long, kept string")
     return out.withColumnRenamed("id", key)
