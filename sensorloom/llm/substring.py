@@ -39,7 +39,7 @@ from sensorloom.llm.common import drop, hash_words, mix, pieces, split_words, st
 
 WIDTH = 13
 ROUNDS = 2
-PARTS = 2
+PARTS = 3
 LONGEST = 3  # symbols of at least so many words weigh the same
 SEED = np.uint64(0x9E3779B97F4A7C15)
 
@@ -200,6 +200,7 @@ def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     found = []
     for part in parts(anchors, "name"):
         shared = part.groupBy("name").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("name")
+        shared = stage(shared, "names")  # a table of its own, so that the join may split hot names
         found.append(stage(part.join(shared, "name", "left_semi").select("id", "hash", "at", "n"), "shared"))
     drop(anchors)
     hits = stage(reduce(DataFrame.union, found).groupBy("id", "hash").agg(F.collect_list(F.struct("at", "n")).alias("hits")), "hits")
@@ -208,6 +209,7 @@ def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     found = []
     for part in parts(windows, "a"):
         first = part.groupBy("a", "b").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("a", "b", "low")
+        first = stage(first, "first")
         found.append(stage(part.join(first, ["a", "b"]).where("id > low").select("id", "hash", "at"), "again"))
     drop(windows)
     marks = stage(reduce(DataFrame.union, found).groupBy("id", "hash").agg(F.collect_list("at").alias("marks")), "marks")
