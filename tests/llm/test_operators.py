@@ -308,6 +308,22 @@ def test_model_is_a_distribution_and_bands_reject_noise(spark, docs):
     assert abs(np.exp(model.score(np.arange(quality.SYMBOLS) + history)).sum() - 1) < 1e-3
 
 
+def test_every_language_has_a_model_of_its_own(spark):
+    rnd = random.Random(2)
+    rows = []
+    for k in range(19):  # each language has its own letters; the later ones are rarer
+        words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz"[k : k + 8]) for _ in range(rnd.randint(2, 7))) for _ in range(120)]
+        rows += [(100 * k + i, " ".join(rnd.choice(words) for _ in range(120)), f"l{k:02d}" if k < 18 else None) for i in range(40 - k)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    alone = {}
+    for lang in ("l00", "l17", None):
+        alone |= {r.doc_id: r for r in quality.assess(table.where(table.lang.eqNullSafe(lang))).collect()}
+    together = quality.assess(table).collect()
+    assert len(together) == len(rows) and all(r.low is not None for r in together)
+    assert {r.doc_id: (r.log_perplexity, r.low) for r in together if r.doc_id in alone} == {i: (r.log_perplexity, r.low) for i, r in alone.items()}
+    assert {r.doc_id for r in quality.keep(table).collect()} == {r.doc_id for r in together if r.kept}
+
+
 # --- op7 ---------------------------------------------------------------------------------------
 
 PRIVATE = [
