@@ -324,6 +324,16 @@ def test_every_language_has_a_model_of_its_own(spark):
     assert {r.doc_id for r in quality.keep(table).collect()} == {r.doc_id for r in together if r.kept}
 
 
+def test_texts_full_of_symbols_are_counted_too(spark):
+    rnd, words = random.Random(4), vocabulary(200)
+    cells = [(i, "| ".join(rnd.choice(words) for _ in range(90)), "tables") for i in range(30)]
+    plain = [(100 + i, " ".join(rnd.choice(words) for _ in range(90)), "plain") for i in range(30)]
+    table = spark.createDataFrame(cells + plain, "doc_id long, text string, lang string")
+    assert all(r.kept and r.log_perplexity is not None for r in quality.assess(table).collect())
+    counted = quality.count_ngrams(table, quality.languages(table)).groupBy().agg(F.sum("n")).first()[0]
+    assert counted == sum(len(t) + 1 for _, t, _ in cells + plain)  # every character and the border after each text
+
+
 # --- op7 ---------------------------------------------------------------------------------------
 
 PRIVATE = [
