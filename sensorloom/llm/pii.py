@@ -9,7 +9,7 @@ in all documents, and whoever has the key can undo it (``decrypt=True``).
 A domain is a product of two sizes (left, right); rounds add the round function of one half to the other,
 modulo its size, so every round is a permutation of the domain. Domains:
 
-card number    first digit kept, the digits up to the check digit permuted, Luhn digit recomputed
+card number    first digit kept (of a 2-series number four), the digits up to the check digit permuted, Luhn digit recomputed
 IBAN           country kept, the rest permuted (letters and digits as base 36), check digits recomputed
 phone          prefix kept; North American numbers stay in 200-999 for both groups of three digits
 national no.   three groups, each in its valid range
@@ -21,7 +21,7 @@ DataFrame expressions only. Matches are cut out of a text and put back with the
 characters stay as they are. Texts without a digit or an @ are passed on unread.
 
 Defined results: a null text stays null, an empty one empty; candidates that fail validation stay; values
-inside longer words or numbers are no candidates; repeated rows give repeated rows; all columns are kept.
+inside longer words or numbers are no candidates; of a card, IBAN or foreign phone number and what follows it, the longest valid part is the value; repeated rows give repeated rows; all columns are kept.
 A permutation may map a value to itself, with a chance of one in the size of its domain.
 """
 
@@ -33,15 +33,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
+WALK = 64  # the chance that a value needs more moves is below 1e-20
 DEFAULT_KEY = "test key: give your own"  # callers with real data pass a secret
 
 # A word or number must not continue on either side of a value.
-CARD = r"(?<![\p{L}\p{N}_.+-])[3-6](?:[ -]?\d){12,18}(?![\p{L}\p{N}_]|[.-]\d)"
+CARD = r"(?<![\p{L}\p{N}_.+-])(?:[3-6](?:[ -]?\d){12,18}|2(?:22[1-9]|2[3-9]\d|[3-6]\d\d|7[01]\d|720)(?:[ -]?\d){12})(?![\p{L}\p{N}_]|[.-]\d)"
 PHONE = r"(?<![\p{L}\p{N}_.+])(?:\+1[ .-]?)?(?:\([2-9]\d\d\) ?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4}(?![\p{L}\p{N}_]|[.-]\d)"
 ABROAD = r"(?<![\p{L}\p{N}_])\+[2-9]\d{0,2}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?![\p{L}\p{N}_])"
 NATIONAL = r"(?<![\p{L}\p{N}_.-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}_]|[.-]\d)"
 IPV4 = r"(?<![\p{L}\p{N}_.])(?:\d{1,3}\.){3}\d{1,3}(?![\p{L}\p{N}_]|\.\d)"
-IBAN = r"(?<![\p{L}\p{N}_])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}_])"
+# The length of an IBAN by country; other countries get the general pattern.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
+SIZED = "|".join(f"(?:{c.replace(' ', '|')})\\d{{2}}(?: ?[A-Z0-9]){{{n - 4}}}(?![\\p{{L}}\\p{{N}}_])" for n, c in IBAN_LENGTHS.items())
+IBAN = rf"(?<![\p{{L}}\p{{N}}_])(?:{SIZED}|[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?![\p{{L}}\p{{N}}_]))"
 DATE = r"(?<![\p{L}\p{N}_./-])(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![\p{L}\p{N}_]|[./-]\d)"
 MAIL = r"(?<![\p{L}\p{N}_.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}(?![\p{L}\p{N}_])"
 
@@ -123,14 +130,45 @@ def mod97(text: Column) -> Column:
     return F.aggregate(spots, F.lit(0).cast("long"), lambda a, c: let(F.conv(c, 36, 10).cast("long"), lambda v: (a * F.when(v > 9, 100).otherwise(10) + v) % 97))
 
 
+def longest(m: Column, valid) -> Column:
+    """The length of the longest part of ``m`` from its start to a separator or its end that is valid; null if none is."""
+    ends = F.filter(F.sequence(F.length(m), F.lit(1), F.lit(-1)), lambda n: (n == F.length(m)) | F.substring(m, n + 1, F.lit(1)).isin(" ", "-", "."))
+    return F.get(F.filter(ends, lambda n: valid(F.substring(m, F.lit(1), n))), 0)
+
+
+def part(m: Column, valid, moved) -> Column:
+    """``m`` with its longest valid part moved; null if none is.
+
+    What follows the part stays, so a moved part may be valid together with it; it is then moved again until it isn't
+    (cycle walking), which keeps the whole a permutation that can be undone."""
+
+    def walked(n: Column) -> Column:
+        rest = F.substring(m, n + 1, F.length(m))
+        start = F.struct(F.substring(m, F.lit(1), n).alias("s"), F.lit(False).alias("done"))
+
+        def turn(a: Column, _: Column) -> Column:
+            again = let(moved(a["s"]), lambda s: F.struct(s.alias("s"), F.coalesce(longest(F.concat(s, rest), valid) == n, F.lit(False)).alias("done")))
+            return F.when(a["done"], a).otherwise(again)
+
+        turns = F.sequence(F.lit(1), F.when(n == F.length(m), 1).otherwise(WALK))
+        return F.when(n.isNotNull(), F.aggregate(turns, start, turn, lambda a: F.when(a["done"], F.concat(a["s"], rest))))
+
+    return let(longest(m, valid), walked)
+
+
 def card(c: Cipher, m: Column) -> Column:
-    def moved(d: Column) -> Column:
-        size = F.length(d)
-        body = F.concat(F.substring(d, 1, 1), c.digits("card", F.substring(d, F.lit(2), size - 2)))
-        full = let(body, lambda b: F.concat(b, F.pmod(10 - luhn_sum(F.concat(b, F.lit("0"))) % 10, F.lit(10)).cast("string")))
-        return F.when((luhn_sum(d) % 10 == 0) & size.between(13, 19), fill(m, full))
+    def valid(s: Column) -> Column:
+        return let(bare(s), lambda d: F.length(d).between(13, 19) & (luhn_sum(d) % 10 == 0))
+
+    def moved(s: Column) -> Column:
+        def full(d: Column) -> Column:
+            size, fixed = F.length(d), F.when(d.startswith("2"), 4).otherwise(1)
+            body = F.concat(F.substring(d, F.lit(1), fixed), c.digits("card", F.substring(d, fixed + 1, size - fixed - 1)))
+            return let(body, lambda b: F.concat(b, F.pmod(10 - luhn_sum(F.concat(b, F.lit("0"))) % 10, F.lit(10)).cast("string")))
 
-    return let(bare(m), moved)
+        return fill(s, let(bare(s), full))
+
+    return part(m, valid, moved)
 
 
 def phone(c: Cipher, m: Column) -> Column:
@@ -145,7 +183,10 @@ def phone(c: Cipher, m: Column) -> Column:
 
 
 def abroad(c: Cipher, m: Column) -> Column:
-    return let(bare(m), lambda d: F.when(F.length(d).between(8, 15), fill(m, F.concat(F.substring(d, 1, 3), c.digits("abroad", F.substring(d, F.lit(4), F.length(d)))))))
+    def moved(s: Column) -> Column:
+        return let(bare(s), lambda d: fill(s, F.concat(F.substring(d, 1, 3), c.digits("abroad", F.substring(d, F.lit(4), F.length(d))))))
+
+    return part(m, lambda s: F.length(bare(s)).between(8, 15), moved)
 
 
 def national(c: Cipher, m: Column) -> Column:
@@ -169,16 +210,20 @@ def ipv4(c: Cipher, m: Column) -> Column:
 
 
 def iban(c: Cipher, m: Column) -> Column:
-    def moved(d: Column) -> Column:
-        country, body = F.substring(d, 1, 2), F.substring(d, F.lit(5), F.length(d))
-        valid = (mod97(F.concat(body, country, F.substring(d, 3, 2))) == 1) & F.length(d).between(15, 34)
-        # At most 30 characters: two halves, the first at most 20 of them.
-        head, tail = F.lower(F.substring(body, 1, 20)), F.lower(F.substring(body, F.lit(21), F.length(body)))
-        new = F.upper(F.concat(c.digits("iban", head, 36), F.when(tail == "", "").otherwise(c.digits("iban+", tail, 36))))
-        full = let(new, lambda b: F.concat(country, F.lpad((98 - mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0"), b))
-        return F.when(valid, fill(m, full, "A-Z0-9"))
-
-    return let(bare(m, "A-Z0-9"), moved)
+    def valid(s: Column) -> Column:
+        return let(bare(s, "A-Z0-9"), lambda d: F.length(d).between(15, 34) & (mod97(F.concat(F.substring(d, F.lit(5), F.length(d)), F.substring(d, 1, 4))) == 1))
+
+    def moved(s: Column) -> Column:
+        def full(d: Column) -> Column:
+            country, body = F.substring(d, 1, 2), F.substring(d, F.lit(5), F.length(d))
+            # At most 30 characters: two halves, the first at most 20 of them.
+            head, tail = F.lower(F.substring(body, 1, 20)), F.lower(F.substring(body, F.lit(21), F.length(body)))
+            new = F.upper(F.concat(c.digits("iban", head, 36), F.when(tail == "", "").otherwise(c.digits("iban+", tail, 36))))
+            return let(new, lambda b: F.concat(country, F.lpad((98 - mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0"), b))
+
+        return fill(s, let(bare(s, "A-Z0-9"), full), "A-Z0-9")
+
+    return part(m, valid, moved)
 
 
 def date(c: Cipher, m: Column) -> Column:

@@ -336,6 +336,12 @@ def test_texts_full_of_symbols_are_counted_too(spark):
 
 # --- op7 ---------------------------------------------------------------------------------------
 
+
+def luhn(digits):
+    return sum(d if i % 2 == 0 else 2 * d - 9 * (d > 4) for i, d in enumerate(map(int, reversed(digits))))
+
+
+CARDS = [f"{n}{next(d for d in range(10) if luhn(f'{n}{d}') % 10 == 0)}" for n in range(411111111111111, 411111111111111 + 60)]
 PRIVATE = [
     "call +1 (384) 555-3571 or 384-555-3571", "card 4041894974608795 and 4041 8949 7460 8795", "bosbt.42@mail8.example.com from 21.174.229.103", "born 1984-02-29, 29.02.1984, 12/31/1999",
     "number 123-45-6789", "IBAN DE89 3704 0044 0532 0130 00 or GB82WEST12345698765432", "+44 20 7946 0958",
@@ -363,6 +369,18 @@ def test_pseudonyms_change_values_only_and_can_be_undone(spark):
     assert all(int(x) < 256 for x in re.findall(r"[\d.]+$", out[2])[0].split("."))
 
 
+def test_values_before_other_numbers_and_words(spark):
+    told = {"4111 1111 1111 1111": " 05/27", "4111111111111111": " 123 x", "BE68 5390 0754 7034": " PAID by", "+44 20 7946 0958": " 2024", "2221 0000 0000 0009": ".", "DE89 3704 0044 0532 0130 00": " GB82 WEST 1234 5698 7654 32"}
+    told = [(v + rest, v, rest) for v, rest in told.items()] + [(f"{v} 12", v, " 12") for v in CARDS]
+    rows = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(told)], "doc_id long, text string")
+    hidden = pii.pseudonymise(rows)
+    out = {r.doc_id: r.text for r in hidden.collect()}
+    for i, (whole, value, rest) in enumerate(told):
+        assert len(out[i]) == len(whole) and out[i][: len(value)] != value, whole
+        assert out[i].endswith(rest) or "GB82" in rest or value in CARDS, whole
+    assert [r.text for r in pii.pseudonymise(hidden, decrypt=True).orderBy("doc_id").collect()] == [t for t, _, _ in told]
+
+
 def test_no_two_values_share_a_pseudonym(spark):
     rows = spark.range(3000).select("id", F.format_string("10.0.%d.%d", (F.col("id") / 256).cast("int"), F.col("id") % 256).alias("text"))
     assert pii.pseudonymise(rows).select("text").distinct().count() == 3000
