@@ -3,7 +3,7 @@
 The standard library's tokenizer feeds a tree builder that opens and closes what HTML leaves out (paragraphs before
 blocks, list items, table rows and cells, table sections). Invisible are head, script, style, template, noscript and the
 like, the ``hidden`` attribute, hidden inputs, closed dialogs, and ``display:none`` or ``visibility:hidden`` in a style
-attribute. The renderer collapses white space as a browser does, separates blocks by line
+attribute; drawings and formulas show their text, but not their definitions and annotations. The renderer collapses white space as a browser does, separates blocks by line
 feeds (paragraphs, headings, lists and tables by an empty line), marks list items with "- " or their number and
 indents nested lists, keeps preformatted text, and pads table cells so that columns line up.
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from sensorloom.llm.common import pieces
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head title script style template noscript iframe object audio video canvas svg math datalist noframes".split())
+HIDDEN = frozenset("head title script style template noscript iframe object audio video canvas datalist noframes".split())
 APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr fieldset".split())  # an empty line around
 BLOCK = APART | frozenset("address article aside body details dialog dd div dt fieldset figcaption footer form header html legend li main menu nav section summary tr caption optgroup option center".split())
 CLOSES_P = (BLOCK - {"li", "dt", "dd", "tr", "caption", "option", "optgroup", "body", "html", "legend"}) | {"li", "dt", "dd"}
@@ -36,6 +36,10 @@ IMPLIED_END = {
     "td": ({"td", "th", "caption"}, {"table"}), "th": ({"td", "th", "caption"}, {"table"}), "tr": ({"td", "th", "tr", "caption"}, {"table"}),
     **{t: ({"td", "th", "tr", "thead", "tbody", "tfoot", "caption"}, {"table"}) for t in ("thead", "tbody", "tfoot")},
 }
+# All else, and text, ends an open head.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())
+# Parts of drawings and formulas that aren't shown.
+UNSEEN = {"svg": frozenset("defs desc metadata symbol clippath mask marker pattern".split()), "math": frozenset("annotation annotation-xml".split())}
 SPACES = re.compile(r"[ \t\n\r\f]+")
 INVISIBLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!\s*important\s*)?(?:;|$)", re.I)
 
@@ -85,12 +89,20 @@ class TreeBuilder(HTMLParser):
             self._close(*IMPLIED_END[tag])
         if tag in ("td", "th") and self.stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
             self._open("tr", {})
-        if tag in ("body", "div", "p", "main", "article", "section", "table", "ul", "ol", "h1") and self.stack[-1].tag == "head":
+        if tag not in IN_HEAD:
+            self._end_head()
+        unseen = any(self.count.get(t) and tag in UNSEEN[t] for t in UNSEEN)
+        self._open(tag, dict(attrs) | {"hidden": None} if unseen else dict(attrs))
+
+    def _end_head(self) -> None:
+        while self.stack[-1].tag == "head":
             self._pop()
-        self._open(tag, dict(attrs))
 
     def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)  # "/>" closes nothing in HTML but void elements
+        self.handle_starttag(tag, attrs)
+        # "/>" closes nothing in HTML but void elements; in drawings and formulas it closes all.
+        if (tag in UNSEEN or any(self.count.get(t) for t in UNSEEN)) and self.stack[-1].tag == tag:
+            self._pop()
 
     def handle_endtag(self, tag):
         if self.count.get(tag):
@@ -104,6 +116,8 @@ class TreeBuilder(HTMLParser):
                     return
 
     def handle_data(self, data):
+        if self.stack[-1].tag == "head" and data.strip(" \t\n\r\f"):
+            self._end_head()
         self.stack[-1].children.append(data)
 
 
@@ -212,7 +226,7 @@ def render(root: Node) -> str:
                     rows.append([])
             elif cell:
                 outer, page = page, Page()
-            elif tag in ("td", "th"):
+            elif tag in ("td", "th", "text"):  # text: a label of a drawing
                 page.say(" ")
             elif tag in ("ul", "ol", "menu"):
                 page.apart(1 if lists else 2)
@@ -240,7 +254,7 @@ def render(root: Node) -> str:
             if not rows:
                 rows.append([])
             rows[-1].append(text)
-        elif tag in ("td", "th"):
+        elif tag in ("td", "th", "text"):
             page.say(" ")
         elif tag in ("ul", "ol", "menu"):
             lists.pop()

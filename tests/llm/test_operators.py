@@ -476,6 +476,17 @@ def test_rendering(html, text):
     assert html_text.extract(html) == text
 
 
+@pytest.mark.parametrize(("html", "text"), [
+    ("<p>a <svg><title>t</title><defs><text>no</text></defs><path d=''/><text>one</text><text>two</text><desc/></svg> b", "a one two b"),
+    ("<p>x <math><semantics><mi>y</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></semantics></math>", "x y=2"),
+    ("<head><title>t</title>bare <b>text</b>", "bare text"), *((f"<head><title>t</title><{tag}>in</{tag}> after", f"in{gap}after") for tag, gap in (
+        ("h2", "\n\n"), ("header", "\n"), ("nav", "\n"), ("form", "\n"), ("center", "\n"), ("blockquote", "\n\n"), ("a", " "), ("span", " "))),
+    ("<html><head><meta charset=x>\n<title>t</title>\n<script>s</script>\n<style>c</style>\n</head><body>b", "b"),
+])
+def test_drawings_formulas_and_open_heads(html, text):
+    assert html_text.extract(html) == text
+
+
 def test_pages_table(spark):
     rows = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (2, "<p>a", "x"), (3, "<div>" * 20000 + "deep", "x"), (None, "<p>n", "x")], "page_id long, html string, text string")
     assert sorted(((r.page_id, r.text) for r in html_text.visible_text(rows).collect()), key=str) == sorted([(1, None), (2, ""), (2, "a"), (3, "deep"), (None, "n")], key=str)
