@@ -98,9 +98,9 @@ def vote(found: DataFrame, labels: list[int]) -> DataFrame:
     return scored.select("qid", F.element_at(F.array(*[F.lit(c) for c in labels]), top).alias("prediction"), "probability")
 
 
-def judge(train: DataFrame, vector: Column, k: int, labels: list[int], train_id: str = "vec_id", train_vector: str = "features", label: str = "label") -> Column:
-    """The same vote as a column: struct of ``prediction`` and ``probability`` of each row's vector, row by row."""
-    sent = train.sparkSession.sparkContext.broadcast(_arrays(training(train, train_id, train_vector, label)))
+def judge(train: DataFrame, vector: Column, k: int, labels: list[int], train_id: str = "vec_id", train_vector: str = "features", label: str = "label", most: int = MAX_TRAIN_ROWS) -> Column:
+    """The same vote as a column: struct of ``prediction`` and ``probability`` of each row's vector, row by row, against ``most`` training rows at most."""
+    sent = train.sparkSession.sparkContext.broadcast(_arrays(training(train, train_id, train_vector, label, most)))
 
     @F.pandas_udf(T.StructType([T.StructField("prediction", T.IntegerType()), T.StructField("probability", T.ArrayType(T.DoubleType()))]))
     def verdict(vectors: pd.Series) -> pd.DataFrame:

@@ -83,7 +83,7 @@ class Fitted:
 
     def _vote(self, rows: DataFrame, row_id: str) -> DataFrame:
         scaled = self.pipeline.transform(_vectors(rows))
-        found = knn.judge(self.train, vector_to_array("scaled"), self.extra["k"], self.labels, train_id="tid", train_vector="scaled")
+        found = knn.judge(self.train, vector_to_array("scaled"), self.extra["k"], self.labels, train_id="tid", train_vector="scaled", most=self.extra["most"])
         told = scaled.withColumn("__v", found)
         return told.withColumns({"prediction": F.col("__v.prediction"), "probability": F.col("__v.probability")}).drop("__v", "__x", "__c", "scaled")
 
@@ -187,7 +187,7 @@ def fit(rows: DataFrame, name: str, params: dict | None = None, *, label: str =
         fitted.pipeline = Pipeline(stages=stages).fit(data)
         scaled = fitted.pipeline.transform(data)
         fitted.train = scaled.select(F.col(row_id).alias("tid"), F.col(label).alias("label"), vector_to_array("scaled").alias("scaled"))
-        fitted.extra = {"k": p["k"]}
+        fitted.extra = {"k": p["k"], "most": p.get("most", knn.MAX_TRAIN_ROWS)}
     elif name == "SVM":
         _fit_svm(fitted, data, stages, p, weight, n, width)
     else:

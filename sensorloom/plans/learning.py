@@ -69,7 +69,7 @@ w AS (SELECT vec_id, label, CASE WHEN min(d) OVER (PARTITION BY vec_id) = 0 THEN
 p AS (SELECT vec_id, label, sum(w) AS w FROM w GROUP BY vec_id, label)"""], """
 SELECT vec_id, arg_max(label, w) AS prediction, round(coalesce(sum(w) FILTER (label = 2), 0) / sum(w), 6) AS p_stress FROM p GROUP BY vec_id"""))
 def ml_knn(spark, sf_dir):
-    """Every vector, halved, against all vectors."""
+    """Every vector, halved, against all vectors, or the first ``knn.MAX_TRAIN_ROWS`` in a hash order. The SQL compares all: it agrees up to that many."""
     feat = B.feat(spark, sf_dir)
     halved = feat.select("vec_id", F.transform("features", lambda v: v * 0.5).alias("features"))
     votes = halved.select("vec_id", knn.judge(feat, F.col("features"), 5, [1, 2, 3]).alias("v"))

@@ -51,6 +51,20 @@ def test_knn_training_rows_are_bounded_by_a_parameter(spark):
     assert len(got.tid) == 20 and list(got.tid) == sorted(got.tid) and list(knn.training(train, most=20).tid) == list(got.tid)
 
 
+def test_votes_keep_to_the_bound(spark):
+    rows = [(i, [float(i)], i % 3 + 1) for i in range(50)]
+    train = spark.createDataFrame(rows, "vec_id long, features array<double>, label int")
+    known = set(knn.training(train, most=20).tid)
+    got = {r.vec_id: r.v.prediction for r in train.select("vec_id", knn.judge(train, F.col("features"), 1, [1, 2, 3], most=20).alias("v")).collect()}
+    want = {}
+    for i, _, _ in rows:
+        near = min(abs(i - j) for j in known)
+        want[i] = {j % 3 + 1 for j in known if abs(i - j) == near}
+    assert all(got[i] in want[i] for i in want) and any(got[i] != i % 3 + 1 for i in want)
+    fitted = learn.fit(train, "KNN", {"k": 1, "most": 20})
+    assert {r.vec_id: r.prediction for r in fitted.score(train, "vec_id").collect()} == got
+
+
 def test_vote(spark):
     rows = [(1, 0.0, 7, 2), (1, 0.0, 8, 3), (1, 0.1, 9, 1), (2, 1.0, 1, 1), (2, 0.5, 2, 3), (2, 1.0, 3, 1), (3, 2.0, 4, 3)]
     found = spark.createDataFrame(rows, "qid long, distance double, tid long, label int")
