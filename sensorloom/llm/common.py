@@ -101,3 +101,60 @@ def packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     width = values.dtype.itemsize
     offsets = pa.py_buffer((ends * width).astype(np.int32).tobytes())
     return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, offsets, pa.py_buffer(np.ascontiguousarray(values).tobytes())])
+
+
+class Remembered:
+    """What ``work`` gives for each string, computed once while it is remembered.
+
+    Two generations of at most ``most`` strings each: a full young one becomes the old one, and what is used again moves to
+    the young one. Strings longer than ``longest`` are never held, so memory has a fixed bound. Forgetting changes the speed only.
+    """
+
+    def __init__(self, work, most: int = 200_000, longest: int = 64):
+        self.work, self.most, self.longest = work, most, longest
+        self.young: dict[str, object] = {}
+        self.old: dict[str, object] = {}
+
+    def get(self, strings: list[str]) -> list:
+        young, old = self.young, self.old
+        out = [young.get(s) for s in strings]
+        missing = [i for i, v in enumerate(out) if v is None]
+        new = []
+        for i in missing:
+            s = strings[i]
+            v = old.get(s)
+            if v is None:
+                new.append(i)
+            else:
+                out[i] = v
+                young[s] = v
+        if new:
+            for i, v in zip(new, self.work([strings[i] for i in new])):
+                out[i] = v
+                if len(strings[i]) <= self.longest:
+                    young[strings[i]] = v
+        if len(young) > self.most:
+            self.old, self.young = (young, {}) if len(young) <= 2 * self.most else ({}, {})
+        return out
+
+
+def gather(flat: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Lay the stretches of ``flat`` (of the given lengths, one behind the other) out in the order of ``codes``."""
+    taken = lengths[codes]
+    first = (np.cumsum(lengths) - lengths)[codes] - (np.cumsum(taken) - taken)
+    return flat[np.arange(taken.sum()) + np.repeat(first, taken)]
+
+
+def running(df: DataFrame, part: str, order: str, **totals: str) -> DataFrame:
+    """Add exclusive running totals over (``part``, ``order``). The rows of a part are summed in a window of their own; only one
+    row per part, and parts are numbered by tasks, goes through a window over all."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    sums = df.groupBy(F.col(part).alias("_part")).agg(*[F.sum(v).alias(f"_{k}") for k, v in totals.items()])
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_part", *[F.coalesce(F.sum(f"_{k}").over(before), F.lit(0)).alias(f"_{k}") for k in totals])
+    within = Window.partitionBy(part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    own = df.select("*", *[F.coalesce(F.sum(v).over(within), F.lit(0)).alias(f"_own_{k}") for k, v in totals.items()])
+    joined = own.join(sums, F.col(part) == F.col("_part"))
+    return joined.select(*df.columns, *[(F.col(f"_{k}") + F.col(f"_own_{k}")).alias(k) for k in totals])

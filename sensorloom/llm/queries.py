@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.llm import bpe, chat, decontaminate, html_text, jaccard, pii, quality, shard, substring, warc
+from sensorloom.llm import bpe, chat, decontaminate, html_text, jaccard, pii, quality, shard, substring, token_files, warc
 from sensorloom.llm.common import stage, table
 from sensorloom.llm.registry import ORACLES, QUERIES, query
 from sensorloom.session import shared_dir
@@ -104,3 +104,14 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_text.visible_text(table(spark, sf_dir, "pages", "page_id", "html"))
     return found.select("page_id", F.length("text").cast("long").alias("n_chars"), "text")
+
+
+@query("op11_token_files")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = shared_dir(spark, "tokens")
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        tokenizer = file.read()
+    token_files.write(table(spark, sf_dir, "documents", "doc_id", "text"), path, tokenizer, end_id=2)
+    return token_files.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
