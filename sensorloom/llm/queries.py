@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.llm import bpe, chat, decontaminate, html_text, jaccard, pii, quality, shard, substring, token_files, warc
+from sensorloom.llm import bpe, chat, decontaminate, html_text, jaccard, merkle, pii, quality, shard, substring, token_files, warc
 from sensorloom.llm.common import stage, table
 from sensorloom.llm.registry import ORACLES, QUERIES, query
 from sensorloom.session import shared_dir
@@ -115,3 +115,52 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
         tokenizer = file.read()
     token_files.write(table(spark, sf_dir, "documents", "doc_id", "text"), path, tokenizer, end_id=2)
     return token_files.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+MERKLE_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+@query("op13_merkle_manifest", """
+WITH RECURSIVE fields AS (
+  SELECT *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)),
+           lambda a, b: list_reduce(list_prepend(xor(a, b), list_transform(range(8), lambda z: 0::BIGINT)),
+             lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295) AS crc
+  FROM documents),
+leaves AS (
+  SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n,
+         dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS s, crc % 5 = 0 AS tampered,
+         coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+         || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+         sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         CASE WHEN crc % 5 = 0 THEN sha256(head || coalesce(strlen(lowered) || ':' || lowered, '-')) ELSE leaf END AS changed
+  FROM fields),
+tree AS (
+  SELECT s, 0 AS h, i, n, leaf AS d FROM leaves
+  UNION ALL SELECT s, h + 1, i // 16, (any_value(n) + 15) // 16, sha256(string_agg(d, '' ORDER BY i)) FROM tree WHERE n > 1 GROUP BY s, h, i // 16),
+subroots AS (SELECT s, d AS subroot, h AS top FROM tree WHERE n = 1),
+upper_tree AS (
+  SELECT 0 AS h, s AS i, (SELECT count(*) FROM subroots) AS n, subroot AS d FROM subroots
+  UNION ALL SELECT h + 1, i // 16, (any_value(n) + 15) // 16, sha256(string_agg(d, '' ORDER BY i)) FROM upper_tree WHERE n > 1 GROUP BY h, i // 16),
+nodes AS (SELECT s AS t, h, i, n, d FROM tree WHERE n > 1 UNION ALL SELECT -1, h, i, n, d FROM upper_tree WHERE n > 1),
+path AS (
+  SELECT doc_id, s AS t, h AS h, 0 AS step, CAST(i // CAST(pow(16, h) AS BIGINT) AS BIGINT) AS i FROM leaves JOIN subroots USING (s), range(top) r(h)
+  UNION ALL SELECT doc_id, -1, h, 1, CAST(s // CAST(pow(16, h) AS BIGINT) AS BIGINT) FROM leaves, (SELECT DISTINCT h FROM upper_tree WHERE n > 1)),
+runs AS (
+  SELECT p.doc_id, p.step, p.h, coalesce(string_agg(n.d, '' ORDER BY n.i) FILTER (WHERE n.i < p.i), '') AS l, coalesce(string_agg(n.d, '' ORDER BY n.i) FILTER (WHERE n.i > p.i), '') AS r
+  FROM path p JOIN nodes n ON n.t = p.t AND n.h = p.h AND n.i // 16 = p.i // 16 GROUP BY p.doc_id, p.step, p.h),
+steps AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY step, h) AS k FROM runs),
+folds AS (
+  SELECT doc_id, 0::BIGINT AS k, changed AS d FROM leaves
+  UNION ALL SELECT f.doc_id, s.k, sha256(s.l || f.d || s.r) FROM folds f JOIN steps s ON s.doc_id = f.doc_id AND s.k = f.k + 1),
+ends AS (SELECT doc_id, arg_max(d, k) AS folded_root FROM folds GROUP BY doc_id),
+proofs AS (SELECT doc_id, sha256(coalesce(string_agg(l || r, '' ORDER BY k), '')) AS proof_sha256 FROM leaves LEFT JOIN steps USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified
+FROM leaves JOIN subroots USING (s) JOIN proofs USING (doc_id) JOIN ends USING (doc_id), (SELECT d AS root FROM upper_tree WHERE n = 1)""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", *MERKLE_FIELDS)
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, merkle.leaf(*MERKLE_FIELDS[:-1], lowered))
+    found = merkle.proofs(docs.withColumn("tampered", tampered), "source", "doc_id", merkle.leaf(*MERKLE_FIELDS), keep=("tampered",))
+    root = merkle.folded(F.coalesce("tampered", "leaf"), "siblings", "places", "sizes")
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2("siblings", 256).alias("proof_sha256"), root.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
