@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.llm import bpe, chat, decontaminate, html_text, jaccard, merkle, pii, quality, shard, substring, token_files, warc
+from sensorloom.llm import align_tokens, bpe, chat, decontaminate, html_text, jaccard, merkle, pii, quality, shard, substring, token_files, warc
 from sensorloom.llm.common import stage, table
 from sensorloom.llm.registry import ORACLES, QUERIES, query
 from sensorloom.session import shared_dir
@@ -164,3 +164,14 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = merkle.proofs(docs.withColumn("tampered", tampered), "source", "doc_id", merkle.leaf(*MERKLE_FIELDS), keep=("tampered",))
     root = merkle.folded(F.coalesce("tampered", "leaf"), "siblings", "places", "sizes")
     return found.select("doc_id", "leaf", "subroot", "root", F.sha2("siblings", 256).alias("proof_sha256"), root.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query("op12_align_tokens")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        tokenizer = file.read()
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        model = file.read()
+    return align_tokens.agreement(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer, model)
