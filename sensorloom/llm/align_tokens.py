@@ -23,6 +23,8 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +37,10 @@ from sensorloom.llm.bpe import _chunks as chunks_of
 from sensorloom.llm.bpe import byte_characters
 from sensorloom.llm.common import Remembered, gather, packed, pieces, stage, word_codes
 
-SLICE_BYTES = 8 << 20
-REMEMBER = 100_000  # chunks in each of the two generations of a task's memory
+SLICE_BYTES = 2 << 20
+MARKS = ".,;:!?"
+PLAIN = re.compile(" [A-Za-zÀ-ÖØ-öø-ÿ]+")
+REMEMBER = 100_000  # parts in each of the two generations of a task's memory
 SPACE = "▁"
 
 
@@ -66,10 +70,17 @@ class Aligner:
         for token, i in self.a.get_vocab().items():
             self.a_bytes[i] = b"".join([value.get(c, c.encode()) for c in token])
         size = self.b.get_piece_size()
-        self.is_byte = [self.b.is_byte(i) for i in range(size)]
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if byte else p.replace(SPACE, " ").encode() for p, byte in zip(map(self.b.id_to_piece, range(size)), self.is_byte)]
+        self.byte_ids = {i for i in range(size) if self.b.is_byte(i)}
+        self.b_bytes = [bytes([int(p[3:5], 16)]) if i in self.byte_ids else p.replace(SPACE, " ").encode() for i, p in enumerate(map(self.b.id_to_piece, range(size)))]
+        self.shown = {b: c for b, c in enumerate(byte_characters())}
+        # A mark behind a letter is a part of its own where no piece of B holds the two side by side; A's splitter parts them anyway.
+        joined = "\n".join(map(self.b.id_to_piece, range(size)))
+        self.marks = {m for m in MARKS if not re.search(rf"[A-Za-zÀ-ÖØ-öø-ÿ]{re.escape(m)}", joined) and self.b.id_to_piece(self.b.piece_to_id(m)) == m}
         self.known = Remembered(self.learn, REMEMBER)
 
+    def parts(self, chunk: str) -> list[str]:
+        return [chunk[:-1], chunk[-1]] if chunk[-1] in self.marks and PLAIN.fullmatch(chunk, 0, len(chunk) - 1) else [chunk]
+
     def a_ends(self, chunk: str, ids: list[int], spans: list[tuple[int, int]]) -> list[int]:
         if chunk.isascii():
             return [end for _, end in spans]
@@ -83,29 +94,46 @@ class Aligner:
             out.append(done)
         return out
 
-    def b_ends(self, found) -> list[int]:
+    def b_ends(self, ids: list[int], ends: list[int]) -> list[int]:
+        """``ends`` count the bytes of the text that B gets, which lacks the space in front."""
+        if self.byte_ids.isdisjoint(ids):
+            return [end + 1 for end in ends]
         out, done = [], 0
-        for p in found:
-            done = done + 1 if self.is_byte[p.id] else p.end + 1  # the space in front isn't in the text that B gets
+        for i, end in zip(ids, ends):
+            done = done + 1 if i in self.byte_ids else end + 1
             out.append(done)
         return out
 
-    def learn(self, chunks: list[str]) -> Iterator[tuple[int, bytes, str]]:
-        """Of each chunk: the number of A's tokens; A's ids, B's ids, A's ends, B's ends; the groups. No ids if bytes are lost."""
-        a_side = self.a.encode_batch(chunks, add_special_tokens=False)
-        b_side = self.b.encode([c[1:] for c in chunks], return_type="proto", num_threads=1)
-        alone = self.b.piece_to_id(SPACE)
-        for chunk, a, b in zip(chunks, a_side, b_side):
-            a_ids, raw = a.ids, chunk.encode()
-            if chunk == " ":  # B gives nothing for an empty text
-                b_ids, b_ends = [alone], [1]
+    def a_tokens(self, parts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
+        """A's ids and byte ends of each part. A space and letters are one match of A's splitter, so their bytes go to the merges as they are."""
+        model, plain = self.a.model, [PLAIN.fullmatch(p) is not None for p in parts]
+        others = [p for p, known in zip(parts, plain) if not known]
+        encoded = iter(zip(others, self.a.encode_batch(others, add_special_tokens=False)))
+        for part, known in zip(parts, plain):
+            if known:
+                shown = part.encode().decode("latin-1").translate(self.shown)
+                found, raw = model.tokenize(shown), shown.encode()  # spans in bytes of what is shown, a character to a byte of the part
+                yield [t.id for t in found], [t.offsets[1] - 1 if part.isascii() else len(raw[: t.offsets[1]].decode()) for t in found]
+            else:
+                part, e = next(encoded)
+                yield e.ids, self.a_ends(part, e.ids, e.offsets)
+
+    def learn(self, parts: list[str]) -> Iterator[tuple[int, bytes]]:
+        """Of each part: the number of A's tokens; A's ids, B's ids, A's ends, B's ends. No ids if bytes are lost."""
+        b_side = self.b.encode([p[1:] for p in parts], return_type="proto", num_threads=1)
+        a_bytes, b_bytes = self.a_bytes, self.b_bytes
+        for part, (a_ids, a_ends), b in zip(parts, self.a_tokens(parts), b_side):
+            raw = part.encode()
+            if len(part) == 1:  # a space at the end, for which B gets nothing, or a mark
+                b_ids, b_ends = [self.b.piece_to_id(SPACE if part == " " else part)], [1]
+            else:
+                found = list(b.pieces)
+                b_ids = [p.id for p in found]
+                b_ends = self.b_ends(b_ids, [p.end for p in found])
+            if b"".join([b_bytes[i] for i in b_ids]) == raw == b"".join([a_bytes[i] for i in a_ids]):
+                yield len(a_ids), array("I", a_ids + b_ids + a_ends + b_ends).tobytes()
             else:
-                b_ids, b_ends = [p.id for p in b.pieces], self.b_ends(b.pieces)
-            if b"".join([self.a_bytes[i] for i in a_ids]) != raw or b"".join([self.b_bytes[i] for i in b_ids]) != raw:
-                yield 0, b"", ""
-                continue
-            a_ends = self.a_ends(chunk, a_ids, a.offsets)
-            yield len(a_ids), np.array([*a_ids, *b_ids, *a_ends, *b_ends], "<u4").tobytes(), groups_text(a_ids, b_ids, a_ends, b_ends)
+                yield 0, b""
 
     def slice(self, texts: pa.Array) -> "Aligned":
         """The tokens of a slice of texts (no nulls)."""
@@ -114,18 +142,21 @@ class Aligner:
         first[1:] = rows[1:] != rows[:-1]
         chunks = pc.if_else(pa.array(first), pc.binary_join_element_wise(" ", chunks, ""), chunks)
         codes, distinct = word_codes(chunks)
-        return Aligned(self.known.get(distinct.to_pylist()), codes, rows, len(texts))
+        number: dict[str, int] = {}
+        split = [[number.setdefault(p, len(number)) for p in self.parts(c)] for c in distinct.to_pylist()]
+        lengths = np.fromiter(map(len, split), np.int64, len(split))
+        part_codes = gather(np.array([p for ps in split for p in ps], np.int64), lengths, codes)
+        return Aligned(self.known.get(list(number)), part_codes, np.repeat(rows, lengths[codes]), len(texts))
 
 
 class Aligned:
     """A slice of texts: the distinct chunks' tokens laid out one behind the other, and the chunks of each text."""
 
-    def __init__(self, entries: list[tuple[int, bytes, str]], codes: np.ndarray, rows: np.ndarray, n: int):
+    def __init__(self, entries: list[tuple[int, bytes]], codes: np.ndarray, rows: np.ndarray, n: int):
         tokens = np.fromiter((len(e[1]) for e in entries), np.int64, len(entries)) // 8
         lost = (tokens == 0)[codes]
         keep = ~np.isin(rows, rows[lost])
         self.codes, self.rows, self.n = codes[keep], rows[keep], n
-        self.texts = [e[2] for e in entries]
         self.n_a = np.fromiter((e[0] for e in entries), np.int64, len(entries))
         self.n_b = tokens - self.n_a
         flat = np.frombuffer(b"".join([e[1] for e in entries]), "<u4").astype(np.int64)
@@ -138,35 +169,34 @@ class Aligned:
     def per_text(self, of_chunk: np.ndarray) -> np.ndarray:
         return np.bincount(self.rows, of_chunk[self.codes], self.n).astype(np.int64)
 
+    def places(self) -> tuple[np.ndarray, np.ndarray]:
+        """Ends of A's and B's tokens, counted over all distinct parts laid out one behind the other."""
+        shift = np.cumsum(self.size) - self.size
+        return self.a_ends + np.repeat(shift, self.n_a), self.b_ends + np.repeat(shift, self.n_b)
+
     def links(self) -> tuple[np.ndarray, np.ndarray]:
-        """The links of the distinct chunks, as A id << 32 | B id, and their number per chunk. Every stretch between two neighbouring
+        """The links of the distinct parts, as A id << 32 | B id, and their number per part. Every stretch between two neighbouring
         ends lies in one token of each side, and tokens that overlap do so in one stretch."""
-        shift = np.cumsum(self.size) - self.size
-        a, b = self.a_ends + np.repeat(shift, self.n_a), self.b_ends + np.repeat(shift, self.n_b)
+        a, b = self.places()
         ends = np.union1d(a, b)
         pairs = self.a_ids[np.searchsorted(a, ends)] << 32 | self.b_ids[np.searchsorted(b, ends)]
-        chunk = np.searchsorted(np.cumsum(self.size), ends)  # an end belongs to the first chunk that reaches it
-        return pairs, np.bincount(chunk, minlength=len(self.size)).astype(np.int64)
-
-    def group_texts(self) -> list[str]:
-        at = np.searchsorted(self.rows, np.arange(self.n + 1)).tolist()
-        named = [self.texts[c] for c in self.codes.tolist()]
-        return [";".join(named[s:e]) for s, e in zip(at, at[1:])]
-
-
-def groups_text(a_ids: list[int], b_ids: list[int], a_ends: list[int], b_ends: list[int]) -> str:
-    """``a1,a2|b1;a3|b2,b3``: the ids of each group, in order."""
-    out, i, j, a_first, b_first = [], 0, 0, 0, 0
-    while i < len(a_ids):
-        if a_ends[i] < b_ends[j]:
-            i += 1
-        elif b_ends[j] < a_ends[i]:
-            j += 1
-        else:
-            i, j = i + 1, j + 1
-            out.append(f"{','.join(map(str, a_ids[a_first:i]))}|{','.join(map(str, b_ids[b_first:j]))}")
-            a_first, b_first = i, j
-    return ";".join(out)
+        part = np.searchsorted(np.cumsum(self.size), ends)  # an end belongs to the first part that reaches it
+        return pairs, np.bincount(part, minlength=len(self.size)).astype(np.int64)
+
+    def group_texts(self) -> pa.Array:
+        """``a1,a2|b1;a3|b2,b3`` per text: the ids of each group, in order."""
+        a, b = self.places()
+        both = np.intersect1d(a, b)
+        sides = [_joined(pa.array(ids).cast(pa.string()), np.searchsorted(at, both, "right"), ",") for ids, at in ((self.a_ids, a), (self.b_ids, b))]
+        groups = pc.binary_join_element_wise(*sides, "|")
+        of_parts = _joined(groups, np.searchsorted(both, np.cumsum(self.size), "right"), ";")
+        return _joined(of_parts.take(pa.array(self.codes)), np.searchsorted(self.rows, np.arange(1, self.n + 1)), ";")
+
+
+def _joined(strings: pa.Array, ends: np.ndarray, separator: str) -> pa.Array:
+    """Join the strings up to each end, beginning at the end before."""
+    at = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+    return pc.binary_join(pa.ListArray.from_arrays(at, strings), separator)
 
 
 def align(docs: DataFrame, tokenizer: str, model: bytes, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -177,7 +207,7 @@ def align(docs: DataFrame, tokenizer: str, model: bytes, key: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(tokenizer, model)
-        for piece in pieces(batches, "text", SLICE_BYTES // 4):
+        for piece in pieces(batches, "text", SLICE_BYTES):
             found = aligner.slice(pc.fill_null(piece.column("text"), ""))
             chunk_at = np.cumsum(found.size[found.codes]) - found.size[found.codes]
             text_size = found.per_text(found.size)
@@ -186,7 +216,7 @@ def align(docs: DataFrame, tokenizer: str, model: bytes, key: str = "doc_id", te
             for values, n, moved in ((found.a_ids, found.n_a, False), (found.b_ids, found.n_b, False), (found.a_ends, found.n_a, True), (found.b_ends, found.n_b, True)):
                 laid = gather(values, n, found.codes) + (np.repeat(in_text, n[found.codes]) if moved else 0)
                 columns.append(packed(laid.astype("<u4"), np.concatenate([[0], np.cumsum(found.per_text(n))])))
-            yield pa.RecordBatch.from_arrays([piece.column("key"), *columns, pa.array(found.group_texts(), pa.string())], names=[key, "a_ids", "b_ids", "a_ends", "b_ends", "groups"])
+            yield pa.RecordBatch.from_arrays([piece.column("key"), *columns, found.group_texts()], names=[key, "a_ids", "b_ids", "a_ends", "b_ends", "groups"])
 
     own = docs.select(docs[key].alias("key"), docs[text].alias("text"))
     return own.mapInArrow(run, f"`{key}` {kind}, a_ids binary, b_ids binary, a_ends binary, b_ends binary, groups string")
@@ -232,7 +262,7 @@ def agreement(docs: DataFrame, tokenizer: str, model: bytes, key: str = "doc_id"
             text_of_met, code = np.divmod(met, max(1, len(known)))
             at = np.searchsorted(text_of_met, np.arange(found.n + 1)).tolist()
             links = [pack_links(code[s:e], times[s:e]) for s, e in zip(at, at[1:])]
-            shas = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in found.group_texts()]
+            shas = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in found.group_texts().to_pylist()]
             n, shown = found.n, totals > 0
             used = order[shown[order]]
             yield pa.RecordBatch.from_arrays(

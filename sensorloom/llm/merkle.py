@@ -176,11 +176,26 @@ def upper_proofs(units: DataFrame, fanout: int, rounds: int, source_rounds: int)
 PROOF = "leaf string, subroot string, root string, siblings string, places array<int>, sizes array<int>"
 
 
-def proofs(rows: DataFrame, source: str, key: str, leaf_: Column, keep: tuple[str, ...] = (), fanout: int = FANOUT, levels: int = LEVELS) -> DataFrame:
+def fold(node: str, siblings: str, places: list[int], sizes: list[int]) -> str:
+    """The root that follows from a leaf's digest and its siblings."""
+    from hashlib import sha256
+
+    done = 0
+    for place, size in zip(places, sizes):
+        middle, end = done + 64 * place, done + 64 * (size - 1)
+        node, done = sha256(f"{siblings[done:middle]}{node}{siblings[middle:end]}".encode()).hexdigest(), end
+    return node
+
+
+
+def proofs(
+    rows: DataFrame, source: str, key: str, leaf_: Column, keep: tuple[str, ...] = (), fanout: int = FANOUT, levels: int = LEVELS, check: Column | None = None,
+) -> DataFrame:
     """``source``, ``key``, the ``keep`` columns and a proof per row: ``leaf``, ``subroot``, ``root``, ``siblings`` (all sibling digests from the
-    leaf up, left to right, one behind the other), and per level ``places`` (the row's node in its run) and ``sizes`` (of the run)."""
+    leaf up, left to right, one behind the other), and per level ``places`` (the row's node in its run) and ``sizes`` (of the run). With ``check``, the digest of each row as found elsewhere, also
+    ``folded_root``, the root that follows from it and the row's siblings; ``folded`` does the same with stored proofs."""
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    own = rows.select(F.col(source).alias("source"), F.col(key).alias("key"), leaf_.alias("leaf"), F.struct(F.lit(1).alias("_"), *keep).alias("kept"))
+    own = rows.select(F.col(source).alias("source"), F.col(key).alias("key"), leaf_.alias("leaf"), F.struct((F.lit(None).cast("string") if check is None else check).alias("_check"), *keep).alias("kept"))
     unit = F.col("first_unit") + F.floor(F.col("place") / fanout**levels)
     leaves = stage(numbered(own, fanout, levels).withColumn("unit", unit.cast("long")), "leaf_places")
     most, n_sources = leaves.agg(F.max("n"), F.max("source_no") + 1).first()
@@ -201,7 +216,8 @@ def proofs(rows: DataFrame, source: str, key: str, leaf_: Column, keep: tuple[st
         high = "".join(s["siblings"] for s in top["steps"])
         high_places, high_sizes = [s["place"] for s in top["steps"]], [s["size"] for s in top["steps"]]
         joined = ["".join(nodes) for nodes in tree[:-1]]
-        siblings, places, sizes = [], [], []
+        checks = group.column("kept").combine_chunks().field("_check").to_pylist()
+        siblings, places, sizes, ends = [], [], [], []
         for i in range(len(digests)):
             parts, own_places, own_sizes, node = [], [], [], i
             for nodes, text in zip(tree, joined):
@@ -212,35 +228,27 @@ def proofs(rows: DataFrame, source: str, key: str, leaf_: Column, keep: tuple[st
                 own_sizes.append(end - begin)
                 node //= fanout
             siblings.append("".join([*parts, high]))
+            ends.append(None if checks[i] is None else fold(checks[i], siblings[-1], own_places + high_places, own_sizes + high_sizes))
             places.append(own_places + high_places)
             sizes.append(own_sizes + high_sizes)
         same = len(digests)
         return pa.table({
             "source": group.column("source"), "key": group.column("key"), "kept": group.column("kept"), "leaf": group.column("leaf"), "subroot": [top["subroot"]] * same, "root": [top["root"]] * same,
-            "siblings": siblings, "places": pa.array(places, pa.list_(pa.int32())), "sizes": pa.array(sizes, pa.list_(pa.int32())),
+            "siblings": siblings, "places": pa.array(places, pa.list_(pa.int32())), "sizes": pa.array(sizes, pa.list_(pa.int32())), "folded_root": pa.array(ends, pa.string()),
         })
 
     kept_type = own.schema["kept"].dataType.simpleString()
-    schema = f"source {kinds[source]}, key {kinds[key]}, kept {kept_type}, {PROOF}"
+    schema = f"source {kinds[source]}, key {kinds[key]}, kept {kept_type}, {PROOF}, folded_root string"
     found = leaves.select("unit", "place", "n", "source", "key", "kept", "leaf").groupBy("unit").cogroup(upper.groupBy("unit")).applyInArrow(run, schema)
     named = [c for c in (source, key) if c not in keep]
-    return found.select(*[F.col("source" if c == source else "key").alias(c) for c in named], *[F.col(f"kept.{c}").alias(c) for c in keep], *[c.split()[0] for c in PROOF.split(", ")])
+    return found.select(*[F.col("source" if c == source else "key").alias(c) for c in named], *[F.col(f"kept.{c}").alias(c) for c in keep], *[c.split()[0] for c in PROOF.split(", ")], *(["folded_root"] if check is not None else []))
 
 
 @F.pandas_udf(T.StringType())
 def folded(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """The root that follows from a leaf and its siblings (siblings, places and sizes of a proof)."""
-    from hashlib import sha256
-
     for digests, siblings, places, sizes in batches:
-        out = []
-        for node, others, at, of in zip(digests, siblings, places, sizes):
-            done = 0
-            for place, size in zip(at, of):
-                middle, end = done + 64 * int(place), done + 64 * (int(size) - 1)
-                node, done = sha256(f"{others[done:middle]}{node}{others[middle:end]}".encode()).hexdigest(), end
-            out.append(node)
-        yield pd.Series(out, dtype=object)
+        yield pd.Series([fold(d, s, p.tolist(), n.tolist()) for d, s, p, n in zip(digests, siblings, places, sizes)], dtype=object)
 
 
 def sources(proved: DataFrame, source: str = "source") -> DataFrame:

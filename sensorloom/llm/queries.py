@@ -161,9 +161,9 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", *MERKLE_FIELDS)
     lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, merkle.leaf(*MERKLE_FIELDS[:-1], lowered))
-    found = merkle.proofs(docs.withColumn("tampered", tampered), "source", "doc_id", merkle.leaf(*MERKLE_FIELDS), keep=("tampered",))
-    root = merkle.folded(F.coalesce("tampered", "leaf"), "siblings", "places", "sizes")
-    return found.select("doc_id", "leaf", "subroot", "root", F.sha2("siblings", 256).alias("proof_sha256"), root.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+    leaf = merkle.leaf(*MERKLE_FIELDS)
+    found = merkle.proofs(docs, "source", "doc_id", leaf, check=F.coalesce(tampered, leaf))
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2("siblings", 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
 @query("op12_align_tokens")

@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 from array import array
 from collections.abc import Iterator
@@ -38,6 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorloom.llm import elias_fano
+from sensorloom.llm.bpe import byte_characters
 from sensorloom.llm.common import Remembered, gather, packed, pieces, split_words, word_codes
 
 MAGIC = b"SLTOKEF1"
@@ -46,6 +48,21 @@ HEAD = "<8sB3xIIQQQQQq"
 HEAD_BYTES = struct.calcsize(HEAD)
 SEGMENT_IDS = 4 << 20
 SLICE_BYTES = 4 << 20
+MARKS = ".,;:!?"
+PLAIN = f"([A-Za-zÀ-ÖØ-öø-ÿ]+)([{MARKS}]?)"  # precomposed letters that stay one character in lower case
+
+
+NOT_LOWERED = r"<\||\p{M}"  # special tokens, and marks that may join a small letter but not its capital
+
+
+def takes_plain_letters(tokenizer: str) -> bool:
+    """Does a tokenizer (its JSON) only lower such words, split letters from marks, and show bytes as characters?"""
+    made = json.loads(tokenizer)
+    normal = [n["type"] for n in (made["normalizer"] or {}).get("normalizers", [])]
+    splits = (made["pre_tokenizer"] or {}).get("pretokenizers", [])
+    pattern = splits[0].get("pattern", {}).get("Regex", "") if splits else ""
+    known = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+    return normal == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in splits] == ["Split", "ByteLevel"] and pattern == known
 
 
 def id_width(tokenizer: str) -> int:
@@ -56,21 +73,41 @@ def id_width(tokenizer: str) -> int:
 
 
 class WordEncoder:
-    """Ids of slices of texts. Each distinct piece between white space is encoded once while it is remembered."""
+    """Ids of slices of texts. Each distinct piece between white space is encoded once while it is remembered.
+
+    With ``letters`` a piece of plain letters, or of letters and one mark behind them, goes to the library's merges without
+    its normaliser and splitter, which would only lower the letters and part the mark.
+    """
 
-    def __init__(self, tokenizer: str, width: int):
+    def __init__(self, tokenizer: str, width: int, letters: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.width = Tokenizer.from_str(tokenizer), width
+        self.tokenizer, self.kind, self.width = Tokenizer.from_str(tokenizer), "H" if width == 2 else "I", width
+        self.plain = re.compile(PLAIN if letters else "(?!)")
+        self.shown = {b: c for b, c in enumerate(byte_characters())}
+        self.marks = {m: self.whole([m])[0] for m in MARKS} | {"": b""} if letters else {}
         self.known = Remembered(self.learn)
 
-    def learn(self, words: list[str]) -> Iterator[bytes]:
-        kind = "H" if self.width == 2 else "I"
-        return (array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False))
+    def whole(self, pieces_: list[str]) -> list[bytes]:
+        return [array(self.kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces_, add_special_tokens=False)]
+
+    def merge(self, words: Iterator[str]) -> Iterator[bytes]:
+        model = self.tokenizer.model
+        for w in words:
+            shown = w if w.isascii() else w.encode().decode("latin-1").translate(self.shown)
+            yield array(self.kind, [t.id for t in model.tokenize(shown)]).tobytes()
+
+    def learn(self, found: list[str]) -> list[bytes]:
+        plain = [self.plain.fullmatch(p) for p in found]
+        words = self.merge(m[1].lower() for m in plain if m)
+        others = iter(self.whole([p for p, m in zip(found, plain) if not m]))
+        return [next(words) + self.marks[m[2]] if m else next(others) for m in plain]
 
     def encode(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """All ids and the number of ids of each text, the end id included."""
+        if self.marks and not pc.any(pc.match_substring_regex(texts, NOT_LOWERED)).as_py():
+            texts = pc.ascii_lower(texts)  # fewer distinct pieces
         rows, words = split_words(texts)
         codes, distinct = word_codes(words)
         entries = self.known.get(distinct.to_pylist())
@@ -123,12 +160,12 @@ class Segment:
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None, key: str = "doc_id", text: str = "text", segment_ids: int = SEGMENT_IDS) -> None:
     """Write an archive below ``path``: ``segments`` and ``index``. ``tokenizer`` is the library's JSON, ``key`` an integer column."""
-    width = id_width(tokenizer)
+    width, letters = id_width(tokenizer), takes_plain_letters(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, task = WordEncoder(tokenizer, width), TaskContext.get().partitionId()
+        encoder, task = WordEncoder(tokenizer, width, letters), TaskContext.get().partitionId()
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
         number = docs_before = ids_before = waiting = 0
 
