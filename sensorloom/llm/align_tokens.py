@@ -40,7 +40,7 @@ from sensorloom.llm.common import Remembered, gather, packed, pieces, stage, wor
 SLICE_BYTES = 2 << 20
 MARKS = ".,;:!?"
 PLAIN = re.compile(" [A-Za-zÀ-ÖØ-öø-ÿ]+")
-REMEMBER = 100_000  # parts in each of the two generations of a task's memory
+REMEMBER = 200_000  # parts in each of the two generations of a task's memory
 SPACE = "▁"
 
 
@@ -118,8 +118,8 @@ class Aligner:
                 part, e = next(encoded)
                 yield e.ids, self.a_ends(part, e.ids, e.offsets)
 
-    def learn(self, parts: list[str]) -> Iterator[tuple[int, bytes]]:
-        """Of each part: the number of A's tokens; A's ids, B's ids, A's ends, B's ends. No ids if bytes are lost."""
+    def learn(self, parts: list[str]) -> Iterator[bytes]:
+        """Of each part, packed: the number of A's tokens; A's ids, B's ids, A's ends, B's ends. No ids if bytes are lost."""
         b_side = self.b.encode([p[1:] for p in parts], return_type="proto", num_threads=1)
         a_bytes, b_bytes = self.a_bytes, self.b_bytes
         for part, (a_ids, a_ends), b in zip(parts, self.a_tokens(parts), b_side):
@@ -131,9 +131,9 @@ class Aligner:
                 b_ids = [p.id for p in found]
                 b_ends = self.b_ends(b_ids, [p.end for p in found])
             if b"".join([b_bytes[i] for i in b_ids]) == raw == b"".join([a_bytes[i] for i in a_ids]):
-                yield len(a_ids), array("I", a_ids + b_ids + a_ends + b_ends).tobytes()
+                yield array("I", [len(a_ids), *a_ids, *b_ids, *a_ends, *b_ends]).tobytes()
             else:
-                yield 0, b""
+                yield bytes(4)
 
     def slice(self, texts: pa.Array) -> "Aligned":
         """The tokens of a slice of texts (no nulls)."""
@@ -152,17 +152,18 @@ class Aligner:
 class Aligned:
     """A slice of texts: the distinct chunks' tokens laid out one behind the other, and the chunks of each text."""
 
-    def __init__(self, entries: list[tuple[int, bytes]], codes: np.ndarray, rows: np.ndarray, n: int):
-        tokens = np.fromiter((len(e[1]) for e in entries), np.int64, len(entries)) // 8
-        lost = (tokens == 0)[codes]
-        keep = ~np.isin(rows, rows[lost])
+    def __init__(self, entries: list[bytes], codes: np.ndarray, rows: np.ndarray, n: int):
+        words = np.fromiter(map(len, entries), np.int64, len(entries)) // 4
+        flat = np.frombuffer(b"".join(entries), np.uint32).astype(np.int64)
+        tokens = (words - 1) // 2
+        keep = ~np.isin(rows, rows[(tokens == 0)[codes]])  # not one token of a text that lost bytes
         self.codes, self.rows, self.n = codes[keep], rows[keep], n
-        self.n_a = np.fromiter((e[0] for e in entries), np.int64, len(entries))
+        self.n_a = flat[np.cumsum(words) - words]
         self.n_b = tokens - self.n_a
-        flat = np.frombuffer(b"".join([e[1] for e in entries]), "<u4").astype(np.int64)
-        # Each entry holds A's ids, B's ids, A's ends, B's ends.
-        kind = np.repeat(np.tile([0, 1, 2, 3], len(entries)), np.stack([self.n_a, self.n_b, self.n_a, self.n_b], 1).ravel())
-        self.a_ids, self.b_ids, self.a_ends, self.b_ends = (flat[kind == k] for k in range(4))
+        # Each entry holds the number of A's tokens, A's ids, B's ids, A's ends, B's ends.
+        lengths = np.stack([np.ones_like(words), self.n_a, self.n_b, self.n_a, self.n_b], 1)
+        kind = np.repeat(np.tile(np.arange(5), len(entries)), lengths.ravel())
+        self.a_ids, self.b_ids, self.a_ends, self.b_ends = (flat[kind == k] for k in range(1, 5))
         self.size = np.zeros(len(entries), np.int64)
         self.size[tokens > 0] = self.a_ends[np.cumsum(self.n_a)[tokens > 0] - 1]
 
