@@ -44,8 +44,7 @@ def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``ids`` (packed little-endian unsigned 32-bit integers) and ``text``, decoded from the ids."""
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = bpe.encode(docs, path, pattern, offsets=False)
-    return bpe.decode(encoded, path, pattern).select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "text")
+    return bpe.round_trip(docs, path, pattern).select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "text")
 
 
 STAGES = [

@@ -10,7 +10,7 @@ table is reversed for decoding.
 A text is first cut where the split pattern surely starts a match, such as before a single space that
 stands between two non-space characters. The parts tokenise independently, so a part that repeats in a
 slice of texts is encoded once and its ids are gathered with array operations; a bounded per-task memory
-keeps parts across slices. It is emptied when full, which changes the speed only.
+keeps parts across slices. ``round_trip`` encodes and decodes in one pass, so that a core runs one Python process.
 
 Defined results: a null text counts as empty and has no tokens; repeated rows give repeated rows; other
 columns are not carried over, so their names cannot clash; an empty table gives an empty table. Ids that are not in the vocabulary
@@ -25,7 +25,6 @@ import json
 import os
 import re
 from array import array
-from collections import ChainMap
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,10 +32,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from sensorloom.llm.common import packed, pieces, word_codes
+from sensorloom.llm.common import Remembered, packed, pieces, word_codes
 
-REMEMBER = 800_000  # parts held in a task's memory
-REMEMBER_CHARS = 64  # longer parts are not held
+REMEMBER = 150_000  # parts in each of the two generations of a task's memory
+SLICE_BYTES = 2 << 20
 SPACE_NEAR_SPACE = r" [\s\v\x1c-\x1f\x{85}\p{Z}]|[\s\v\x1c-\x1f\x{85}\p{Z}] "
 LINE_FEED = re.compile(r"(?<=\S)(\n)(?=\S)")
 BEFORE_SPACE = re.compile(r"(?<=\S)(?= \S)")
@@ -108,21 +107,15 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.offsets = Tokenizer.from_str(made), offsets
-        self.known: dict[str, tuple[bytes, ...]] = {}
-
-    def learn(self, parts: set[str]) -> dict[str, tuple[bytes, ...]]:
-        """Entries of all parts asked for."""
-        new = [p for p in parts if p not in self.known]
-        found = {}
-        if len(self.known) + len(new) > REMEMBER:
-            found, self.known = {p: self.known[p] for p in parts if p in self.known}, {}
+        self.known = Remembered(self.learn, REMEMBER)
+
+    def learn(self, parts: list[str]) -> Iterator[tuple[bytes, ...]]:
         run = self.tokenizer.encode_batch if self.offsets else self.tokenizer.encode_batch_fast
-        for part, e in zip(new, run(new, add_special_tokens=False)):
+        for e in run(parts, add_special_tokens=False):
             entry = (array("I", e.ids).tobytes(),)
             if self.offsets:
                 entry += tuple(array("i", side).tobytes() for side in zip(*e.offsets))
-            (self.known if len(part) <= REMEMBER_CHARS else found)[part] = entry
-        return ChainMap(found, self.known) if found else self.known
+            yield entry
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
         """Ids of all texts, the starts and ends of their tokens, and where each text's ids end."""
@@ -134,7 +127,8 @@ class _Encoder:
             parts += own
             n_parts[i] = len(own)
         # Lay the parts of the distinct chunks out flat, then gather the chunks in text order.
-        entry = self.learn(set(parts))
+        asked = list(dict.fromkeys(parts))
+        entry = dict(zip(asked, self.known.get(asked)))
         flat = [entry[p] for p in parts]
         part_ids = np.fromiter(map(len, (f[0] for f in flat)), np.int64, len(flat)) // 4
         chunk_of_part = np.repeat(np.arange(len(n_parts)), n_parts)
@@ -191,7 +185,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _Encoder(made, offsets)
-        for piece in pieces(batches, "text", 4 << 20):
+        for piece in pieces(batches, "text", SLICE_BYTES):
             ids, spans, ends = encoder.encode(pc.fill_null(piece.column("text"), ""))
             at = np.concatenate([[0], ends])
             columns = [piece.column("key"), packed(ids.astype("<u4"), at)]
@@ -211,20 +205,40 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id
     kind = encoded.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import codecs
-
         values = token_bytes(made)
-        for piece in pieces(batches, "ids"):
-            decoded, texts, tails = [], [], []
-            for ids in piece.column("ids").to_pylist():
-                raw = b"".join([values[i] for i in np.frombuffer(ids or b"", "<u4").tolist()])
-                reader = codecs.getincrementaldecoder("utf-8")("replace")
-                decoded.append(raw)
-                texts.append(reader.decode(raw))
-                tails.append(reader.getstate()[0])
-            yield pa.RecordBatch.from_arrays(
-                [piece.column("key"), piece.column("ids"), pa.array(decoded, pa.binary()), pa.array(texts, pa.string()), pa.array(tails, pa.binary())],
-                names=[key, "ids", "decoded", "text", "tail"],
-            )
-
-    return encoded.select(encoded[key].alias("key"), "ids").mapInArrow(run, f"`{key}` {kind}, ids binary, decoded binary, text string, tail binary")
+        for piece in pieces(batches, "ids", SLICE_BYTES):
+            yield _decoded(piece.column("key"), piece.column("ids"), values, key)
+
+    return encoded.select(encoded[key].alias("key"), "ids").mapInArrow(run, f"`{key}` {kind}, {DECODED}")
+
+
+DECODED = "ids binary, decoded binary, text string, tail binary"
+
+
+def _decoded(keys: pa.Array, ids: pa.Array, values: list[bytes | None], key: str) -> pa.RecordBatch:
+    import codecs
+
+    decoded, texts, tails = [], [], []
+    for own in ids.to_pylist():
+        raw = b"".join([values[i] for i in np.frombuffer(own or b"", "<u4").tolist()])
+        reader = codecs.getincrementaldecoder("utf-8")("replace")
+        decoded.append(raw)
+        texts.append(reader.decode(raw))
+        tails.append(reader.getstate()[0])
+    return pa.RecordBatch.from_arrays(
+        [keys, ids, pa.array(decoded, pa.binary()), pa.array(texts, pa.string()), pa.array(tails, pa.binary())], names=[key, "ids", "decoded", "text", "tail"],
+    )
+
+
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """What ``decode`` gives for the ids of ``encode``, in one pass over the texts."""
+    made = tokenizer_json(ranks_path, pattern)
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, values = _Encoder(made, False), token_bytes(made)
+        for piece in pieces(batches, "text", SLICE_BYTES):
+            ids, _, ends = encoder.encode(pc.fill_null(piece.column("text"), ""))
+            yield _decoded(piece.column("key"), packed(ids.astype("<u4"), np.concatenate([[0], ends])), values, key)
+
+    return docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(run, f"`{key}` {kind}, {DECODED}")

@@ -18,8 +18,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = bpe.encode(table(spark, sf_dir, "documents", "doc_id", "text"), path, pattern, offsets=False)
-    return bpe.decode(encoded, path, pattern).select(
+    return bpe.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), path, pattern).select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )

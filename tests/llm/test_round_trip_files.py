@@ -295,3 +295,11 @@ def test_running_totals(spark):
 
 def test_crc_of_ids_is_the_library_s(spark):
     assert spark.range(1).select(F.crc32(F.lit(b"\x01\x00\x00\x00"))).first()[0] == zlib.crc32(b"\x01\x00\x00\x00")
+
+
+def test_one_pass_gives_what_two_give(docs):
+    from sensorloom.llm import bpe
+
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    kinds = lambda df: collections.Counter((r.doc_id, bytes(r.ids), bytes(r.decoded), r.text, bytes(r.tail)) for r in df.collect())
+    assert kinds(bpe.round_trip(docs, path, pattern)) == kinds(bpe.decode(bpe.encode(docs, path, pattern), path, pattern))
