@@ -1,7 +1,7 @@
 """Classifiers on window features: catalogue, fitting, evaluation, comparison, scoring.
 
-Tree and linear learners are MLlib's. Where MLlib has no counterpart the catalogue composes one:
-multi-class boosting is one-vs-rest, the kernel SVM is a linear SVM on random Fourier features
+Single trees, forests and linear learners are MLlib's. Where MLlib has no counterpart the catalogue has its own:
+boosting is softmax boosting of histogram trees (:mod:`boost`), the kernel SVM is a linear SVM on random Fourier features
 (Rahimi and Recht, 2007), nearest neighbours score against the bounded matrix of :mod:`knn`.
 """
 
@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier,
+    DecisionTreeClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier,
 )
 from pyspark.ml.feature import ElementwiseProduct, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from sensorloom.functions import labels as L
 from sensorloom.functions.clean import impute, sanitize_features
 from sensorloom.functions.vectors import means_only, truncate
-from sensorloom.operators import knn, metrics, scaling, splits
+from sensorloom.operators import boost, knn, metrics, scaling, splits
 from sensorloom.session import materialise
 from sensorloom.sources import models as store
 
@@ -45,8 +45,9 @@ CATALOGUE: dict[str, dict] = {
     "Decision Tree": {"depth": 20, "balanced": True},
     "Gradient Boosting": {"rounds": 200, "depth": 5, "rate": 0.1},
     "Logistic Regression": {"C": 1.0, "rounds": 1000, "balanced": True},
-    "LightGBM": {"rounds": 300, "depth": 8, "rate": 0.1, "rows": 0.8, "columns": 0.8},
+    "LightGBM": {"rounds": 300, "depth": 8, "leaves": 63, "rate": 0.1, "rows": 0.8, "columns": 0.8},
 }
+BOOSTED = ("Gradient Boosting", "LightGBM")
 DEFAULT = "Random Forest"
 SELECTOR = {"trees": 100, "depth": 15, "share_of_mean": 0.5, "min_kept": 20, "min_width": 30}
 
@@ -72,6 +73,8 @@ class Fitted:
         if self.train is not None:
             return self._vote(cut, row_id)
         df = self.pipeline.transform(_vectors(cut))
+        if "boost" in self.extra:
+            return self._boosted(df)
         if "svm" in self.extra:
             df = self.extra["svm"](df)
         raw = _probability(df, self.name, self.extra)
@@ -87,8 +90,14 @@ class Fitted:
         told = scaled.withColumn("__v", found)
         return told.withColumns({"prediction": F.col("__v.prediction"), "probability": F.col("__v.probability")}).drop("__v", "__x", "__c", "scaled")
 
+    def _boosted(self, df: DataFrame) -> DataFrame:
+        probability = boost.scorer(self.extra["boost"])(vector_to_array("scaled"))
+        return with_prediction(df.withColumn("probability", probability), self.labels).drop("__x", "__c", "scaled")
+
     def importances(self) -> DataFrame | None:
         """(pos, importance), or None when the classifier has none."""
+        if "boost" in self.extra:
+            return SparkSession.active().createDataFrame(list(enumerate(self.extra["boost"]["gains"])), "pos long, importance double")
         last = self.pipeline.stages[-1] if self.pipeline else None
         if last is None or not hasattr(last, "featureImportances"):
             return None
@@ -97,6 +106,12 @@ class Fitted:
         return spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "pos long, importance double")
 
 
+def with_prediction(scored: DataFrame, labels: list[int]) -> DataFrame:
+    """The label with the largest probability, the first of several."""
+    order, best = F.array(*[F.lit(c) for c in labels]), F.array_position("probability", F.array_max("probability"))
+    return scored.withColumn("prediction", F.element_at(order, best.cast("int")))
+
+
 # --- Preparation -------------------------------------------------------------------------------
 
 
@@ -138,13 +153,6 @@ def _tree(p: dict, weight: str | None):
     return est.setWeightCol(weight) if weight else est
 
 
-def _boosting(p: dict, weight: str | None):
-    base = GBTClassifier(
-        featuresCol="scaled", labelCol="__y", maxIter=p["rounds"], maxDepth=p["depth"], stepSize=p["rate"],
-        subsamplingRate=p.get("rows", 1.0), featureSubsetStrategy=str(p.get("columns", "all")), seed=SEED)
-    return OneVsRest(classifier=base, featuresCol="scaled", labelCol="__y", rawPredictionCol="rawPrediction", parallelism=3)
-
-
 def _logistic(p: dict, weight: str | None, n: int):
     est = LogisticRegression(
         featuresCol="scaled", labelCol="__y", maxIter=p["rounds"], regParam=1.0 / (p["C"] * n), elasticNetParam=0.0,
@@ -188,12 +196,15 @@ def fit(rows: DataFrame, name: str, params: dict | None = None, *, label: str =
         scaled = fitted.pipeline.transform(data)
         fitted.train = scaled.select(F.col(row_id).alias("tid"), F.col(label).alias("label"), vector_to_array("scaled").alias("scaled"))
         fitted.extra = {"k": p["k"], "most": p.get("most", knn.MAX_TRAIN_ROWS)}
+    elif name in BOOSTED:
+        fitted.pipeline = Pipeline(stages=stages).fit(data)
+        scaled = fitted.pipeline.transform(data)
+        fitted.extra = {"boost": boost.fit(scaled, row_id, vector_to_array("scaled"), F.col("__y"), len(labels), width, p)}
     elif name == "SVM":
         _fit_svm(fitted, data, stages, p, weight, n, width)
     else:
         learner = {
             "Random Forest": lambda: _forest(p, weight), "Decision Tree": lambda: _tree(p, weight),
-            "Gradient Boosting": lambda: _boosting(p, weight), "LightGBM": lambda: _boosting(p, weight),
             "Logistic Regression": lambda: _logistic(p, weight, n),
         }[name]()
         fitted.pipeline = Pipeline(stages=[*stages, learner]).fit(data)
@@ -235,12 +246,8 @@ def _probability(df: DataFrame, name: str, extra: dict) -> Column:
     """Class probabilities in label order, also where MLlib gives margins only."""
     if "probability" in df.columns:
         return vector_to_array("probability")
-    margins = vector_to_array("rawPrediction")
-    if "platt" in extra:
-        table = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in extra["platt"]])
-        each = F.zip_with(margins, table, lambda m, t: 1 / (1 + F.exp(-(m * t.a + t.b))))
-    else:  # boosting margins are half log-odds
-        each = F.transform(margins, lambda m: 1 / (1 + F.exp(-2 * m)))
+    table = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in extra["platt"]])
+    each = F.zip_with(vector_to_array("rawPrediction"), table, lambda m, t: 1 / (1 + F.exp(-(m * t.a + t.b))))
     total = F.aggregate(each, F.lit(0.0), lambda a, v: a + v)
     return F.transform(each, lambda v: v / total)
 
@@ -267,6 +274,8 @@ def evaluate(scored: DataFrame, labels: list[int], label: str = "label") -> Data
 def cross_validate(rows: DataFrame, name: str, params: dict | None, folds: int, *, label: str = "label", row_id: str = "vec_id") -> DataFrame:
     """(fold, accuracy) with a fresh fit per fold on a table written once."""
     dealt = materialise(splits.kfold(rows, label, [row_id], folds=folds), "folds")
+    if name in BOOSTED:
+        return _hits(_boosted_out(dealt, "fold", name, params, label, row_id))
 
     def one(i: int) -> DataFrame:
         model = fit(dealt.where(F.col("fold") != i), name, params, label=label, row_id=row_id)
@@ -276,8 +285,21 @@ def cross_validate(rows: DataFrame, name: str, params: dict | None, folds: int,
 
     parts = _in_parallel(rows.sparkSession, one, list(range(folds)))
 
-    hit = F.when(F.col("actual") == F.col("predicted"), 1.0).otherwise(0.0)
-    return union_subjects(parts).groupBy("fold").agg(F.avg(hit).alias("accuracy"))
+    return _hits(union_subjects(parts))
+
+
+def _hits(out: DataFrame) -> DataFrame:
+    return out.groupBy("fold").agg(F.avg(F.when(F.col("actual") == F.col("predicted"), 1.0).otherwise(0.0)).alias("accuracy"))
+
+
+def _boosted_out(table: DataFrame, fold: str, name: str, params: dict | None, label: str, row_id: str) -> DataFrame:
+    """(``fold``, actual, predicted) of every row by a model fitted without its fold; all models in one job. Trees need no scaling."""
+    labels = distinct_labels(table, label)
+    clean = table.withColumn("features", F.transform(sanitize_features(F.col("features")), lambda v: impute(v)))
+    width = clean.agg(F.max(F.size("features"))).first()[0]
+    scored = boost.fit_leaving_out(clean, fold, row_id, F.col("features"), label_index(labels, F.col(label)), len(labels), width, {**CATALOGUE[name], **(params or {})})
+    told = with_prediction(scored, labels).select(row_id, F.col("prediction").alias("predicted"))
+    return table.select(row_id, F.col(fold), F.col(label).alias("actual")).join(told, row_id).drop(row_id)
 
 
 def select_features(rows: DataFrame, params: dict | None = None, *, label: str = "label", row_id: str = "vec_id") -> list[int]:
@@ -357,6 +379,8 @@ def leave_one_subject_out(rows: DataFrame, name: str = DEFAULT, params: dict | N
     from sensorloom.sources.recordings import union_subjects
 
     table = materialise(rows, "loso")
+    if name in BOOSTED:
+        return materialise(_boosted_out(table, subject, name, params, label, row_id), "oof")
 
     def one(held_out: str) -> DataFrame:
         train, test = splits.leave_one_out(table, held_out, subject)
