@@ -76,7 +76,7 @@ class Aligner:
         # A mark behind a letter is a part of its own where no piece of B holds the two side by side; A's splitter parts them anyway.
         joined = "\n".join(map(self.b.id_to_piece, range(size)))
         self.marks = {m for m in MARKS if not re.search(rf"[A-Za-zÀ-ÖØ-öø-ÿ]{re.escape(m)}", joined) and self.b.id_to_piece(self.b.piece_to_id(m)) == m}
-        self.known = Remembered(self.learn, REMEMBER)
+        self.known = Remembered(REMEMBER)
 
     def parts(self, chunk: str) -> list[str]:
         return [chunk[:-1], chunk[-1]] if chunk[-1] in self.marks and PLAIN.fullmatch(chunk, 0, len(chunk) - 1) else [chunk]
@@ -146,7 +146,7 @@ class Aligner:
         split = [[number.setdefault(p, len(number)) for p in self.parts(c)] for c in distinct.to_pylist()]
         lengths = np.fromiter(map(len, split), np.int64, len(split))
         part_codes = gather(np.array([p for ps in split for p in ps], np.int64), lengths, codes)
-        return Aligned(self.known.get(list(number)), part_codes, np.repeat(rows, lengths[codes]), len(texts))
+        return Aligned(self.known.get(list(number), self.learn), part_codes, np.repeat(rows, lengths[codes]), len(texts))
 
 
 class Aligned:

@@ -107,7 +107,7 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.offsets = Tokenizer.from_str(made), offsets
-        self.known = Remembered(self.learn, REMEMBER)
+        self.known = Remembered(REMEMBER)
 
     def learn(self, parts: list[str]) -> Iterator[tuple[bytes, ...]]:
         run = self.tokenizer.encode_batch if self.offsets else self.tokenizer.encode_batch_fast
@@ -128,7 +128,7 @@ class _Encoder:
             n_parts[i] = len(own)
         # Lay the parts of the distinct chunks out flat, then gather the chunks in text order.
         asked = list(dict.fromkeys(parts))
-        entry = dict(zip(asked, self.known.get(asked)))
+        entry = dict(zip(asked, self.known.get(asked, self.learn)))
         flat = [entry[p] for p in parts]
         part_ids = np.fromiter(map(len, (f[0] for f in flat)), np.int64, len(flat)) // 4
         chunk_of_part = np.repeat(np.arange(len(n_parts)), n_parts)

@@ -104,18 +104,19 @@ def packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
 
 
 class Remembered:
-    """What ``work`` gives for each string, computed once while it is remembered.
+    """What a function gives for each string, computed once while it is remembered.
 
     Two generations of at most ``most`` strings each: a full young one becomes the old one, and what is used again moves to
-    the young one. Strings longer than ``longest`` are never held, so memory has a fixed bound. Forgetting changes the speed only.
+    the young one. Strings longer than ``longest`` are never held, so memory has a fixed bound. Forgetting changes the speed only. The function is passed to each call: held here, a method
+    of the owner would make a cycle, and owners of ended tasks would stay in a reused Python worker.
     """
 
-    def __init__(self, work, most: int = 200_000, longest: int = 64):
-        self.work, self.most, self.longest = work, most, longest
+    def __init__(self, most: int = 200_000, longest: int = 64):
+        self.most, self.longest = most, longest
         self.young: dict[str, object] = {}
         self.old: dict[str, object] = {}
 
-    def get(self, strings: list[str]) -> list:
+    def get(self, strings: list[str], work) -> list:
         young, old = self.young, self.old
         out = [young.get(s) for s in strings]
         missing = [i for i, v in enumerate(out) if v is None]
@@ -129,7 +130,7 @@ class Remembered:
                 out[i] = v
                 young[s] = v
         if new:
-            for i, v in zip(new, self.work([strings[i] for i in new])):
+            for i, v in zip(new, work([strings[i] for i in new])):
                 out[i] = v
                 if len(strings[i]) <= self.longest:
                     young[strings[i]] = v

@@ -87,7 +87,7 @@ class WordEncoder:
         self.plain = re.compile(PLAIN if letters else "(?!)")
         self.shown = {b: c for b, c in enumerate(byte_characters())}
         self.marks = {m: self.whole([m])[0] for m in MARKS} | {"": b""} if letters else {}
-        self.known = Remembered(self.learn)
+        self.known = Remembered()
 
     def whole(self, pieces_: list[str]) -> list[bytes]:
         return [array(self.kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces_, add_special_tokens=False)]
@@ -110,7 +110,7 @@ class WordEncoder:
             texts = pc.ascii_lower(texts)  # fewer distinct pieces
         rows, words = split_words(texts)
         codes, distinct = word_codes(words)
-        entries = self.known.get(distinct.to_pylist())
+        entries = self.known.get(distinct.to_pylist(), self.learn)
         lengths = np.fromiter(map(len, entries), np.int64, len(entries)) // self.width
         ids = gather(np.frombuffer(b"".join(entries), f"<u{self.width}"), lengths, codes)
         counts = np.bincount(rows, lengths[codes], len(texts)).astype(np.int64)
