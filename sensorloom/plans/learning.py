@@ -1,4 +1,4 @@
-"""Queries on classifiers. Boosting runs at the catalogue's parameters; those of the others are small here."""
+"""Queries on classifiers, at the catalogue's parameters and folds."""
 
 from __future__ import annotations
 
@@ -11,19 +11,11 @@ from sensorloom.plans.graphs import KEYS, nodes_and_edges
 from sensorloom.plans.registry import query, with_ctes
 from sensorloom.session import shared_dir
 
-SMALL = {
-    "Random Forest": {"trees": 10, "depth": 5},
-    "SVM": {"components": 64, "rounds": 10},
-    "Decision Tree": {"depth": 5},
-    "Logistic Regression": {"rounds": 50},
-}
-
-
 def _scored(spark, sf_dir, name):
     """Fit on the training part, score the test part."""
     feat = B.feat(spark, sf_dir)
     parted = splits.stratified(feat, "label", ["vec_id"])
-    model = learn.fit(parted.where("NOT is_test"), name, SMALL.get(name))
+    model = learn.fit(parted.where("NOT is_test"), name)
     out = model.score(parted.where("is_test"), "vec_id")
     return out.select("vec_id", "label", "prediction", F.transform("probability", lambda p: F.round(p, 6)).alias("probability"))
 
@@ -85,7 +77,7 @@ FROM long JOIN s USING (pos) GROUP BY label, pos""")
 def ml_scaled_fit(spark, sf_dir):
     """Impute and standardise stages of a fitted classifier, as class centroids of what it sees."""
     feat = B.feat(spark, sf_dir)
-    model = learn.fit(feat, "Decision Tree", SMALL["Decision Tree"])
+    model = learn.fit(feat, "Decision Tree")
     seen = learn._vectors(feat)
     for stage in model.pipeline.stages[:2]:
         seen = stage.transform(seen)
@@ -98,7 +90,7 @@ def ml_scaled_fit(spark, sf_dir):
 
 @query("ml_feature_select")
 def ml_feature_select(spark, sf_dir):
-    kept = learn.select_features(B.feat(spark, sf_dir), {"trees": 20, "depth": 5})
+    kept = learn.select_features(B.feat(spark, sf_dir))
     rows = learn._keep(B.feat(spark, sf_dir), kept)
     return rows.select("vec_id", F.size("features").alias("n_kept"), F.array_max("features").alias("largest"))
 
@@ -110,21 +102,20 @@ def ml_train_eval(spark, sf_dir):
     length = F.length("text").cast("double")
     letters = F.length(F.regexp_replace("text", "[^A-Za-z]", "")).cast("double")
     rows = docs.select("doc_id", (F.col("quality") + 1).alias("label"), F.array(length, letters / F.greatest(length, F.lit(1.0)), F.size(F.split("text", "\n")).cast("double")).alias("features"))
-    _, row, _ = learn.train_eval(rows, "Logistic Regression", SMALL["Logistic Regression"], cv_folds=2, row_id="doc_id")
+    _, row, _ = learn.train_eval(rows, "Logistic Regression", row_id="doc_id")
     return row
 
 
 @query("ml_compare")
 def ml_compare(spark, sf_dir):
-    return learn.compare(B.feat(spark, sf_dir), params=SMALL, cv_folds=0)
+    return learn.compare(B.feat(spark, sf_dir))
 
 
 @query("ml_general")
 def ml_general(spark, sf_dir):
     """Leave-one-subject-out scores of the pooled model, with the totals of the pooled fit."""
     feat = B.feat(spark, sf_dir)
-    general = learn.train_general(
-        feat, "Decision Tree", SMALL["Decision Tree"], cv_folds=0, manual_params={"trees": 5, "depth": 4})
+    general = learn.train_general(feat)
     per = metrics.loso_scores(general.loso)
     accuracy = general.metrics.select("accuracy").scalar()
     manual = general.manual_metrics.select("accuracy").scalar()
@@ -133,14 +124,14 @@ def ml_general(spark, sf_dir):
 
 @query("ml_manual_model")
 def ml_manual_model(spark, sf_dir):
-    model, row = learn.train_manual(B.feat(spark, sf_dir), {"trees": 10, "depth": 5})
+    model, row = learn.train_manual(B.feat(spark, sf_dir))
     return row
 
 
 @query("ml_predict")
 def ml_predict(spark, sf_dir):
     feat = B.feat(spark, sf_dir)
-    model = learn.fit(feat, "Decision Tree", SMALL["Decision Tree"])
+    model = learn.fit(feat, "Decision Tree")
     out = learn.predict(model, feat, "vec_id")
     ratio = L.stress_ratio(F.count_if(L.is_stressed(F.col("prediction"))), F.count_if(L.is_baseline(F.col("prediction"))))
     return out.groupBy("subject_id").agg(F.count(F.lit(1)).alias("n"), F.round(ratio, 6).alias("stress_ratio"))
@@ -150,13 +141,13 @@ def ml_predict(spark, sf_dir):
 def ml_stress_confidence(spark, sf_dir):
     """Each vector is its own subject, so each gets a probability instead of a ratio."""
     feat = B.feat(spark, sf_dir).withColumn("subject_id", F.col("vec_id").cast("string"))
-    model = learn.fit(feat, "Decision Tree", SMALL["Decision Tree"])
+    model = learn.fit(feat, "Decision Tree")
     return learn.predict(model, feat, "vec_id").select("vec_id", "label_name", "is_stressed", F.round("stress_confidence", 6).alias("stress_confidence"))
 
 
 @query("ml_importances")
 def ml_importances(spark, sf_dir):
-    model = learn.fit(B.feat(spark, sf_dir), "Random Forest", SMALL["Random Forest"])
+    model = learn.fit(B.feat(spark, sf_dir), "Random Forest")
     named = model.importances().withColumn("feature", F.concat(F.lit("F"), F.col("pos").cast("string")))
     return importance.top(named, 15)
 
@@ -165,7 +156,7 @@ def ml_importances(spark, sf_dir):
 def src_model_store(spark, sf_dir):
     """Predictions of a stored and reloaded model beside those of the original."""
     feat = B.feat(spark, sf_dir)
-    model = learn.fit(feat, "Decision Tree", SMALL["Decision Tree"])
+    model = learn.fit(feat, "Decision Tree")
     root = shared_dir(spark, "models")
     learn.save(model, root, "general")
     again = learn.load(root, "general")
@@ -186,6 +177,6 @@ def gr_node_classify(spark, sf_dir):
     from sensorloom.session import materialise
 
     masked = materialise(splits.random_mask(rows, ["vec_id"]), "nodes")
-    model = learn.fit(masked.where("is_train"), "Logistic Regression", SMALL["Logistic Regression"])
+    model = learn.fit(masked.where("is_train"), "Logistic Regression")
     scored = model.score(masked, "vec_id").select("is_train", F.col("label").alias("actual"), F.col("prediction").alias("predicted"))
     return metrics.overall_scores(metrics.class_scores(metrics.confusion(scored, ["is_train"]), ["is_train"]), ["is_train"])

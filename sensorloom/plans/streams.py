@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from sensorloom.operators import learn
 from sensorloom.plans import bindings as B
-from sensorloom.plans.learning import SMALL
 from sensorloom.plans.registry import query, with_ctes
 from sensorloom.session import shared_dir
 from sensorloom.streaming import logs, rate_limit, run, score, windows
@@ -90,7 +89,7 @@ def st_windows(spark, sf_dir):
 
 @query("st_score")
 def st_score(spark, sf_dir):
-    model = learn.fit(B.feat(spark, sf_dir), "Decision Tree", SMALL["Decision Tree"])
+    model = learn.fit(B.feat(spark, sf_dir), "Decision Tree")
     vectors = run.read_table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("features"))
     out = run.drain(score.score_stream(vectors, model, "vec_id").drop("features"), "scores")
     return out.select("vec_id", "prediction", "label_name", "is_stressed", F.round("p_stress", 6).alias("p_stress"))
