@@ -1,7 +1,7 @@
 """Classifiers on window features: catalogue, fitting, evaluation, comparison, scoring.
 
-Single trees, forests and linear learners are MLlib's. Where MLlib has no counterpart the catalogue has its own:
-boosting is softmax boosting of histogram trees (:mod:`boost`), the kernel SVM is a linear SVM on random Fourier features
+Single trees and linear learners are MLlib's. Where MLlib has no counterpart the catalogue has its own: boosting is softmax boosting of
+histogram trees (:mod:`boost`), forests have a least node size to split and grow for all folds in one job (:mod:`forest`), the kernel SVM is a linear SVM on random Fourier features
 (Rahimi and Recht, 2007), nearest neighbours score against the bounded matrix of :mod:`knn`.
 """
 
@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    DecisionTreeClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier,
+    DecisionTreeClassifier, LinearSVC, LogisticRegression, OneVsRest,
 )
 from pyspark.ml.feature import ElementwiseProduct, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from sensorloom.functions import labels as L
 from sensorloom.functions.clean import impute, sanitize_features
 from sensorloom.functions.vectors import means_only, truncate
-from sensorloom.operators import boost, knn, metrics, scaling, splits
+from sensorloom.operators import boost, forest, knn, metrics, scaling, splits
 from sensorloom.session import materialise
 from sensorloom.sources import models as store
 
@@ -39,7 +39,7 @@ SEED = 42
 
 # The catalogue's published parameters, in catalogue order.
 CATALOGUE: dict[str, dict] = {
-    "Random Forest": {"trees": 300, "depth": 25, "min_leaf": 2, "balanced": True},
+    "Random Forest": {"trees": 300, "depth": 25, "min_split": 5, "min_leaf": 2, "balanced": True},
     "SVM": {"C": 10.0, "balanced": True, "components": 512},
     "KNN": {"k": 5},
     "Decision Tree": {"depth": 20, "balanced": True},
@@ -48,6 +48,7 @@ CATALOGUE: dict[str, dict] = {
     "LightGBM": {"rounds": 300, "depth": 8, "leaves": 63, "rate": 0.1, "rows": 0.8, "columns": 0.8},
 }
 BOOSTED = ("Gradient Boosting", "LightGBM")
+GROWERS = {"Random Forest": forest, **dict.fromkeys(BOOSTED, boost)}  # own learners: all folds in one job
 DEFAULT = "Random Forest"
 SELECTOR = {"trees": 100, "depth": 15, "share_of_mean": 0.5, "min_kept": 20, "min_width": 30}
 
@@ -74,7 +75,9 @@ class Fitted:
             return self._vote(cut, row_id)
         df = self.pipeline.transform(_vectors(cut))
         if "boost" in self.extra:
-            return self._boosted(df)
+            return self._voted(df, boost.scorer(self.extra["boost"]))
+        if "forest" in self.extra:
+            return self._voted(df, forest.scorer(rows.sparkSession, self.extra["forest"], len(self.labels)))
         if "svm" in self.extra:
             df = self.extra["svm"](df)
         raw = _probability(df, self.name, self.extra)
@@ -90,14 +93,16 @@ class Fitted:
         told = scaled.withColumn("__v", found)
         return told.withColumns({"prediction": F.col("__v.prediction"), "probability": F.col("__v.probability")}).drop("__v", "__x", "__c", "scaled")
 
-    def _boosted(self, df: DataFrame) -> DataFrame:
-        probability = boost.scorer(self.extra["boost"])(vector_to_array("scaled"))
-        return with_prediction(df.withColumn("probability", probability), self.labels).drop("__x", "__c", "scaled")
+    def _voted(self, df: DataFrame, score: Callable[[Column], Column]) -> DataFrame:
+        return with_prediction(df.withColumn("probability", score(vector_to_array("scaled"))), self.labels).drop("__x", "__c", "scaled")
 
     def importances(self) -> DataFrame | None:
         """(pos, importance), or None when the classifier has none."""
         if "boost" in self.extra:
             return SparkSession.active().createDataFrame(list(enumerate(self.extra["boost"]["gains"])), "pos long, importance double")
+        if "forest" in self.extra:
+            shares = forest.importances(self.extra["forest"])
+            return SparkSession.active().createDataFrame([(i, float(v)) for i, v in enumerate(shares)], "pos long, importance double")
         last = self.pipeline.stages[-1] if self.pipeline else None
         if last is None or not hasattr(last, "featureImportances"):
             return None
@@ -141,13 +146,6 @@ def _scaler_stages(n: int, width: int) -> list:
 # --- Learners ----------------------------------------------------------------------------------
 
 
-def _forest(p: dict, weight: str | None):
-    est = RandomForestClassifier(
-        featuresCol="scaled", labelCol="__y", numTrees=p["trees"], maxDepth=p["depth"],
-        minInstancesPerNode=p.get("min_leaf", 1), seed=SEED)
-    return est.setWeightCol(weight) if weight else est
-
-
 def _tree(p: dict, weight: str | None):
     est = DecisionTreeClassifier(featuresCol="scaled", labelCol="__y", maxDepth=p["depth"], seed=SEED)
     return est.setWeightCol(weight) if weight else est
@@ -196,15 +194,16 @@ def fit(rows: DataFrame, name: str, params: dict | None = None, *, label: str =
         scaled = fitted.pipeline.transform(data)
         fitted.train = scaled.select(F.col(row_id).alias("tid"), F.col(label).alias("label"), vector_to_array("scaled").alias("scaled"))
         fitted.extra = {"k": p["k"], "most": p.get("most", knn.MAX_TRAIN_ROWS)}
-    elif name in BOOSTED:
+    elif name in GROWERS:
         fitted.pipeline = Pipeline(stages=stages).fit(data)
         scaled = fitted.pipeline.transform(data)
-        fitted.extra = {"boost": boost.fit(scaled, row_id, vector_to_array("scaled"), F.col("__y"), len(labels), width, p)}
+        kind = "boost" if name in BOOSTED else "forest"
+        fitted.extra = {kind: GROWERS[name].fit(scaled, row_id, vector_to_array("scaled"), F.col("__y"), len(labels), width, p)}
     elif name == "SVM":
         _fit_svm(fitted, data, stages, p, weight, n, width)
     else:
         learner = {
-            "Random Forest": lambda: _forest(p, weight), "Decision Tree": lambda: _tree(p, weight),
+            "Decision Tree": lambda: _tree(p, weight),
             "Logistic Regression": lambda: _logistic(p, weight, n),
         }[name]()
         fitted.pipeline = Pipeline(stages=[*stages, learner]).fit(data)
@@ -274,8 +273,8 @@ def evaluate(scored: DataFrame, labels: list[int], label: str = "label") -> Data
 def cross_validate(rows: DataFrame, name: str, params: dict | None, folds: int, *, label: str = "label", row_id: str = "vec_id") -> DataFrame:
     """(fold, accuracy) with a fresh fit per fold on a table written once."""
     dealt = materialise(splits.kfold(rows, label, [row_id], folds=folds), "folds")
-    if name in BOOSTED:
-        return _hits(_boosted_out(dealt, "fold", name, params, label, row_id))
+    if name in GROWERS:
+        return _hits(_left_out(dealt, "fold", name, params, label, row_id))
 
     def one(i: int) -> DataFrame:
         model = fit(dealt.where(F.col("fold") != i), name, params, label=label, row_id=row_id)
@@ -292,12 +291,12 @@ def _hits(out: DataFrame) -> DataFrame:
     return out.groupBy("fold").agg(F.avg(F.when(F.col("actual") == F.col("predicted"), 1.0).otherwise(0.0)).alias("accuracy"))
 
 
-def _boosted_out(table: DataFrame, fold: str, name: str, params: dict | None, label: str, row_id: str) -> DataFrame:
+def _left_out(table: DataFrame, fold: str, name: str, params: dict | None, label: str, row_id: str) -> DataFrame:
     """(``fold``, actual, predicted) of every row by a model fitted without its fold; all models in one job. Trees need no scaling."""
     labels = distinct_labels(table, label)
     clean = table.withColumn("features", F.transform(sanitize_features(F.col("features")), lambda v: impute(v)))
     width = clean.agg(F.max(F.size("features"))).first()[0]
-    scored = boost.fit_leaving_out(clean, fold, row_id, F.col("features"), label_index(labels, F.col(label)), len(labels), width, {**CATALOGUE[name], **(params or {})})
+    scored = GROWERS[name].fit_leaving_out(clean, fold, row_id, F.col("features"), label_index(labels, F.col(label)), len(labels), width, {**CATALOGUE[name], **(params or {})})
     told = with_prediction(scored, labels).select(row_id, F.col("prediction").alias("predicted"))
     return table.select(row_id, F.col(fold), F.col(label).alias("actual")).join(told, row_id).drop(row_id)
 
@@ -306,8 +305,8 @@ def select_features(rows: DataFrame, params: dict | None = None, *, label: str =
     """Positions a forest finds important enough; all of them when too few survive. The importance
     vector has one entry per feature."""
     p = {**SELECTOR, **(params or {})}
-    model = fit(rows, "Random Forest", {"trees": p["trees"], "depth": p["depth"], "min_leaf": 1, "balanced": False}, label=label, row_id=row_id)
-    values = model.pipeline.stages[-1].featureImportances.toArray()
+    model = fit(rows, "Random Forest", {"trees": p["trees"], "depth": p["depth"], "min_split": 2, "min_leaf": 1, "balanced": False}, label=label, row_id=row_id)
+    values = forest.importances(model.extra["forest"])
     kept = [i for i, v in enumerate(values) if v >= p["share_of_mean"] * values.mean()]
     return kept if len(kept) >= p["min_kept"] else list(range(len(values)))
 
@@ -375,12 +374,12 @@ def compare(rows: DataFrame, names: list[str] | None = None, params: dict[str, d
 
 def leave_one_subject_out(rows: DataFrame, name: str = DEFAULT, params: dict | None = None, *, subject: str = "subject_id",
                           label: str = "label", row_id: str = "vec_id") -> DataFrame:
-    """Out-of-fold rows (subject, actual, predicted): one fit per subject over one written table."""
+    """Out-of-fold rows (subject, actual, predicted): over one written table. Own learners fit all models in one job, others one after the other."""
     from sensorloom.sources.recordings import union_subjects
 
     table = materialise(rows, "loso")
-    if name in BOOSTED:
-        return materialise(_boosted_out(table, subject, name, params, label, row_id), "oof")
+    if name in GROWERS:
+        return materialise(_left_out(table, subject, name, params, label, row_id), "oof")
 
     def one(held_out: str) -> DataFrame:
         train, test = splits.leave_one_out(table, held_out, subject)
@@ -447,11 +446,13 @@ def save(model: Fitted, root: str, model_id: str) -> None:
     """Pipeline, description and, for nearest neighbours, the training table."""
     store.save(model.pipeline, root, model_id, model.width, model.name)
     path = store.model_path(root, model_id)
-    extra = {k: v for k, v in model.extra.items() if k != "svm"}
+    extra = {k: v for k, v in model.extra.items() if k not in ("svm", "forest")}
     about = json.dumps({"name": model.name, "labels": model.labels, "width": model.width, "extra": extra})
     SparkSession.active().createDataFrame([(about,)], "about string").write.mode("overwrite").text(f"{path}/about")
     if model.train is not None:
         model.train.write.mode("overwrite").parquet(f"{path}/train")
+    if "forest" in model.extra:
+        SparkSession.active().createDataFrame(forest.model_rows(model.extra["forest"]), forest.MODEL).write.mode("overwrite").parquet(f"{path}/trees")
     if "svm" in model.extra:
         model.extra["svm"].model.write().overwrite().save(f"{path}/svm")
 
@@ -465,6 +466,8 @@ def load(root: str, model_id: str) -> Fitted:
     model = Fitted(about["name"], about["labels"], about["width"], store.load(root, model_id), about["extra"])
     if model.name == "KNN":
         model.train = spark.read.parquet(f"{path}/train")
+    if model.name == "Random Forest":
+        model.extra["forest"] = forest.trees_of(spark.read.parquet(f"{path}/trees").toArrow())
     if model.name == "SVM":
         e = model.extra
         e["svm"] = _svm_step(OneVsRestModel.load(f"{path}/svm"), model.width, e["components"], e["gamma"])
