@@ -2,9 +2,9 @@
 
 1. Words are runs of letters and digits in lower case; shingles are five words in a row, weighted by how
    often they occur (an item of fewer words is one shingle).
-2. Item-sized windows: a window without any of the items' shingles has similarity 0, so windows are laid where a shingle
-   of an item of that size occurs, so that both occurrences coincide. A window that would leave the text
-   is moved inside; a shorter text is one window.
+2. Item-sized windows: a window of m shingles reaches similarity t with an item of m shingles only if at least 2tm / (1 + t) of its
+   places hold a shingle of an item of that size. Every window that has so many gets a fingerprint, wherever in it they stand, so
+   that reordered, inserted and deleted words are found too. A text shorter than the item is one window, with its own bound.
 3. Equal windows count once from here on. Each gets a 64-bit SimHash of its weighted shingles, as has each item.
 4. Multi-index: ``radius + 1`` blocks of the bits. Two fingerprints within the radius agree in at least one
    block, so joining on (item size, block number, block value) finds all of them.
@@ -109,21 +109,38 @@ def signed(bits: int) -> int:
     return bits - (1 << 64) if bits >> 63 else bits
 
 
+def window_starts(hits: Column, n: Column, size: Column, shingle: int, similarity: float) -> Column:
+    """All starts of windows of ``size`` words that can reach the similarity, from the sorted places of shingles of such items in a text
+    of ``n`` words: the i-th place is the first one in the window, and the last one needed still lies in it."""
+    held = F.greatest(F.least(size, n) - F.least(size, F.lit(shingle)) + 1, F.lit(1))  # shingles of a window
+    own = F.greatest(size - shingle + 1, F.lit(1))  # and of the item
+    need = F.ceil(F.lit(similarity / (1 + similarity)) * (held + own) - 1e-9).cast("int")
+    need = F.greatest(need, F.lit(1))
+
+    def starts(i: Column) -> Column:
+        low = F.greatest(F.when(i > 0, F.get(hits, i - 1) + 1).otherwise(F.lit(0)), F.get(hits, i + need - 1) - held + 1)
+        high = F.least(F.get(hits, i), F.greatest(n - size, F.lit(0)))
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    return F.when(F.size(hits) >= need, F.flatten(F.transform(F.sequence(F.lit(0), F.size(hits) - need), starts))).otherwise(F.array().cast("array<int>"))
+
+
 def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
     """``key``, ``hash`` (of the text), ``item``, ``start`` and ``words`` (the window), ``distance`` and ``similarity``: the best window per text and item."""
     told = stage(items.select(F.col(item_key).alias("item"), words_of(F.col(item_text)).alias("words")).where(F.size("words") > 0).withColumn("size", F.size("words")), "items")
     # Items shorter than a shingle are met by shingles of their own size.
     widths = sorted(r[0] for r in told.select(F.least("size", F.lit(size))).distinct().collect()) or [size]
     rows_of = lambda df, w, *keep: df.select(*keep, F.lit(w).alias("width"), F.posexplode(shingle_hashes(F.col("words"), w)).alias("at", "shingle"))
-    spots = reduce(DataFrame.union, [rows_of(told.where(F.least("size", F.lit(size)) == w), w, "size") for w in widths]).withColumnRenamed("at", "offset").distinct()
+    spots = reduce(DataFrame.union, [rows_of(told.where(F.least("size", F.lit(size)) == w), w, "size") for w in widths]).drop("at").distinct()
     spots = small(stage(spots, "spots"))
 
     own = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     read = own.select("id", F.xxhash64("text").alias("hash"), words_of(F.col("text")).alias("words"))
     sized = read.withColumn("n", F.size("words"))
     placed = reduce(DataFrame.union, [rows_of(sized, w, "id", "hash", "n") for w in widths])
-    start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("offset"), F.col("n") - F.col("size")))
-    windows = placed.join(spots, ["width", "shingle"]).select("id", "hash", "size", start.alias("start")).distinct()
+    # A group is one text and item size: at most a place per word of it, however often its row is repeated.
+    hits = placed.join(spots, ["width", "shingle"]).groupBy("id", "hash", "size").agg(F.max("n").alias("n"), F.array_sort(F.collect_set("at")).alias("hits"))
+    windows = hits.select("id", "hash", "size", F.explode(window_starts(F.col("hits"), F.col("n"), F.col("size"), size, similarity)).alias("start"))
     windows = stage(windows, "windows")
 
     same = (F.col("w.id").eqNullSafe(F.col("r.id"))) & (F.col("w.hash") == F.col("r.hash"))

@@ -5,12 +5,14 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
 
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from sensorloom.llm import bpe, chat, decontaminate, html_text, jaccard, pii, quality, shard, substring, warc
@@ -222,6 +224,68 @@ def test_decontamination_equals_brute_force(spark):
     assert sorted((r.doc_id, r.text) for r in kept.collect() if r.text is not None) == sorted((d, t) for d, t in rows if t is not None and (d, 0) not in want and not any((d, i) in want for i, _ in items))
 
 
+def test_decontamination_finds_changed_items_in_longer_texts(spark):
+    """Halves swapped, words inserted, deleted and repeated: every window within the radius is found, whatever its order."""
+    rnd, words = random.Random(9), vocabulary(3000)
+    items = [(i, [rnd.choice(words) for _ in range(n)]) for i, n in enumerate((60, 60, 75, 90, 110))]
+    rows = []
+    for i in range(200):
+        text = list(items[i % 5][1])
+        kind = i // 5 % 4
+        if kind == 0:
+            cut = rnd.randint(1, len(text) - 1)
+            text = text[cut:] + text[:cut]
+        for _ in range((0, rnd.randint(1, 2), 0, 1)[kind]):
+            text.insert(rnd.randrange(len(text)), rnd.choice(words))
+        for _ in range((0, 0, rnd.randint(1, 2), 1)[kind]):
+            del text[rnd.randrange(len(text))]
+        pad = [[rnd.choice(words) for _ in range(rnd.randint(0, 40))] for _ in range(2)]
+        rows.append((i, " ".join(pad[0] + text + pad[1])))
+    bag = lambda w: collections.Counter(" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4)))
+    printed = {}
+
+    def fingerprint(b):
+        total = sum(b.values())
+        for x in b:
+            printed.setdefault(x, xxhash.xxh64(x, seed=42).intdigest())
+        return sum(1 << j for j in range(64) if 2 * sum(n for x, n in b.items() if printed[x] >> j & 1) > total)
+
+    want, all_near = {}, set()
+    for d, t in rows:
+        w = t.split()
+        for i, own in items:
+            y = bag(own)
+            for at in range(max(1, len(w) - len(own) + 1)):
+                x = bag(w[at : at + len(own)])
+                common = sum((x & y).values())
+                score = common / (sum(x.values()) + sum(y.values()) - common)
+                if score >= 0.8:
+                    all_near.add((d, i))
+                    if (fingerprint(x) ^ fingerprint(y)).bit_count() <= 15:
+                        want[d, i] = max(want.get((d, i), 0), score)
+    found = decontaminate.matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string"))
+    got = {(r.doc_id, r.item): r.similarity for r in found.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert len(all_near) > 120 and len(got) >= 0.97 * len(all_near)
+    assert sum(d // 5 % 4 == 0 for d, _ in got) >= 35  # swapped parts
+
+
+def test_windows_are_all_that_can_reach_the_similarity(spark):
+    """Against every start, for many sets of places; repeated items make whole runs of windows."""
+    rnd = random.Random(3)
+    rows = []
+    for i in range(300):
+        n, size = rnd.randint(5, 60), rnd.choice((5, 9, 14, 30, 45))
+        share = rnd.choice((0.1, 0.9, 1.0))
+        rows.append((i, n, size, [a for a in range(n - 4) if rnd.random() < share]))
+    df = spark.createDataFrame(rows, "i int, n int, size int, hits array<int>")
+    got = {r.i: r.s for r in df.select("i", decontaminate.window_starts(F.col("hits"), F.col("n"), F.col("size"), 5, 0.8).alias("s")).collect()}
+    for i, n, size, hits in rows:
+        held, own = min(size, n) - 4, size - 4
+        need = math.ceil(0.8 * (held + own) / 1.8 - 1e-9)
+        assert sorted(got[i]) == [s for s in range(max(1, n - size + 1)) if sum(s <= a < s + held for a in hits) >= need], rows[i]
+
+
 # --- op6 ---------------------------------------------------------------------------------------
 
 
