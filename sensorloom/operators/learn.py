@@ -1,8 +1,8 @@
 """Classifiers on window features: catalogue, fitting, evaluation, comparison, scoring.
 
 Single trees and linear learners are MLlib's. Where MLlib has no counterpart the catalogue has its own: boosting is softmax boosting of
-histogram trees (:mod:`boost`), forests have a least node size to split and grow for all folds in one job (:mod:`forest`), the kernel SVM is a linear SVM on random Fourier features
-(Rahimi and Recht, 2007), nearest neighbours score against the bounded matrix of :mod:`knn`.
+histogram trees (:mod:`boost`), forests have a least node size to split and grow for all folds in one job (:mod:`forest`), the kernel SVM is solved
+exactly by a cascade (:mod:`svm`), nearest neighbours score against the bounded matrix of :mod:`knn`.
 """
 
 from __future__ import annotations
@@ -14,24 +14,21 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from multiprocessing.pool import ThreadPool
 
-import numpy as np
-import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    DecisionTreeClassifier, LinearSVC, LogisticRegression, OneVsRest,
+    DecisionTreeClassifier, LogisticRegression,
 )
 from pyspark.ml.feature import ElementwiseProduct, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sensorloom.functions import labels as L
 from sensorloom.functions.clean import impute, sanitize_features
 from sensorloom.functions.vectors import means_only, truncate
-from sensorloom.operators import boost, forest, knn, metrics, scaling, splits
+from sensorloom.operators import boost, forest, knn, metrics, scaling, splits, svm
 from sensorloom.session import materialise
 from sensorloom.sources import models as store
 
@@ -40,7 +37,7 @@ SEED = 42
 # The catalogue's published parameters, in catalogue order.
 CATALOGUE: dict[str, dict] = {
     "Random Forest": {"trees": 300, "depth": 25, "min_split": 5, "min_leaf": 2, "balanced": True},
-    "SVM": {"C": 10.0, "balanced": True, "components": 512},
+    "SVM": {"C": 10.0, "balanced": True},
     "KNN": {"k": 5},
     "Decision Tree": {"depth": 20, "balanced": True},
     "Gradient Boosting": {"rounds": 200, "depth": 5, "rate": 0.1},
@@ -48,7 +45,7 @@ CATALOGUE: dict[str, dict] = {
     "LightGBM": {"rounds": 300, "depth": 8, "leaves": 63, "rate": 0.1, "rows": 0.8, "columns": 0.8},
 }
 BOOSTED = ("Gradient Boosting", "LightGBM")
-GROWERS = {"Random Forest": forest, **dict.fromkeys(BOOSTED, boost)}  # own learners: all folds in one job
+GROWERS = {"Random Forest": forest, "SVM": svm, **dict.fromkeys(BOOSTED, boost)}  # own learners: all folds in one job
 DEFAULT = "Random Forest"
 SELECTOR = {"trees": 100, "depth": 15, "share_of_mean": 0.5, "min_kept": 20, "min_width": 30}
 
@@ -79,10 +76,12 @@ class Fitted:
         if "forest" in self.extra:
             return self._voted(df, forest.scorer(rows.sparkSession, self.extra["forest"], len(self.labels)))
         if "svm" in self.extra:
-            df = self.extra["svm"](df)
-        raw = _probability(df, self.name, self.extra)
+            told = df.withColumn("__v", svm.scorer(rows.sparkSession, self.extra["svm"])(vector_to_array("scaled")))
+            told = told.withColumns({"probability": F.col("__v.probability"), "votes": F.col("__v.votes")})
+            return with_prediction(told, self.labels, "votes").drop("__v", "votes", "__x", "__c", "scaled")
+        raw = vector_to_array("probability")
         order = F.array(*[F.lit(c) for c in self.labels])
-        drop = [c for c in ("__x", "__c", "scaled", "fourier", "rawPrediction") if c in df.columns]
+        drop = [c for c in ("__x", "__c", "scaled", "rawPrediction") if c in df.columns]
         return df.withColumns({
             "probability": raw, "prediction": F.element_at(order, F.col("prediction").cast("int") + 1),
         }).drop(*drop)
@@ -111,9 +110,9 @@ class Fitted:
         return spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "pos long, importance double")
 
 
-def with_prediction(scored: DataFrame, labels: list[int]) -> DataFrame:
-    """The label with the largest probability, the first of several."""
-    order, best = F.array(*[F.lit(c) for c in labels]), F.array_position("probability", F.array_max("probability"))
+def with_prediction(scored: DataFrame, labels: list[int], by: str = "probability") -> DataFrame:
+    """The label with the largest probability (or votes), the first of several."""
+    order, best = F.array(*[F.lit(c) for c in labels]), F.array_position(by, F.array_max(by))
     return scored.withColumn("prediction", F.element_at(order, best.cast("int")))
 
 
@@ -158,21 +157,6 @@ def _logistic(p: dict, weight: str | None, n: int):
     return est.setWeightCol(weight) if weight else est
 
 
-def fourier_features(width: int, components: int, gamma: float, seed: int = SEED) -> Callable[[Column], Column]:
-    """Map vectors so that dot products approximate the RBF kernel. The random matrix follows from
-    its seed and has width x components entries, whatever the data size."""
-    rng = np.random.default_rng(seed)
-    w = rng.normal(0.0, math.sqrt(2 * gamma), (width, components))
-    b = rng.uniform(0, 2 * math.pi, components)
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def lift(v: pd.Series) -> pd.Series:
-        x = np.stack(v.to_numpy()).astype(np.float64)
-        return pd.Series(list(math.sqrt(2.0 / components) * np.cos(x @ w + b)), dtype=object)
-
-    return lambda v: array_to_vector(lift(vector_to_array(v)))
-
-
 def fit(rows: DataFrame, name: str, params: dict | None = None, *, label: str = "label", row_id: str = "vec_id") -> Fitted:
     """Impute, standardise, fit. An unknown name means the default classifier."""
     name = name if name in CATALOGUE else DEFAULT
@@ -197,10 +181,8 @@ def fit(rows: DataFrame, name: str, params: dict | None = None, *, label: str =
     elif name in GROWERS:
         fitted.pipeline = Pipeline(stages=stages).fit(data)
         scaled = fitted.pipeline.transform(data)
-        kind = "boost" if name in BOOSTED else "forest"
+        kind = {"SVM": "svm", "Random Forest": "forest"}.get(name, "boost")
         fitted.extra = {kind: GROWERS[name].fit(scaled, row_id, vector_to_array("scaled"), F.col("__y"), len(labels), width, p)}
-    elif name == "SVM":
-        _fit_svm(fitted, data, stages, p, weight, n, width)
     else:
         learner = {
             "Decision Tree": lambda: _tree(p, weight),
@@ -211,46 +193,6 @@ def fit(rows: DataFrame, name: str, params: dict | None = None, *, label: str =
     return fitted
 
 
-def _fit_svm(fitted: Fitted, data: DataFrame, stages: list, p: dict, weight: str | None, n: int, width: int) -> None:
-    """Linear SVM per class on lifted features; margins become probabilities by a logistic fit."""
-    scaler = Pipeline(stages=stages).fit(data)
-    scaled = scaler.transform(data)
-    spread = scaling.vector_stats(scaled.withColumn("__a", vector_to_array("scaled")), "__a").select("std_pop").first()[0]
-    gamma = 1.0 / max(1.0, float(np.sum(np.square(spread))))  # 1 / (d * variance of the scaled matrix)
-    lifted_data = scaled.withColumn("fourier", fourier_features(width, p["components"], gamma)(F.col("scaled")))
-    base = LinearSVC(featuresCol="fourier", labelCol="__y", regParam=1.0 / (p["C"] * n), maxIter=p.get("rounds", 100), standardization=False)
-    est = OneVsRest(classifier=base, featuresCol="fourier", labelCol="__y", rawPredictionCol="rawPrediction", parallelism=3)
-    est = est.setWeightCol(weight) if weight else est
-    kept = materialise(lifted_data.select("__y", "fourier", *([weight] if weight else [])), "lifted")
-    model = est.fit(kept)
-    margins = model.transform(kept).select("__y", vector_to_array("rawPrediction").alias("m"))
-    platt = []
-    for i in range(len(fitted.labels)):
-        one = margins.select((F.col("__y") == i).cast("double").alias("y"), array_to_vector(F.array(F.get("m", F.lit(i)))).alias("f"))
-        lr = LogisticRegression(featuresCol="f", labelCol="y", maxIter=50).fit(one)
-        platt.append((float(lr.coefficients[0]), float(lr.intercept)))
-    fitted.pipeline = PipelineModel([*scaler.stages])
-    fitted.extra = {"gamma": gamma, "components": p["components"], "platt": platt, "svm": _svm_step(model, width, p["components"], gamma)}
-
-
-def _svm_step(model, width: int, components: int, gamma: float) -> Callable[[DataFrame], DataFrame]:
-    def step(scaled: DataFrame) -> DataFrame:
-        return model.transform(scaled.withColumn("fourier", fourier_features(width, components, gamma)(F.col("scaled"))))
-
-    step.model = model
-    return step
-
-
-def _probability(df: DataFrame, name: str, extra: dict) -> Column:
-    """Class probabilities in label order, also where MLlib gives margins only."""
-    if "probability" in df.columns:
-        return vector_to_array("probability")
-    table = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in extra["platt"]])
-    each = F.zip_with(vector_to_array("rawPrediction"), table, lambda m, t: 1 / (1 + F.exp(-(m * t.a + t.b))))
-    total = F.aggregate(each, F.lit(0.0), lambda a, v: a + v)
-    return F.transform(each, lambda v: v / total)
-
-
 def _in_parallel(spark: SparkSession, task: Callable, items: list, parallelism: int = 4) -> list:
     """Run independent fits as concurrent Spark jobs, results in the order of the items."""
     with ThreadPool(max(1, min(parallelism, len(items)))) as pool:
@@ -292,12 +234,12 @@ def _hits(out: DataFrame) -> DataFrame:
 
 
 def _left_out(table: DataFrame, fold: str, name: str, params: dict | None, label: str, row_id: str) -> DataFrame:
-    """(``fold``, actual, predicted) of every row by a model fitted without its fold; all models in one job. Trees need no scaling."""
+    """(``fold``, actual, predicted) of every row by a model fitted without its fold; all models in the same jobs. Trees need no scaling, kernel machines scale for themselves."""
     labels = distinct_labels(table, label)
     clean = table.withColumn("features", F.transform(sanitize_features(F.col("features")), lambda v: impute(v)))
     width = clean.agg(F.max(F.size("features"))).first()[0]
     scored = GROWERS[name].fit_leaving_out(clean, fold, row_id, F.col("features"), label_index(labels, F.col(label)), len(labels), width, {**CATALOGUE[name], **(params or {})})
-    told = with_prediction(scored, labels).select(row_id, F.col("prediction").alias("predicted"))
+    told = with_prediction(scored, labels, "votes" if "votes" in scored.columns else "probability").select(row_id, F.col("prediction").alias("predicted"))
     return table.select(row_id, F.col(fold), F.col(label).alias("actual")).join(told, row_id).drop(row_id)
 
 
@@ -454,12 +396,11 @@ def save(model: Fitted, root: str, model_id: str) -> None:
     if "forest" in model.extra:
         SparkSession.active().createDataFrame(forest.model_rows(model.extra["forest"]), forest.MODEL).write.mode("overwrite").parquet(f"{path}/trees")
     if "svm" in model.extra:
-        model.extra["svm"].model.write().overwrite().save(f"{path}/svm")
+        about_svm = json.dumps(model.extra["svm"])
+        SparkSession.active().createDataFrame([(about_svm,)], "model string").write.mode("overwrite").parquet(f"{path}/svm")
 
 
 def load(root: str, model_id: str) -> Fitted:
-    from pyspark.ml.classification import OneVsRestModel
-
     spark = SparkSession.active()
     path = store.model_path(root, model_id)
     about = json.loads(spark.read.text(f"{path}/about").first()[0])
@@ -469,6 +410,5 @@ def load(root: str, model_id: str) -> Fitted:
     if model.name == "Random Forest":
         model.extra["forest"] = forest.trees_of(spark.read.parquet(f"{path}/trees").toArrow())
     if model.name == "SVM":
-        e = model.extra
-        e["svm"] = _svm_step(OneVsRestModel.load(f"{path}/svm"), model.width, e["components"], e["gamma"])
+        model.extra["svm"] = json.loads(spark.read.parquet(f"{path}/svm").first()["model"])
     return model

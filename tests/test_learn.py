@@ -8,7 +8,7 @@ from sensorloom.operators import knn, learn, metrics
 
 RNG = np.random.default_rng(11)
 SMALL = {
-    "Random Forest": {"trees": 8, "depth": 5}, "SVM": {"components": 64, "rounds": 20}, "Decision Tree": {"depth": 5},
+    "Random Forest": {"trees": 8, "depth": 5}, "SVM": {"C": 10.0}, "Decision Tree": {"depth": 5},
     "Gradient Boosting": {"rounds": 3, "depth": 3}, "Logistic Regression": {"rounds": 50}, "LightGBM": {"rounds": 3, "depth": 3},
 }
 
