@@ -1,4 +1,4 @@
-"""The full window feature vector, from one shuffle of the samples."""
+"""The full window feature vector: samples are shuffled once, in chunks of windows, and not copied per window."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.functions.clean import sanitize_features
-from sensorloom.operators import hrv, spectral, stats
+from sensorloom.operators import hrv, spectral, stats, window_chunks
 from sensorloom.operators import windows as win
 from sensorloom.schema import HRV_STATS, SPECTRAL_STATS, TIME_STATS
 
@@ -18,15 +18,12 @@ def window_features(
 ) -> DataFrame:
     """(keys, window_id, label, features): statistics of every channel, then spectra, then HRV.
 
-    One aggregation votes on the label and collects each window's arrays. Moments and spectra share
-    one Arrow exchange; quartiles and HRV are array expressions.
+    One group job votes on the label and makes statistics and spectra from each chunk of windows; only the heart channel's windows
+    leave it as arrays, for the HRV expressions.
     """
-    vote = win.majority(F.col("label")).alias("label")
-    df = stats.window_arrays(samples, spec, channels, keys=keys, extra=[vote])
-    df = stats.with_time_stats(
-        df, channels, spec.size, constant_kurtosis=constant_kurtosis, gates={ecg: hrv.GATE_PERCENTILE},
-        also=spectral.spectrum_columns(channels))
-    df = spectral.finish_spectrum(df, channels, fs, spec.size)
+    df = window_chunks.window_table(
+        samples, spec, channels, keys=keys, constant_kurtosis=constant_kurtosis, label="label", gates={ecg: hrv.GATE_PERCENTILE},
+        arrays=[ecg], also=spectral.window_figures(fs, spec.size))
     df = hrv.hrv_features(df, ecg, F.col(f"`{stats.stat_name(ecg, '_gate')}`"), fs, distance)
     return df.select(*keys, "window_id", "label", sanitize_features(stat_vector(channels)).alias("features"))
 

@@ -49,12 +49,28 @@ def spectrum(batch: pd.Series) -> pd.DataFrame:
     """Dominant bin without DC (lowest on a tie), total power and base-2 entropy of the power."""
     if not len(batch):
         return pd.DataFrame({"bin": [], "total": [], "entropy": []})
-    mag = _power(batch)
+    bins, power, bits = figures(np.stack(batch.to_numpy()))
+    return pd.DataFrame({"bin": bins.astype("int32"), "total": power, "entropy": bits})
+
+
+def figures(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(dominant bin, total power, entropy) of each row of samples."""
+    mag = np.abs(np.fft.rfft(windows, axis=1))
     psd = mag**2
     power = psd.sum(axis=1)
     share = psd / np.where(power > 0, power, 1.0)[:, None]
     bits = np.log2(share, out=np.zeros_like(share), where=share > 0)
-    return pd.DataFrame({"bin": _top_bin(mag, power).astype("int32"), "total": power, "entropy": -(share * bits).sum(axis=1)})
+    return _top_bin(mag, power), power, -(share * bits).sum(axis=1)
+
+
+def window_figures(fs: float, size: int) -> dict:
+    """The spectral statistics as functions of window matrices, for :func:`window_chunks.window_table`."""
+
+    def of(windows: np.ndarray) -> np.ndarray:
+        bins, power, bits = figures(windows)
+        return np.stack([bins * float(fs) / float(size), power, bits])
+
+    return {"dom_freq spectral_energy spectral_entropy": of}
 
 
 def dominant_frequency(bin_: Column, fs: float, size: int) -> Column:

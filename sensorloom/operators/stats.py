@@ -1,16 +1,11 @@
-"""Time-domain statistics per window and channel.
-
-A window's samples are collected once, as one bounded array per channel; statistics come from it.
-"""
+"""Time-domain statistics per window and channel, and windows as one bounded array per channel."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from sensorloom.operators import window_chunks
 from sensorloom.operators import windows as win
 from sensorloom.schema import TIME_STATS
 
@@ -52,78 +47,12 @@ def quantile(ordered: Column, q: float, size: int) -> Column:
     return low + (F.get(ordered, F.lit(lo + 1)) - low) * F.lit(at - lo)
 
 
-MOMENTS = T.StructType([T.StructField(f, T.DoubleType()) for f in ("mean", "std", "skew", "kurtosis")] + [T.StructField("flat", T.BooleanType())])
-
-
-@F.pandas_udf(MOMENTS)
-def moments(batch: pd.Series) -> pd.DataFrame:
-    """Mean and population shape of equally long windows, by the one-pass update of central moments
-    (Pébay, 2008): one step per sample position, for all windows of the batch at once.
-
-    Equal values leave exact zeros. On full-rate windows (14 channels, 3,500 samples) the
-    aggregate functions were measured about seven times slower: their buffers outgrow generated code.
-    """
-    if not len(batch):
-        return pd.DataFrame({f.name: pd.Series([], dtype="bool" if f.name == "flat" else "float64") for f in MOMENTS.fields})
-    columns = np.ascontiguousarray(np.stack(batch.to_numpy()).T)
-    total, mean, m2, m3, m4 = (np.zeros(columns.shape[1]) for _ in range(5))
-    for n, x in enumerate(columns, start=1):
-        total += x
-        delta = x - mean
-        part = delta / n
-        mean += part
-        m2 += delta * (delta - part)
-        d2, p2 = delta * delta, part * part
-        m3 = m3 - 3.0 * part * m2 + delta * (d2 - p2)
-        m4 = m4 - 4.0 * part * m3 - 6.0 * p2 * m2 + delta * (delta * d2 - part * p2)
-    size = len(columns)
-    flat = m2 == 0
-    safe = np.where(flat, 1.0, m2)
-    return pd.DataFrame({
-        "mean": total / size, "std": np.sqrt(m2 / size), "skew": np.where(flat, 0.0, np.sqrt(size) * m3 / np.sqrt(safe * safe * safe)),
-        "kurtosis": size * m4 / (safe * safe) - 3.0, "flat": flat,
-    })
-
-
-def with_time_stats(
-    arrays: DataFrame, channels: list[str], size: int, *, constant_kurtosis: float = CONSTANT_KURTOSIS,
-    gates: dict[str, float] | None = None, also: dict[str, Column] | None = None,
-) -> DataFrame:
-    """Add eight statistics per channel. ``gates`` adds further quantiles as ``{channel}__gate``,
-    ``also`` further Python columns, so that they share one exchange with the moments.
-
-    The sorted array and the moments are read several times, so the optimizer keeps them as columns.
-    """
-    def name(c: str, s: str) -> Column:
-        return F.col(f"`{stat_name(c, s)}`")
-
-    df = arrays.withColumns({
-        **{stat_name(c, "__sorted"): F.sort_array(F.col(f"`{c}`")) for c in channels},
-        **{stat_name(c, "__mom"): moments(F.col(f"`{c}`")) for c in channels},
-        **(also or {}),
-    })
-    cols = {}
-    for c in channels:
-        ordered, mom = name(c, "__sorted"), name(c, "__mom")
-        for stat in ("mean", "std", "skew"):
-            cols[stat_name(c, stat)] = mom[stat]
-        cols[stat_name(c, "kurtosis")] = F.when(mom["flat"], F.lit(constant_kurtosis)).otherwise(mom["kurtosis"])
-        cols[stat_name(c, "min")] = F.get(ordered, F.lit(0))
-        cols[stat_name(c, "max")] = F.get(ordered, F.lit(size - 1))
-        cols[stat_name(c, "median")] = quantile(ordered, 0.5, size)
-        cols[stat_name(c, "iqr")] = quantile(ordered, 0.75, size) - quantile(ordered, 0.25, size)
-        if gates and c in gates:
-            cols[stat_name(c, "_gate")] = quantile(ordered, gates[c], size)
-    return df.withColumns(cols).drop(*[stat_name(c, h) for c in channels for h in ("__sorted", "__mom")])
-
-
 def time_stats(
     samples: DataFrame, spec: win.WindowSpec, channels: list[str], *, keys: list[str] = ["subject_id"],
-    constant_kurtosis: float = CONSTANT_KURTOSIS, extra: list[Column] | None = None,
+    constant_kurtosis: float = CONSTANT_KURTOSIS,
 ) -> DataFrame:
-    """Wide frame: eight statistics per channel and window."""
-    arrays = window_arrays(samples, spec, channels, keys=keys, extra=extra)
-    return with_time_stats(arrays, channels, spec.size, constant_kurtosis=constant_kurtosis).drop(*channels)
+    """Wide frame: eight statistics per channel and window, from chunks of windows."""
+    return window_chunks.window_table(samples, spec, channels, keys=keys, constant_kurtosis=constant_kurtosis)
 
 
 def long_stats(stats: DataFrame, channels: list[str], ids: list[str], names: list[str] = TIME_STATS) -> DataFrame:
