@@ -8,6 +8,7 @@ from sensorloom.operators import learn
 from sensorloom.plans import bindings as B
 from sensorloom.plans.registry import query, with_ctes
 from sensorloom.session import shared_dir
+from sensorloom.sources import snapshots
 from sensorloom.streaming import logs, rate_limit, run, score, windows
 
 LIMIT, PER_SECONDS = 3, 3600.0
@@ -46,10 +47,11 @@ def st_rate_limit_batch(spark, sf_dir):
 SELECT tracking_id, seq, stress_ratio FROM (
   SELECT *, row_number() OVER (PARTITION BY tracking_id ORDER BY captured_at DESC, seq DESC) AS r FROM hist) WHERE r <= 7"""))
 def st_history(spark, sf_dir):
-    path = shared_dir(spark, "history")
-    entries = _entries(spark, sf_dir)
-    run.drain_batches(entries, logs.history_writer(path, 7), "history")
-    return logs.read_history(spark, path, entries.schema, 7).select("tracking_id", "seq", "stress_ratio")
+    """Batches into a history under snapshots, compacted, read merged."""
+    root = shared_dir(spark, "history")
+    run.drain_batches(_entries(spark, sf_dir), lambda batch, number: snapshots.append(batch, root, number, buckets=4, days=1000), "history")
+    snapshots.compact(spark, root, 7)
+    return snapshots.read(spark, root, 7).select("tracking_id", "seq", "stress_ratio")
 
 
 def _entries(spark, sf_dir):
