@@ -8,6 +8,7 @@ from sensorloom.operators import history
 from sensorloom.plans import bindings as B
 from sensorloom.plans.projections import RESULT_BODY, RESULT_SQL, sig_results
 from sensorloom.plans.registry import query, with_ctes
+from sensorloom.schema import HISTORY_CAP
 from sensorloom.session import shared_dir
 from sensorloom.sources import recordings, snapshots, stores
 
@@ -94,14 +95,14 @@ def src_history_append(spark, sf_dir):
 SELECT tracking_id, seq, strftime(captured_at, '%Y-%m-%d') AS day, stress_ratio FROM (
   SELECT *, row_number() OVER (PARTITION BY tracking_id ORDER BY captured_at DESC, seq DESC) AS r FROM hist
   WHERE tracking_id = (SELECT tracking_id FROM hist GROUP BY tracking_id ORDER BY count(*) DESC, tracking_id LIMIT 1))
-WHERE r <= 12 AND captured_at BETWEEN TIMESTAMP '1996-03-17 00:00:00' AND TIMESTAMP '1998-03-17 23:59:59'"""))
+WHERE r <= 200 AND captured_at BETWEEN TIMESTAMP '1996-03-17 00:00:00' AND TIMESTAMP '1998-03-17 23:59:59'"""))
 def src_history_by_id(spark, sf_dir):
-    """Of the id with the most entries the newest twelve, of these the ones within bounds, from a bucketed table under snapshots: its bucket's files are opened."""
+    """Of the id with the most entries the newest entries up to the cap, of these the ones within bounds, from a bucketed table under snapshots: its bucket's files are opened."""
     df, root = B.hist(spark, sf_dir), shared_dir(spark, "by-id")
     snapshots.append(df.where("seq % 10 <> 0"), root, 0, buckets=8, days=365)
     snapshots.append(df.where("seq % 10 = 0"), root, 1)
     top = df.groupBy("tracking_id").count().orderBy(F.desc("count"), "tracking_id").first()["tracking_id"]
-    found = snapshots.read(spark, root, 12, top, "1996-03-17T00:00:00", "1998-03-17T23:59:59")
+    found = snapshots.read(spark, root, HISTORY_CAP, top, "1996-03-17T00:00:00", "1998-03-17T23:59:59")
     return found.select("tracking_id", "seq", F.date_format("captured_at", "yyyy-MM-dd").alias("day"), "stress_ratio")
 
 
