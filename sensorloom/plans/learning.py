@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sensorloom.functions import labels as L
-from sensorloom.operators import graph, importance, knn, learn, metrics, scaling, splits
+from sensorloom.operators import graph, importance, knn, knn_join, learn, metrics, scaling, splits
 from sensorloom.plans import bindings as B
 from sensorloom.plans.graphs import KEYS, nodes_and_edges
 from sensorloom.plans.registry import query, with_ctes
@@ -66,6 +66,18 @@ def ml_knn(spark, sf_dir):
     return votes.select("vec_id", "v.prediction", F.round(F.get("v.probability", F.lit(1)), 6).alias("p_stress"))
 
 
+@query("ml_knn_join", with_ctes([B.FEAT_SQL, """near AS (
+  SELECT q.vec_id AS qid, t.vec_id AS tid, t.label, list_distance([x * 0.5 FOR x IN q.features], t.features) AS d,
+         row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance([x * 0.5 FOR x IN q.features], t.features), t.vec_id) AS r
+  FROM feat q JOIN feat t ON true)"""], "SELECT qid, r AS \"rank\", tid, label, round(d, 6) AS distance FROM near WHERE r <= 5"))
+def ml_knn_join(spark, sf_dir):
+    """The five nearest of all vectors to every vector, halved, by the exact join, whatever the number of training rows."""
+    feat = B.feat(spark, sf_dir)
+    halved = feat.select("vec_id", F.transform("features", lambda v: v * 0.5).alias("features"))
+    found = knn_join.neighbours(feat, halved, 5)
+    return found.select("qid", "rank", "tid", "label", F.round("distance", 6).alias("distance"))
+
+
 _CENTROID_SQL = with_ctes([B.FEAT_SQL,
     "long AS (SELECT vec_id, label, unnest(features) AS v, generate_subscripts(features, 1) - 1 AS pos FROM feat)",
     "s AS (SELECT pos, avg(v) AS m, stddev_pop(v) AS sd FROM long GROUP BY pos)"], """

@@ -95,7 +95,7 @@ def src_history_append(spark, sf_dir):
 SELECT tracking_id, seq, strftime(captured_at, '%Y-%m-%d') AS day, stress_ratio FROM (
   SELECT *, row_number() OVER (PARTITION BY tracking_id ORDER BY captured_at DESC, seq DESC) AS r FROM hist
   WHERE tracking_id = (SELECT tracking_id FROM hist GROUP BY tracking_id ORDER BY count(*) DESC, tracking_id LIMIT 1))
-WHERE r <= 200 AND captured_at BETWEEN TIMESTAMP '1996-03-17 00:00:00' AND TIMESTAMP '1998-03-17 23:59:59'"""))
+WHERE r <= 500 AND captured_at BETWEEN TIMESTAMP '1996-03-17 00:00:00' AND TIMESTAMP '1998-03-17 23:59:59'"""))
 def src_history_by_id(spark, sf_dir):
     """Of the id with the most entries the newest entries up to the cap, of these the ones within bounds, from a bucketed table under snapshots: its bucket's files are opened."""
     df, root = B.hist(spark, sf_dir), shared_dir(spark, "by-id")
