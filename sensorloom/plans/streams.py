@@ -9,7 +9,7 @@ from sensorloom.plans import bindings as B
 from sensorloom.plans.registry import query, with_ctes
 from sensorloom.session import shared_dir
 from sensorloom.sources import snapshots
-from sensorloom.streaming import logs, rate_limit, run, score, windows
+from sensorloom.streaming import latest, logs, rate_limit, run, score, windows
 
 LIMIT, PER_SECONDS = 3, 3600.0
 
@@ -73,6 +73,18 @@ def st_latest_result(spark, sf_dir):
     return logs.read_latest(spark, path, entries.schema, now, 365 * 86400).select("tracking_id", "seq", "stress_ratio")
 
 
+@query("st_latest_state", with_ctes([B.HIST_SQL], """
+SELECT tracking_id, seq, stress_ratio FROM (
+  SELECT *, row_number() OVER (PARTITION BY tracking_id ORDER BY captured_at DESC, seq DESC) AS r, max(captured_at) OVER () AS last FROM hist)
+WHERE r = 1 AND captured_at + INTERVAL 365 DAY > last - INTERVAL 10 MINUTE"""))
+def st_latest_state(spark, sf_dir):
+    """What the keyed state still holds when the watermark has passed the last entry: newest results younger than a year."""
+    checkpoint = shared_dir(spark, "latest-ck")
+    with latest.provider(spark):
+        run.drain(latest.latest_stream(_entries(spark, sf_dir), "tracking_id", "captured_at", 365 * 86400), "latest", checkpoint)
+    return latest.read(spark, checkpoint, "captured_at").select("tracking_id", "seq", "stress_ratio")
+
+
 @query("st_windows", with_ctes([*B.SIG_LABEL_CTES,
     "st AS (SELECT subject_id, window_id, avg(x) AS mean, stddev_pop(x) AS sd, min(x) AS lo, max(x) AS hi FROM sig_win GROUP BY subject_id, window_id)"], """
 SELECT subject_id, window_id, round(mean, 6) AS mean, round(sd, 6) AS std, lo AS "min", hi AS "max", label
