@@ -29,6 +29,11 @@ def _output(key: T.StructField) -> T.StructType:
     ])
 
 
+def _order(t: np.ndarray, ties: np.ndarray) -> np.ndarray:
+    """Places by (time, tie). The ties get their own type back, so that numpy sorts them."""
+    return np.lexsort((np.array(ties.tolist()), t.astype("int64")))
+
+
 def _windows(key: str, subject, first: int, x: np.ndarray, label: np.ndarray, spec: WindowSpec) -> pd.DataFrame | None:
     """All complete windows over ordered samples, or None."""
     n = (len(x) - spec.size) // spec.step + 1 if len(x) >= spec.size else 0
@@ -68,7 +73,7 @@ def window_stream(
             for c, name in zip(columns, _BUFFER):
                 c.append(pdf[name].to_numpy())
         t, ties, x, lab = (np.concatenate([p for p in c if len(p)]) if any(map(len, c)) else np.zeros(0) for c in columns)
-        order = np.array(sorted(range(len(t)), key=lambda i: (t[i], ties[i])), dtype=int)
+        order = _order(t, ties)
         t, ties, x, lab = t[order].astype("int64"), ties[order], x[order].astype(float), lab[order].astype(int)
         passed = state.getCurrentWatermarkMs()
         final = int(np.searchsorted(t // 1000, passed, "right"))
@@ -99,7 +104,7 @@ def open_windows(spark: SparkSession, checkpoint: str, spec: WindowSpec, key: T.
     def finish(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             for r in pdf.itertuples(index=False):
-                order = np.array(sorted(range(len(r.t)), key=lambda i: (r.t[i], r.tie[i])), dtype=int)
+                order = _order(np.asarray(r.t), np.asarray(r.tie, dtype=object))
                 done = _windows(key.name, getattr(r, key.name), r.next_window, np.asarray(r.x, float)[order], np.asarray(r.label, int)[order], spec)
                 if done is not None:
                     yield done
