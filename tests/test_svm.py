@@ -161,3 +161,25 @@ def test_sample_is_bounded_and_a_lone_class_scores_one(spark):
     assert len(kept) == 30
     lone = svm.fit(df.where("label = 1"), "vec_id", F.col("features"), F.lit(0), 1, 4, {"C": 1.0})
     assert {tuple(r.v.probability) for r in df.select(svm.scorer(spark, lone)(F.col("features")).alias("v")).collect()} == {(1.0,)}
+
+
+def test_large_machines_are_solved_in_blocks(monkeypatch):
+    """A kernel beyond the cache is computed in few matrix products, and the optimum is the one of single rows."""
+    x, y = data(600, classes=2, shift=0.4)
+    x, sign, cap = x.astype(np.float64), np.where(y == 0, 1, -1), np.full(600, 10.0)
+    want = svm.solve(x, sign, cap, 0.3)
+    calls, kernel = [], svm.kernel
+    monkeypatch.setattr(svm, "kernel", lambda *a: calls.append(1) or kernel(*a))
+    monkeypatch.setattr(svm, "CACHE_BYTES", 1 << 16)
+    monkeypatch.setattr(svm, "WORKING", 60)
+    for start in (None, np.where(want[0] > 0, want[0] / 2, 0.0)):
+        alpha, bias, objective = svm.solve(x, sign, cap, 0.3, start)
+        assert abs(objective - want[2]) < 1e-3 * want[2] and abs(bias - want[1]) < 0.01
+        assert broken(kernel(x, x, 0.3), sign, cap, alpha, bias) < 2 * svm.GAP
+        assert len(calls) < 600
+        calls.clear()
+
+
+def test_a_piece_holds_the_whole_sample():
+    """Pieces of a machine of support vectors would each solve nearly all of it."""
+    assert svm.PIECE >= svm.MAX_ROWS
