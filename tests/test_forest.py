@@ -126,3 +126,13 @@ def test_the_sample_is_bounded(spark):
     x, y = rows_of(90, 4)
     trees = forest.fit(table(spark, x, y), "vec_id", F.col("features"), F.col("number"), 3, 4, {"trees": 2, "depth": 25, "min_leaf": 10, "most": 30})
     assert all((t["feature"] < 0).sum() <= 3 for t in trees)
+
+
+def test_trees_grown_side_by_side_are_those_grown_alone():
+    """Each tree has its own random numbers and order of nodes, whatever grows beside it."""
+    x, y = rows_of(700, 6)[:2]
+    edges = boost.bin_edges(x)
+    bins, p = boost.binned(x, edges), {**forest.DEFAULTS, "depth": 25, "min_split": 5, "min_leaf": 2, "balanced": True}
+    for tree, number in zip(forest.grow_all(bins, edges, y, 3, p, [3, 4, 9]), [3, 4, 9]):
+        alone = forest.grow(bins, edges, y, 3, p, number)
+        assert len(tree["feature"]) > 50 and all(np.array_equal(tree[c], alone[c]) for c in alone)
