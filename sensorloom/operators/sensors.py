@@ -27,9 +27,9 @@ def to_long(samples: DataFrame, ids: list[str], channels: list[str], name: str =
 
 
 def with_band(readings: DataFrame, dim: DataFrame, *, sensor: str = "sensor", value: str = "value") -> DataFrame:
-    """Judge long readings by their sensor's thresholds. Spark broadcasts the dimension
-    if it is small."""
-    limits = dim.select(F.col("sensor").alias(sensor), "high", "critical")
+    """Judge long readings by their sensor's thresholds. The dimension has a row per sensor, and Spark doesn't know
+    the size of one made from local rows: it is marked, or all readings of a sensor would meet in one task."""
+    limits = F.broadcast(dim.select(F.col("sensor").alias(sensor), "high", "critical"))
     return (
         readings.join(limits, sensor, "left")
         .withColumn("band", bands.sensor_band(F.col(value), F.col("high"), F.col("critical")))

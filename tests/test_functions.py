@@ -139,3 +139,14 @@ def test_shared_folder_is_required_on_a_cluster():
     assert is_local("local[4]") and is_local("local") and not is_local("yarn")
     with pytest.raises(ValueError):
         shared_dir(Session, "x")
+
+
+def test_sensor_thresholds_are_broadcast(spark):
+    """Joined by sensor, all readings of a sensor would be read by one task."""
+    from sensorloom.operators import sensors
+
+    readings = spark.range(40).select(F.when(F.col("id") < 99, "Chest EDA").alias("sensor"), F.col("id").cast("double").alias("value"))
+    judged = sensors.with_band(readings, schema.sensor_dim(spark))
+    plan = judged._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert {r.band: r["count"] for r in judged.groupBy("band").count().collect()} == {"baseline": 6, "stress": 1, "critical": 33}
