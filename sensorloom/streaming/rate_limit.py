@@ -10,6 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sensorloom.operators import ordering
 from sensorloom.schema import RATE_LIMIT_REQUESTS, RATE_LIMIT_SECONDS
+from sensorloom.session import spread
 
 MICROS = 1_000_000
 
@@ -47,7 +50,7 @@ def limit_batch(
     """Add ``allowed`` to a table of requests.
 
     A pause of a whole window forgets everything before it, so a key falls into independent
-    sessions, and these are the groups.
+    sessions. A task holds a batch of rows and the last admitted times, however long a session is.
     """
     window = int(window_sec * MICROS)
     t = requests.withColumn("__t", F.unix_micros(F.col(ts).cast("timestamp")))
@@ -61,12 +64,26 @@ def limit_batch(
     fields = [f for f in requests.schema.fields]
     schema = T.StructType([*fields, T.StructField("allowed", T.BooleanType())])
 
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, ignore_index=True)
-        passed, _ = admit(pdf["__t"].to_numpy(), [], limit, window)
-        return pdf.assign(allowed=passed)[[f.name for f in schema.fields]]
-
-    return session.groupBy(key, "__session").applyInPandas(decide, schema)
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, recent = None, []  # the last row's key and session, and what its session admitted last
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = [batch.column(c) for c in (key, "__session")]
+            ids = [pa.concat_arrays([i[:1] if last is None else b, i]) for i, b in zip(ids, last or ids)]
+            codes = [pc.fill_null(i.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False) for i in ids]
+            begins = (codes[0][1:] != codes[0][:-1]) | (codes[1][1:] != codes[1][:-1])
+            t = pc.fill_null(batch.column("__t"), 0).to_numpy(zero_copy_only=False)  # a row without a time is a session of its own
+            cuts = np.unique(np.concatenate([[0], np.flatnonzero(begins), [len(t)]]))
+            passed = np.zeros(len(t), bool)
+            for start, end in zip(cuts, cuts[1:]):
+                passed[start:end], recent = admit(t[start:end], [] if begins[start] else recent, limit, window)
+            last = [i[-1:] for i in ids]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), pa.array(passed)], names=schema.names)
+
+    # A session may be as long as its key: it passes through the task in order, a batch at a time.
+    dealt = spread(session, [key, "__session"]).sortWithinPartitions(key, "__session", "__t", F.col(request_id).asc_nulls_last())
+    return dealt.mapInArrow(decide, schema)
 
 
 def limit_stream(

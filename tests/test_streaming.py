@@ -60,6 +60,26 @@ def test_limit_batch(spark):
     assert {r.id: r.allowed for r in cut.collect()} == want
 
 
+def test_limit_batch_holds_a_batch_of_a_long_session(spark):
+    """One session over many Arrow batches, more keys, null keys, null times and repeated rows; no session is a group of its own in Python."""
+    rows = [(k, i * 7 % 400 * 1_000_000, i) for i in range(400) for k in ("a", "b", None)] + [("a", None, 500), ("a", None, 501), ("b", 3_000_000, 0)]
+    df = spark.createDataFrame(rows, "key string, t long, id long").select("key", F.timestamp_micros("t").alias("ts"), "id")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        out = rate_limit.limit_batch(df, "key", "ts", "id", limit=2, window_sec=30, target_bytes=1 << 62)
+        got = sorted(((r.key or "", -1 if r.ts is None else r.ts.timestamp(), r.id), r.allowed) for r in out.collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = []
+    for k in ("a", "b", None):
+        mine = sorted((t // 1_000_000, i) for key, t, i in rows if key == k and t is not None)
+        want += [((k or "", float(t), i), ok) for (t, i), ok in zip(mine, brute_limit([t for t, _ in mine], 2, 30))]
+    want += [(("a", -1, 500), True), (("a", -1, 501), True)]
+    assert got == sorted(want)
+    assert "FlatMapGroups" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def staged(df, path, order, parts):
     """Write consecutive slices as files, oldest first."""
     import time
