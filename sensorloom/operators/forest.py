@@ -13,6 +13,7 @@ number. A tree depends on its number and the seed only, not on the job it was ma
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,7 @@ from sensorloom.operators.boost import BINS, MAX_ROWS, PIECE_ROWS, bin_edges, bi
 BLOCK_TREES = 10  # grown in one task, and sent to one group of rows where each fold has its own forest
 SMALL_ROWS = 100  # nodes of up to so many rows are searched together, one of each tree
 DEFAULTS = {"min_split": 2, "min_leaf": 1, "balanced": False, "bootstrap": True, "seed": 42}
+SENT = "fold string, block int, tree int, packed binary"
 MODEL = "fold string, block int, tree int, feature array<int>, border array<float>, left array<int>, chance array<double>, gains array<double>"
 
 
@@ -154,6 +156,34 @@ def leaf_chances(tree: dict[str, np.ndarray], x: np.ndarray, classes: int) -> np
     return tree["chance"].reshape(-1, classes)[at]
 
 
+def pack(tree: dict[str, np.ndarray]) -> bytes:
+    """A tree without loss: borders and places of inner nodes only, equal chances once, compressed."""
+    inner = tree["feature"] >= 0
+    chance = tree["chance"].reshape(len(inner), -1)
+    kinds, which = np.unique(chance, axis=0, return_inverse=True)
+    parts = [np.array([len(inner), *kinds.shape, len(tree["gains"])], np.int64), tree["feature"], tree["border"][inner], tree["left"][inner],
+             which.ravel().astype(np.int32), kinds, tree["gains"]]
+    return zlib.compress(b"".join(p.tobytes() for p in parts), 1)
+
+
+def unpack(packed: bytes) -> dict[str, np.ndarray]:
+    data, at = zlib.decompress(packed), 0
+
+    def take(n: int, kind) -> np.ndarray:
+        nonlocal at
+        found = np.frombuffer(data, kind, n, at)
+        at += found.nbytes
+        return found
+
+    n, kinds, classes, width = take(4, np.int64).tolist()
+    feature = take(n, np.int32)
+    inner = feature >= 0
+    border, left = np.zeros(n, np.float32), np.zeros(n, np.int32)
+    border[inner], left[inner] = take(int(inner.sum()), np.float32), take(int(inner.sum()), np.int32)
+    which = take(n, np.int32)
+    return {"feature": feature, "border": border, "left": left, "chance": take(kinds * classes, np.float64).reshape(kinds, classes)[which].ravel(), "gains": take(width, np.float64)}
+
+
 def trees_of(table: pa.Table) -> list[dict[str, np.ndarray]]:
     """The trees of a table of :data:`MODEL` rows in the order of their numbers."""
     table = table.sort_by("tree")
@@ -170,8 +200,8 @@ def importances(trees: list[dict[str, np.ndarray]]) -> np.ndarray:
 # --- On tables ---------------------------------------------------------------------------------
 
 
-def _grown(rows: DataFrame, names: DataFrame, data, classes: int, params: dict) -> DataFrame:
-    """:data:`MODEL` rows of one forest for each ``fold`` of ``names``: of the sample's rows outside it, of all for null."""
+def _grown(rows: DataFrame, names: DataFrame, data, classes: int, params: dict, packed: bool = False) -> DataFrame:
+    """:data:`MODEL` rows (:data:`SENT` rows if ``packed``) of one forest for each ``fold`` of ``names``: of the sample's rows outside it, of all for null."""
     p = {**DEFAULTS, **params}
     sent = rows.sparkSession.sparkContext.broadcast(data)
     schema = T._parse_datatype_string(MODEL)
@@ -189,20 +219,24 @@ def _grown(rows: DataFrame, names: DataFrame, data, classes: int, params: dict)
                     raise ValueError(f"no labelled rows outside fold {name}")
                 numbers = list(range(block * BLOCK_TREES, min(p["trees"], (block + 1) * BLOCK_TREES)))
                 for number, tree in zip(numbers, grow_all(bins, edges, own, classes, p, numbers)):
+                    if packed:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([[name], [block], [number], [pack(tree)]], [pa.string(), pa.int32(), pa.int32(), pa.binary()])], names=["fold", "block", "tree", "packed"])
+                        continue
                     cells = [[name], [block], [number], *([tree[c]] for c in ("feature", "border", "left", "chance", "gains"))]
                     kinds = [pa.string(), pa.int32(), pa.int32(), *(pa.list_(k) for k in (pa.int32(), pa.float32(), pa.int32(), pa.float64(), pa.float64()))]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds)], names=schema.names)
 
     blocks = -(-p["trees"] // BLOCK_TREES)
     asked = names.select("fold", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    return asked.repartition(max(1, min(names.count() * blocks, 4096))).sortWithinPartitions("fold", "block").mapInArrow(run, MODEL)
+    return asked.repartition(max(1, min(names.count() * blocks, 4096))).sortWithinPartitions("fold", "block").mapInArrow(run, SENT if packed else MODEL)
 
 
 def fit(rows: DataFrame, row_id: str, features: Column, number: Column, classes: int, width: int, params: dict) -> list[dict[str, np.ndarray]]:
-    """The trees of one forest. Their size is bounded by the sample's."""
+    """The trees of one forest. Their size is bounded by the sample's, and they reach the driver packed."""
     data = sample(rows, row_id, features, number, width, most=params.get("most", MAX_ROWS))
     names = rows.sparkSession.createDataFrame([(None,)], "fold string")
-    return trees_of(_grown(rows, names, data, classes, params).toArrow())
+    grown = _grown(rows, names, data, classes, params, packed=True).toArrow().sort_by("tree")
+    return [unpack(b.as_py()) for b in grown.column("packed")]
 
 
 def model_rows(trees: list[dict[str, np.ndarray]]) -> list[tuple]:
@@ -212,14 +246,14 @@ def model_rows(trees: list[dict[str, np.ndarray]]) -> list[tuple]:
 
 def scorer(spark, trees: list[dict[str, np.ndarray]], classes: int):
     """A column of class probabilities from a column of features. The trees are sent to the tasks once."""
-    sent = spark.sparkContext.broadcast(trees)
+    sent = spark.sparkContext.broadcast([pack(t) for t in trees])
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def score(v: pd.Series) -> pd.Series:
         x = np.stack(v.to_numpy()).astype(np.float32) if len(v) else np.zeros((0, 1), np.float32)
         total = np.zeros((len(x), classes))
-        for tree in sent.value:
-            total += leaf_chances(tree, x, classes)
+        for tree in sent.value:  # one tree at a time is unpacked
+            total += leaf_chances(unpack(tree), x, classes)
         return pd.Series(list(total / len(sent.value)), dtype=object)
 
     return score

@@ -136,3 +136,23 @@ def test_trees_grown_side_by_side_are_those_grown_alone():
     for tree, number in zip(forest.grow_all(bins, edges, y, 3, p, [3, 4, 9]), [3, 4, 9]):
         alone = forest.grow(bins, edges, y, 3, p, number)
         assert len(tree["feature"]) > 50 and all(np.array_equal(tree[c], alone[c]) for c in alone)
+
+
+@pytest.mark.parametrize("classes", [1, 3])
+def test_packed_trees_are_the_same_and_small(classes):
+    x, y = rows_of(3000, 8, shift=0.1)[:2]
+    edges = boost.bin_edges(x)
+    tree = forest.grow(boost.binned(x, edges), edges, y % classes, classes, {**forest.DEFAULTS, "depth": 25, "min_split": 5, "min_leaf": 2}, 1)
+    packed = forest.pack(tree)
+    again = forest.unpack(packed)
+    assert list(again) == list(tree) and all(np.array_equal(tree[c], again[c]) and tree[c].dtype == again[c].dtype for c in tree)
+    if classes > 1:
+        assert 3 * len(packed) < sum(tree[c].nbytes for c in tree)
+
+
+def test_one_forest_reaches_the_driver_packed(spark, monkeypatch):
+    x, y = rows_of(60, 4)[:2]
+    seen, grown = [], forest._grown
+    monkeypatch.setattr(forest, "_grown", lambda *a, **kw: seen.append(grown(*a, **kw)) or seen[-1])
+    assert len(forest.fit(table(spark, x, y), "vec_id", F.col("features"), F.col("number"), 3, 4, {"trees": 12, "depth": 5})) == 12
+    assert [f.name for f in seen[0].schema.fields] == ["fold", "block", "tree", "packed"]
