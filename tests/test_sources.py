@@ -139,3 +139,18 @@ def test_csv_and_json_sinks(spark, tmp_path):
 def test_registry(spark, tmp_path):
     rows = spark.createDataFrame([("a", 159), ("b", 64)], "model_id string, n_features int")
     assert [r.model_id for r in models.fresh_models(rows).collect()] == ["a"]
+
+
+def test_recordings_are_filtered_and_joined_once(spark, monkeypatch):
+    """Numbering a guessed size in blocks would run the whole path up to it three times."""
+    from sensorloom.operators import filters
+    from sensorloom.sources import recordings
+
+    runs = spark.sparkContext.accumulator(0)
+    plain = filters.zero_phase
+    monkeypatch.setattr(filters, "zero_phase", lambda *a: (runs.add(1), plain(*a))[1])
+    chest = spark.range(200).select((F.col("id") % 2).cast("string").alias("subject_id"), F.floor(F.col("id") / 2).alias("idx"), F.sin("id").alias("Chest ECG"), F.lit(1).alias("label"))
+    wrist = spark.range(60).select((F.col("id") % 2).cast("string").alias("subject_id"), F.floor(F.col("id") / 2).alias("idx"), F.cos("id").alias("Wrist EDA"))
+    out = recordings.labelled_samples(chest.repartition(2), [wrist])
+    assert out.count() == 200
+    assert runs.value == 2
