@@ -102,13 +102,15 @@ def neighbours(
     full = np.flatnonzero(count > 0)
     first_of, last_of = low[full], high[full]
 
-    @F.pandas_udf("array<int>")
-    def visits(d: pd.Series, r: pd.Series) -> pd.Series:
+    @F.pandas_udf("a int, b int")  # two places, not a list: a query may visit as many blocks as there are
+    def visits(d: pd.Series, r: pd.Series) -> pd.DataFrame:
         reach = r.to_numpy() + SLACK * (1 + d.to_numpy())
         a, b = np.searchsorted(last_of, d.to_numpy() - reach, "left"), np.searchsorted(first_of, d.to_numpy() + reach, "right")
-        return pd.Series([full[i:j].tolist() for i, j in zip(a, b)], dtype=object)
+        return pd.DataFrame({"a": a.astype("int32"), "b": b.astype("int32")})
 
-    visiting = with_radius.select("qid", "v", F.explode(visits("d", "r")).alias("block"))
+    stretch = with_radius.withColumn("s", visits("d", "r")).where("s.a < s.b")
+    block = F.element_at(F.array(*[F.lit(int(b)) for b in full]), F.col("at") + 1)
+    visiting = stretch.select("qid", "v", F.explode(F.sequence("s.a", F.col("s.b") - 1)).alias("at")).select("qid", "v", block.alias("block"))
     asked = {r.block: r.s for r in visiting.groupBy("block").agg(_shares(F.count(F.lit(1)), block_rows).alias("s")).collect()}
     shares = [asked.get(b, 1) for b in range(len(count))]
     last_part = F.element_at(F.array(*[F.lit(p - 1) for p in parts]), F.col("block") + 1)

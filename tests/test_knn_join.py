@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sensorloom.operators import knn_join
 
@@ -49,3 +50,17 @@ def test_plan_has_no_cross_join_and_prunes(spark, monkeypatch):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
     assert found(df) == brute(x, x[::5], 3)
+
+
+def test_a_query_names_its_blocks_by_two_numbers(spark, monkeypatch):
+    """Lists of blocks, made in Python for a batch of queries, grow with the table; the neighbours are those of brute force over many blocks."""
+    kinds, plain = [], F.pandas_udf
+    monkeypatch.setattr(knn_join.F, "pandas_udf", lambda kind: kinds.append(kind) or plain(kind))
+    x = np.random.default_rng(3).normal(size=(90, 3)).round(2)
+    x[50:60] = 0.5  # a block of equal rows, and empty ones
+    df = spark.createDataFrame([(i, i % 2, v.tolist()) for i, v in enumerate(x)], "vec_id long, label int, features array<double>")
+    got = knn_join.neighbours(df, df, 3, block_rows=4).orderBy("qid", "rank").collect()
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    want = [t for row in d for t in np.argsort(row, kind="stable")[:3]]
+    assert [r.tid for r in got] == want
+    assert kinds and not any("array" in str(k) for k in kinds)
