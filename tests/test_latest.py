@@ -23,7 +23,7 @@ def test_newest_rows_live_and_expired_ones_leave_the_state(spark, tmp_path):
 
 
 def test_an_id_costs_rows_not_data_frames():
-    """With a data frame for each id, and four more calls to its state, 600,000 ids took most of an hour."""
+    """No data frame for each id, and no more calls to its state than it needs."""
     from pyspark.sql import Row
     from pyspark.sql import types as T
 
