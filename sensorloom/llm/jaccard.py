@@ -5,9 +5,10 @@
    The shingles of a set are ordered by that estimate; two similar sets share one of their first
    n - ceil(share * n) + 1. Only those prefix shingles are shuffled, and only those that two different sets have
    form groups.
-3. In a group, pairs pass the length filter, the positional filter (common shingles before and after the
-   shared one can't exceed the shorter rest) and the suffix filter: a 512-bit parity map per set, whose Hamming
-   distance never exceeds the symmetric difference.
+3. A pair is formed at the first prefix shingle that its sets share: not where they also share one of the few shared shingles before it,
+   as an earlier group has the pair then. There it passes the length filter, the positional filter (the common shingles can't exceed the
+   shorter rest from that place on, nor those of the rest that any other set shares) and the suffix filter: a 512-bit parity
+   map per set, whose Hamming distance never exceeds the symmetric difference. So a pair costs about one row, however many shingles it shares.
 4. First each set is verified against its nearest earlier neighbour over all its groups, which already
    links most of what belongs together. Then every remaining pair that passes the filters and whose ends are not yet
    in one component is verified, once. Finer parity maps decide most pairs before whole sets are fetched. Pairs inside a component aren't formed, so a group of
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorloom.llm.common import drop, hash_words, mix, packed, pieces, split_words, stage
@@ -41,6 +42,7 @@ PERCENT = 90
 CELL_BITS = 16
 MAP_BITS = 512
 BLOCK = 1024
+EARLIER = 4  # shared shingles before a row's own that the row knows
 CHUNK = 400_000  # pairs filtered at a time
 SEED = np.uint64(0x2545F4914F6CDD1D)
 
@@ -170,7 +172,8 @@ def _candidates(batches: Iterator[pa.RecordBatch], percent: int, nearest: bool)
             yield held
 
     for rows in groups():
-        token, low, high, block, sig, n, place, label = (rows.column(c).to_numpy() for c in ("token", "low", "high", "block", "sig", "n", "place", "label"))
+        token, low, high, block, sig, n, place, left, label = (rows.column(c).to_numpy() for c in ("token", "low", "high", "block", "sig", "n", "place", "left", "label"))
+        earlier = np.stack([rows.column(f"earlier_{k}").to_numpy() for k in range(EARLIER)], 1)
         maps = np.frombuffer(b"".join(rows.column("map").to_pylist()), np.uint64).reshape(len(token), MAP_BITS // 64)
         first = np.ones(len(token), bool)
         first[1:] = (token[1:] != token[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
@@ -178,6 +181,8 @@ def _candidates(batches: Iterator[pa.RecordBatch], percent: int, nearest: bool)
         start = np.flatnonzero(first)[group]
         # Sorted by group and size: the earlier sets that are not too small for a set begin at ``least``.
         n = n.astype(np.int64)
+        # Of two sets, the one whose prefix ends first has all common shingles among its shared ones and those behind its prefix.
+        common = left + -(-percent * n // 100) - 1
         span = int(n.max(initial=0)) + 1
         least = np.maximum(start, np.searchsorted(group * span + n, group * span + -(-percent * n // 100)))
         many = np.arange(len(token)) - least
@@ -192,9 +197,15 @@ def _candidates(batches: Iterator[pa.RecordBatch], percent: int, nearest: bool)
             total = n[late] + n[early]
             need = -(-percent * total // (100 + percent))
             after = np.minimum(n[late] - place[late], n[early] - place[early])
-            fit = (np.minimum(place[late], place[early]) + after >= need) & (label[late] != label[early]) & (sig[late] != sig[early])
+            fit = (after >= need) & (np.maximum(common[late], common[early]) >= need) & (label[late] != label[early]) & (sig[late] != sig[early])
             fit &= (low[late] == high[late]) | (block[late] != block[early])
             late, early, total, need = late[fit], early[fit], total[fit], need[fit]
+            known = earlier[late]
+            fit = np.ones(len(late), bool)
+            for k in range(EARLIER):
+                other = earlier[early, k]
+                fit &= ~((known == other[:, None]).any(axis=1) & (other != 0))
+            late, early, total, need = late[fit], early[fit], total[fit], need[fit]
             apart = np.bitwise_count(maps[late] ^ maps[early]).sum(axis=1, dtype=np.int64)
             fit = apart <= total - 2 * need
             late, early, apart = late[fit], early[fit], apart[fit]
@@ -221,14 +232,18 @@ def candidates(groups: DataFrame, labels: DataFrame | None, percent: int, neares
 
 
 def blocked(prefixes: DataFrame, described: DataFrame) -> DataFrame:
-    """Prefix rows of shingles that several sets have, with parity maps, each in all block pairs of its group."""
+    """Prefix rows of shingles that several sets have, with parity maps, each in all block pairs of its group. ``left``: how many such rows the
+    set has from this one on; ``earlier_0`` and on: the shingles of the rows just before, 0 for none."""
     shared = prefixes.groupBy("token").agg(F.min("sig").alias("least"), F.max("sig").alias("most")).where("least < most").select("token")
     rows = stage(prefixes.join(shared, "token", "left_semi").dropDuplicates(["token", "sig"]), "shared")
     hot = rows.groupBy("token").count().where(F.col("count") > BLOCK).select("token", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     maps = described.where("sig IS NOT NULL AND n > 0").groupBy("sig").agg(F.first("map").alias("map"))
-    told = rows.join(hot, "token", "left").join(maps, "sig").withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("sig"), F.col("blocks"))).otherwise(0).cast("int"))
+    own = Window.partitionBy("sig")
+    earlier = [f"earlier_{k}" for k in range(EARLIER)]
+    ranked = rows.select("*", (F.count("*").over(own) - F.row_number().over(own.orderBy("place")) + 1).alias("left"), *[F.lag("token", k + 1, 0).over(own.orderBy("place")).alias(c) for k, c in enumerate(earlier)])
+    told = ranked.join(hot, "token", "left").join(maps, "sig").withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("sig"), F.col("blocks"))).otherwise(0).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1))
-    return told.withColumn("other", other).select("token", "sig", "n", "place", "map", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    return told.withColumn("other", other).select("token", "sig", "n", "place", "left", *earlier, "map", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
 
 
 # --- Verification and components ---------------------------------------------------------------

@@ -10,6 +10,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
@@ -180,6 +181,28 @@ def test_jaccard_in_large_groups_of_near_copies(spark, monkeypatch):
     assert got == brute_components(rows, 3, 90)
 
 
+def test_jaccard_forms_a_pair_about_once_however_many_shingles_it_shares(spark):
+    rnd, words, percent = random.Random(33), vocabulary(3000, 33), 80
+    base, rows = [rnd.choice(words) for _ in range(600)], []
+    for i in range(24):  # near copies, about half of their pairs below the share
+        at, many = rnd.randrange(500), 12 + 24 * (i % 2)
+        rows.append((i, " ".join(base[:at] + [rnd.choice(words) for _ in range(many)] + base[at + many :])))
+    rows += [(100 + i, " ".join(rnd.choice(words) for _ in range(600))) for i in range(10)]
+    own = spark.createDataFrame(rows, "id long, text string").coalesce(1)
+    described = own.mapInArrow(lambda b: jaccard._describe(b, 3), "id long, sig long, n int, map binary, cell int, df long").where("cell IS NULL").cache()
+    frequency = np.zeros(1 << jaccard.CELL_BITS, np.int64)
+    groups = jaccard.blocked(own.mapInArrow(lambda b: jaccard._prefixes(b, 3, percent, frequency), "token long, sig long, n int, place int"), described).cache()
+    name = {r.sig: r.id for r in described.collect()}
+    sets = {i: {tuple(t.split()[k : k + 3]) for k in range(len(t.split()) - 2)} for i, t in rows}
+    want = {(i, k) for i in sets for k in sets if i < k and 100 * len(sets[i] & sets[k]) >= percent * len(sets[i] | sets[k])}
+    ordered = groups.withColumn("label", F.col("sig")).coalesce(1).sortWithinPartitions("token", "low", "high", "n", "sig")
+    formed = [tuple(sorted((name[r.a], name[r.b]))) for r in ordered.mapInArrow(lambda b: jaccard._candidates(b, percent, False), "a long, b long, apart int").collect()]
+    assert 50 < len(want) < 24 * 23 // 2 and want <= set(formed)
+    assert len(formed) <= 2 * len(set(formed))
+    nearest = ordered.mapInArrow(lambda b: jaccard._candidates(b, percent, True), "a long, b long, apart int")
+    assert nearest.count() <= 24 * 23
+
+
 # --- op5 ---------------------------------------------------------------------------------------
 
 
