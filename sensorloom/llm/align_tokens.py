@@ -78,9 +78,6 @@ class Aligner:
         self.marks = {m for m in MARKS if not re.search(rf"[A-Za-zÀ-ÖØ-öø-ÿ]{re.escape(m)}", joined) and self.b.id_to_piece(self.b.piece_to_id(m)) == m}
         self.known = Remembered(REMEMBER)
 
-    def parts(self, chunk: str) -> list[str]:
-        return [chunk[:-1], chunk[-1]] if chunk[-1] in self.marks and PLAIN.fullmatch(chunk, 0, len(chunk) - 1) else [chunk]
-
     def a_ends(self, chunk: str, ids: list[int], spans: list[tuple[int, int]]) -> list[int]:
         if chunk.isascii():
             return [end for _, end in spans]
@@ -106,34 +103,58 @@ class Aligner:
 
     def a_tokens(self, parts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
         """A's ids and byte ends of each part. A space and letters are one match of A's splitter, so their bytes go to the merges as they are."""
-        model, plain = self.a.model, [PLAIN.fullmatch(p) is not None for p in parts]
+        tokenize, space, plain = self.a.model.tokenize, self.shown[32], [PLAIN.fullmatch(p) is not None for p in parts]
         others = [p for p, known in zip(parts, plain) if not known]
         encoded = iter(zip(others, self.a.encode_batch(others, add_special_tokens=False)))
         for part, known in zip(parts, plain):
-            if known:
-                shown = part.encode().decode("latin-1").translate(self.shown)
-                found, raw = model.tokenize(shown), shown.encode()  # spans in bytes of what is shown, a character to a byte of the part
-                yield [t.id for t in found], [t.offsets[1] - 1 if part.isascii() else len(raw[: t.offsets[1]].decode()) for t in found]
-            else:
+            if not known:
                 part, e = next(encoded)
                 yield e.ids, self.a_ends(part, e.ids, e.offsets)
+            elif part.isascii():
+                found = tokenize(space + part[1:])  # spans in bytes of what is shown: two for the space
+                yield [t.id for t in found], [t.offsets[1] - 1 for t in found]
+            else:
+                shown = part.encode().decode("latin-1").translate(self.shown)
+                found, raw = tokenize(shown), shown.encode()  # a character is shown for each byte of the part
+                yield [t.id for t in found], [len(raw[: t.offsets[1]].decode()) for t in found]
 
-    def learn(self, parts: list[str]) -> Iterator[bytes]:
-        """Of each part, packed: the number of A's tokens; A's ids, B's ids, A's ends, B's ends. No ids if bytes are lost."""
-        b_side = self.b.encode([p[1:] for p in parts], return_type="proto", num_threads=1)
-        a_bytes, b_bytes = self.a_bytes, self.b_bytes
-        for part, (a_ids, a_ends), b in zip(parts, self.a_tokens(parts), b_side):
-            raw = part.encode()
+    def b_tokens(self, parts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
+        """B's ids and byte ends of each part."""
+        for part, b in zip(parts, self.b.encode([p[1:] for p in parts], return_type="proto", num_threads=1)):
             if len(part) == 1:  # a space at the end, for which B gets nothing, or a mark
-                b_ids, b_ends = [self.b.piece_to_id(SPACE if part == " " else part)], [1]
+                yield [self.b.piece_to_id(SPACE if part == " " else part)], [1]
             else:
                 found = list(b.pieces)
-                b_ids = [p.id for p in found]
-                b_ends = self.b_ends(b_ids, [p.end for p in found])
-            if b"".join([b_bytes[i] for i in b_ids]) == raw == b"".join([a_bytes[i] for i in a_ids]):
-                yield array("I", [len(a_ids), *a_ids, *b_ids, *a_ends, *b_ends]).tobytes()
-            else:
-                yield bytes(4)
+                ids = [p.id for p in found]
+                yield ids, self.b_ends(ids, [p.end for p in found])
+
+    def learn(self, parts: list[str]) -> Iterator[bytes]:
+        """Of each part, packed: the number of A's tokens; A's ids, B's ids, A's ends, B's ends. No ids if bytes are lost."""
+        raw = [p.encode() for p in parts]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        kept, sides = np.ones(len(parts), bool), []
+        for tokens, decoded in ((self.a_tokens, self.a_bytes), (self.b_tokens, self.b_bytes)):
+            n, ids, ends = array("q"), array("I"), array("I")
+            for own, at in tokens(parts):
+                n.append(len(own))
+                ids.extend(own)
+                ends.extend(at)
+            found = [decoded[i] for i in ids]
+            n, length = np.frombuffer(n, np.int64), np.append(0, np.cumsum(np.fromiter(map(len, found), np.int64, len(found))))
+            last = np.cumsum(n)
+            if not (np.array_equal(length[last] - length[last - n], size) and b"".join(found) == b"".join(raw)):
+                kept &= [b"".join(found[s:e]) == r for s, e, r in zip((last - n).tolist(), last.tolist(), raw)]
+            sides.append((n, np.frombuffer(ids, np.uint32), np.frombuffer(ends, np.uint32)))
+        (n_a, a_ids, a_ends), (n_b, b_ids, b_ends) = sides
+        width = 1 + 2 * (n_a + n_b)
+        first = np.cumsum(width) - width
+        out = np.empty(int(width.sum()), np.uint32)
+        out[first] = n_a
+        for n, values, start in ((n_a, a_ids, first + 1), (n_b, b_ids, first + 1 + n_a), (n_a, a_ends, first + 1 + n_a + n_b), (n_b, b_ends, first + 1 + 2 * n_a + n_b)):
+            out[np.arange(len(values)) + np.repeat(start - (np.cumsum(n) - n), n)] = values
+        data = out.tobytes()
+        for s, e, whole in zip((4 * first).tolist(), (4 * (first + width)).tolist(), kept.tolist()):
+            yield data[s:e] if whole else bytes(4)
 
     def slice(self, texts: pa.Array) -> "Aligned":
         """The tokens of a slice of texts (no nulls)."""
@@ -142,11 +163,15 @@ class Aligner:
         first[1:] = rows[1:] != rows[:-1]
         chunks = pc.if_else(pa.array(first), pc.binary_join_element_wise(" ", chunks, ""), chunks)
         codes, distinct = word_codes(chunks)
-        number: dict[str, int] = {}
-        split = [[number.setdefault(p, len(number)) for p in self.parts(c)] for c in distinct.to_pylist()]
-        lengths = np.fromiter(map(len, split), np.int64, len(split))
-        part_codes = gather(np.array([p for ps in split for p in ps], np.int64), lengths, codes)
-        return Aligned(self.known.get(list(number), self.learn), part_codes, np.repeat(rows, lengths[codes]), len(texts))
+        marked = pc.match_substring_regex(distinct, f"^{PLAIN.pattern}[{re.escape(''.join(sorted(self.marks)))}]$") if self.marks else pa.array(np.zeros(len(distinct), bool))
+        heads = pc.if_else(marked, pc.utf8_slice_codeunits(distinct, 0, -1), distinct)
+        part_of, parts = word_codes(pa.concat_arrays([heads, pc.utf8_slice_codeunits(distinct.filter(marked), -1)]))
+        two = marked.to_numpy(zero_copy_only=False)
+        lengths = 1 + two.astype(np.int64)
+        flat = np.empty(int(lengths.sum()), np.int64)
+        flat[np.cumsum(lengths) - lengths] = part_of[: len(distinct)]
+        flat[np.cumsum(lengths)[two] - 1] = part_of[len(distinct) :]
+        return Aligned(self.known.get(parts.to_pylist(), self.learn), gather(flat, lengths, codes), np.repeat(rows, lengths[codes]), len(texts))
 
 
 class Aligned:
@@ -179,7 +204,9 @@ class Aligned:
         """The links of the distinct parts, as A id << 32 | B id, and their number per part. Every stretch between two neighbouring
         ends lies in one token of each side, and tokens that overlap do so in one stretch."""
         a, b = self.places()
-        ends = np.union1d(a, b)
+        ends = np.concatenate([a, b])
+        ends.sort(kind="stable")
+        ends = _distinct(ends)
         pairs = self.a_ids[np.searchsorted(a, ends)] << 32 | self.b_ids[np.searchsorted(b, ends)]
         part = np.searchsorted(np.cumsum(self.size), ends)  # an end belongs to the first part that reaches it
         return pairs, np.bincount(part, minlength=len(self.size)).astype(np.int64)
@@ -187,13 +214,19 @@ class Aligned:
     def group_texts(self) -> pa.Array:
         """``a1,a2|b1;a3|b2,b3`` per text: the ids of each group, in order."""
         a, b = self.places()
-        both = np.intersect1d(a, b)
+        both = _distinct(a[b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a]) if len(b) else b
         sides = [_joined(pa.array(ids).cast(pa.string()), np.searchsorted(at, both, "right"), ",") for ids, at in ((self.a_ids, a), (self.b_ids, b))]
         groups = pc.binary_join_element_wise(*sides, "|")
         of_parts = _joined(groups, np.searchsorted(both, np.cumsum(self.size), "right"), ";")
         return _joined(of_parts.take(pa.array(self.codes)), np.searchsorted(self.rows, np.arange(1, self.n + 1)), ";")
 
 
+def _distinct(ascending: np.ndarray) -> np.ndarray:
+    new = np.ones(len(ascending), bool)
+    new[1:] = ascending[1:] != ascending[:-1]
+    return ascending[new]
+
+
 def _joined(strings: pa.Array, ends: np.ndarray, separator: str) -> pa.Array:
     """Join the strings up to each end, beginning at the end before."""
     at = pa.array(np.concatenate([[0], ends]).astype(np.int32))
