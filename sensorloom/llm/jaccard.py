@@ -3,16 +3,17 @@
 1. Every text becomes a set of distinct shingles (64-bit hashes). Equal sets are one node from here on.
 2. Rare first: document frequencies are estimated in 65,536 cells (a fixed size, summed over all documents).
    The shingles of a set are ordered by that estimate; two similar sets share one of their first
-   n - ceil(share * n) + 1. Only those prefix shingles are shuffled, and only those that two different sets have
-   form groups.
+   n - ceil(share * n) + 1. Only those prefix shingles are shuffled, once and by shingle, and a row stays only where the next smaller or next larger
+   set with its shingle is of a size that fits: rows without such a neighbour are in no pair.
 3. A pair is formed at the first prefix shingle that its sets share: not where they also share one of the few shared shingles before it,
    as an earlier group has the pair then. There it passes the length filter, the positional filter (the common shingles can't exceed the
    shorter rest from that place on, nor those of the rest that any other set shares) and the suffix filter: a 512-bit parity
    map per set, whose Hamming distance never exceeds the symmetric difference. So a pair costs about one row, however many shingles it shares.
 4. First each set is verified against its nearest earlier neighbour over all its groups, which already
    links most of what belongs together. Then every remaining pair that passes the filters and whose ends are not yet
-   in one component is verified, once. Finer parity maps decide most pairs before whole sets are fetched. Pairs inside a component aren't formed, so a group of
+   in one component is verified, once. Finer parity maps decide most pairs before whole sets are fetched, and only sets of pairs left are. Pairs inside a component aren't formed, so a group of
    thousands of copies costs rows in proportion to its size, while no link between components is lost.
+   Texts, and rows of groups, that end in no pair are left behind by a bitmap of the wanted names before anything of them is shuffled.
 5. Components come from alternating large-star and small-star steps.
 
 A group of more than ``BLOCK`` sets is cut into blocks, and block pairs are spread over tasks. Verification is exact on
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorloom.llm.common import drop, hash_words, mix, packed, pieces, split_words, stage
@@ -44,6 +45,8 @@ MAP_BITS = 512
 BLOCK = 1024
 EARLIER = 4  # shared shingles before a row's own that the row knows
 CHUNK = 400_000  # pairs filtered at a time
+BITS = 16  # of a bitmap, for each wanted value
+MOST_BITS = 1 << 25  # beyond two million wanted values more than one in 16 others pass it
 SEED = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -138,14 +141,15 @@ def _prefixes(batches: Iterator[pa.RecordBatch], words: int, percent: int, frequ
         )
 
 
-def _packed_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+def _contents(batches: Iterator[pa.RecordBatch], words: int, fine: bool) -> Iterator[pa.RecordBatch]:
+    """The shingles of each set, or with ``fine`` its finer parity map."""
     for piece in pieces(batches, "text"):
         owner, shingles = shingle_sets(piece.column("text"), words)
         size, sig = signatures(owner, shingles, piece.num_rows)
         meant = pa.array(sig.view(np.int64) == piece.column("sig").to_numpy(zero_copy_only=False))
-        ends = np.append(0, np.cumsum(size))
-        columns = [piece.column("sig"), pa.array(size.astype(np.int32)), packed(shingles, ends), fine_maps(owner, shingles, size)]
-        yield pa.RecordBatch.from_arrays([c.filter(meant) for c in columns], names=["sig", "n", "items", "fine"])
+        content = fine_maps(owner, shingles, size) if fine else packed(shingles, np.append(0, np.cumsum(size)))
+        columns = [piece.column("sig"), pa.array(size.astype(np.int32)), content]
+        yield pa.RecordBatch.from_arrays([c.filter(meant) for c in columns], names=["sig", "n", "content"])
 
 
 # --- Candidates --------------------------------------------------------------------------------
@@ -231,28 +235,54 @@ def candidates(groups: DataFrame, labels: DataFrame | None, percent: int, neares
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def blocked(prefixes: DataFrame, described: DataFrame) -> DataFrame:
-    """Prefix rows of shingles that several sets have, with parity maps, each in all block pairs of its group. ``left``: how many such rows the
-    set has from this one on; ``earlier_0`` and on: the shingles of the rows just before, 0 for none."""
-    shared = prefixes.groupBy("token").agg(F.min("sig").alias("least"), F.max("sig").alias("most")).where("least < most").select("token")
-    rows = stage(prefixes.join(shared, "token", "left_semi").dropDuplicates(["token", "sig"]), "shared")
-    hot = rows.groupBy("token").count().where(F.col("count") > BLOCK).select("token", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+def blocked(prefixes: DataFrame, described: DataFrame, percent: int = 0) -> DataFrame:
+    """Prefix rows of shingles that several sets have whose sizes allow the share, with parity maps, each in all block pairs of its group. ``left``: how many such
+    rows the set has from this one on; ``earlier_0`` and on: the shingles of the rows just before, 0 for none."""
+    group = Window.partitionBy("token")
+    sized = group.orderBy("n", "sig")
+    size = F.col("n").cast("long")
+    fits = (100 * F.lag(size).over(sized) >= percent * size) | (100 * size >= percent * F.lead(size).over(sized))
+    met = prefixes.withColumn("fits", fits).where("fits").withColumn("before", F.lag("sig").over(sized)).where("before IS NULL OR before != sig")
+    fitting = met.withColumn("fits", fits).where("fits").withColumn("held", F.count("*").over(group))
+    rows = stage(fitting.select("token", "sig", "n", "place", "held"), "shared")
     maps = described.where("sig IS NOT NULL AND n > 0").groupBy("sig").agg(F.first("map").alias("map"))
     own = Window.partitionBy("sig")
     earlier = [f"earlier_{k}" for k in range(EARLIER)]
-    ranked = rows.select("*", (F.count("*").over(own) - F.row_number().over(own.orderBy("place")) + 1).alias("left"), *[F.lag("token", k + 1, 0).over(own.orderBy("place")).alias(c) for k, c in enumerate(earlier)])
-    told = ranked.join(hot, "token", "left").join(maps, "sig").withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("sig"), F.col("blocks"))).otherwise(0).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1))
+    left = (F.count("*").over(own) - F.row_number().over(own.orderBy("place")) + 1).cast("int")
+    ranked = rows.select("*", left.alias("left"), *[F.lag("token", k + 1, 0).over(own.orderBy("place")).alias(c) for k, c in enumerate(earlier)])
+    blocks = F.ceil(F.col("held") / BLOCK).cast("int")
+    told = ranked.join(maps, "sig").withColumn("blocks", blocks).withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("sig"), F.col("blocks"))).otherwise(0).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     return told.withColumn("other", other).select("token", "sig", "n", "place", "left", *earlier, "map", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
 
 
+def narrowed(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose ``column`` may be a value of ``wanted``, a written table of one column: all that are, and few others. The bitmap
+    of the wanted hashes is bounded and goes to the tasks, so that the rows need not be shuffled to find out."""
+    bits = min(MOST_BITS, 1 << max(16, (BITS * wanted.count()).bit_length()))
+
+    def cell(name: str) -> Column:
+        return F.pmod(F.xxhash64(name), F.lit(bits))
+
+    cells = wanted.select(cell(wanted.columns[0]).alias("_cell"))
+    words = cells.groupBy(F.shiftright("_cell", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_cell % 64 AS int))")).alias("_bits"))
+    own = rows.withColumn("_cell", cell(column)).withColumn("_word", F.shiftright("_cell", 6))
+    return own.join(F.broadcast(words), "_word").where(F.bit_get("_bits", (F.col("_cell") % 64).cast("int")) == 1).select(*rows.columns)
+
+
 # --- Verification and components ---------------------------------------------------------------
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose whole sets are similar enough. The fine parity maps come first, as they are a small part of the sets."""
+def beside(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    left = sets.select(F.col("sig").alias("a"), F.col("content").alias("left"), F.col("n").alias("n_left"))
+    right = sets.select(F.col("sig").alias("b"), F.col("content").alias("right"), F.col("n").alias("n_right"))
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right", "n_left", "n_right")
+
+
+def close(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose fine parity maps allow the share. The maps are a small part of the sets."""
 
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "left"):
             total = piece.column("n_left").to_numpy().astype(np.int64) + piece.column("n_right").to_numpy()
             most = total - 2 * -(-percent * total // (100 + percent))
@@ -267,6 +297,12 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             mask = pa.array(np.array(apart, np.int64) <= most)
             yield pa.RecordBatch.from_arrays([piece.column("a").filter(mask), piece.column("b").filter(mask)], names=["a", "b"])
 
+    return stage(beside(pairs, maps).mapInArrow(check, "a long, b long"), "close")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose whole sets are similar enough."""
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "left"):
             fit = []
@@ -277,13 +313,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             mask = pa.array(fit, pa.bool_())
             yield pa.RecordBatch.from_arrays([piece.column("a").filter(mask), piece.column("b").filter(mask)], names=["a", "b"])
 
-    def beside(pairs: DataFrame, column: str) -> DataFrame:
-        left = sets.select(F.col("sig").alias("a"), F.col(column).alias("left"), F.col("n").alias("n_left"))
-        right = sets.select(F.col("sig").alias("b"), F.col(column).alias("right"), F.col("n").alias("n_right"))
-        return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right", "n_left", "n_right")
-
-    near = stage(beside(pairs, "fine").mapInArrow(close, "a long, b long"), "close")
-    return stage(beside(near, "items").mapInArrow(check, "a long, b long").distinct(), "links")
+    return stage(beside(pairs, sets).mapInArrow(check, "a long, b long").distinct(), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -312,26 +342,38 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         frequency[r["cell"]] = r["df"]
     described = described.where("cell IS NULL")
     known = own.where("id IS NOT NULL")
-    prefixes = stage(known.mapInArrow(lambda b: _prefixes(b, words, percent, frequency), "token long, sig long, n int, place int"), "prefixes")
-    groups = stage(blocked(prefixes, described.where("id IS NOT NULL")), "groups")
-    drop(prefixes)
+    prefixes = known.mapInArrow(lambda b: _prefixes(b, words, percent, frequency), "token long, sig long, n int, place int")
+    groups = stage(blocked(prefixes, described.where("id IS NOT NULL"), percent), "groups")
 
     nearest = stage(candidates(groups, None, percent, True), "nearest")
     involved = nearest.select(F.col("a").alias("sig")).union(nearest.where("b IS NOT NULL").select("b")).distinct()
-    chosen = described.where("id IS NOT NULL").join(involved, "sig").groupBy("sig").agg(F.min("id").alias("id"))
-    sets = stage(known.join(chosen, "id").select("sig", "text").mapInArrow(lambda b: _packed_sets(b, words), "sig long, n int, items binary, fine binary"), "sets")
-    links = verified(nearest.where("b IS NOT NULL"), sets, percent)
+    chosen = stage(described.where("id IS NOT NULL").join(involved, "sig").groupBy("sig").agg(F.min("id").alias("id")), "chosen")
+
+    def contents(wanted: DataFrame, fine: bool, kind: str) -> DataFrame:
+        texts = narrowed(known, "id", wanted.select("id")).join(wanted, "id").select("sig", "text")
+        return stage(texts.mapInArrow(lambda b: _contents(b, words, fine), "sig long, n int, content binary"), kind)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        near = close(pairs, fine, percent)
+        ends = near.select(F.col("a").alias("sig")).union(near.select("b")).distinct()
+        sets = contents(stage(chosen.join(ends, "sig"), "wanted"), False, "sets")
+        links = verified(near, sets, percent)
+        drop(sets)
+        return links
+
+    fine = contents(chosen, True, "fine")
+    links = linked(nearest.where("b IS NOT NULL"))
     labels = components(links)
-    more = verified(stage(candidates(groups, labels, percent, False), "rest"), sets, percent)
+    rest = stage(candidates(narrowed(groups, "sig", chosen.select("sig")), labels, percent, False), "rest")
     drop(groups)
-    drop(sets)
+    more = linked(rest)
     if not more.isEmpty():
         labels = components(links.union(more))
 
     member = described.select("id", "n", "sig").join(labels, "sig", "left").select("id", "n", F.coalesce("label", "sig").alias("label"))
-    linked = F.col("id").isNotNull() & (F.col("n") > 0)
+    named = F.col("id").isNotNull() & (F.col("n") > 0)
     # Written, so that the join below may split a component that holds a large part of all rows.
-    least = materialise(member.where(linked).groupBy("label").agg(F.min("id").alias("component")), "least")
-    joined = member.where(linked).join(least, "label").select("id", "n", "component")
-    alone = member.where(~linked).select("id", "n", F.col("id").alias("component"))
+    least = materialise(member.where(named).groupBy("label").agg(F.min("id").alias("component")), "least")
+    joined = member.where(named).join(least, "label").select("id", "n", "component")
+    alone = member.where(~named).select("id", "n", F.col("id").alias("component"))
     return joined.union(alone).select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))

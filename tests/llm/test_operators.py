@@ -203,6 +203,46 @@ def test_jaccard_forms_a_pair_about_once_however_many_shingles_it_shares(spark):
     assert nearest.count() <= 24 * 23
 
 
+def test_jaccard_keeps_only_rows_texts_and_sets_that_may_be_in_a_pair(spark, monkeypatch):
+    rnd, words = random.Random(5), vocabulary(9000, 5)
+
+    def some(n):
+        return [rnd.choice(words) for _ in range(n)]
+
+    head, tail, rows = some(400), some(120), []
+    for i in range(20):  # a rare passage in two texts whose sizes don't fit
+        passage = some(60)
+        rows += [(i, " ".join(head + passage)), (50 + i, " ".join(head + passage + tail))]
+    passage, one, two = some(700), some(2300), some(2300)  # the rarest shingles in common, too long for the small parity maps, but no link
+    rows += [(100, " ".join(passage + one)), (101, " ".join(passage + two))] + [(102 + i, " ".join((one, two)[i % 2])) for i in range(4)]
+    text = some(80)
+    rows += [(200, " ".join(text)), (201, " ".join(text[:-1] + ["end"]))]
+    rnd.shuffle(rows)
+    written, stage = {}, jaccard.stage
+
+    def counted(df, kind):
+        out = stage(df, kind)
+        written[kind] = written.get(kind, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "stage", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.link_components(docs).collect())
+    assert got == brute_components(rows, 3, 90)
+    assert written["shared"] <= sum(n - -(-90 * n // 100) + 1 for i, n, _ in got if i in (100, 101, 200, 201))
+    assert written["sets"] == 2
+
+
+def test_narrowed_keeps_all_wanted_and_few_others(spark):
+    ids = [None, *range(20_000)]
+    rows = spark.createDataFrame([(i, f"t{i}") for i in ids] + [(7, "again")], "id long, text string")
+    wanted = spark.createDataFrame([(i,) for i in (7, 7, *range(100, 20_000, 50))], "id long")
+    got = [(r.id, r.text) for r in jaccard.narrowed(rows, "id", wanted).collect()]
+    assert {(7, "t7"), (7, "again")} <= set(got) and {i for i, _ in got} >= {r.id for r in wanted.collect()}
+    assert len(got) == len(set(got)) < 3_000
+    assert jaccard.narrowed(rows, "id", wanted.where("id < 0")).count() == 0
+
+
 # --- op5 ---------------------------------------------------------------------------------------
 
 
