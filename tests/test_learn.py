@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sensorloom.operators import knn, learn, metrics
+from sensorloom.operators import boost, forest, knn, learn, metrics, svm
 
 RNG = np.random.default_rng(11)
 SMALL = {
@@ -150,3 +150,43 @@ def test_single_row_gets_a_probability(spark):
     wide = df.withColumn("features", F.concat("features", F.array(F.lit(9.0), F.lit(float("nan")))))
     a = [x.prediction for x in model.score(wide, "vec_id").orderBy("vec_id").collect()]
     assert a == [x.prediction for x in model.score(df, "vec_id").orderBy("vec_id").collect()]
+
+
+@pytest.mark.parametrize("name", ["Random Forest", "SVM", "Gradient Boosting", "KNN"])
+def test_models_come_from_all_rows(spark, name, monkeypatch):
+    """Bounds of a sample that nobody asked for change nothing, in a single fit and in those of folds."""
+    df, _, _ = blobs(spark, 150, spread=2.0)
+    whole = {r.vec_id: r.probability for r in learn.fit(df, name, SMALL.get(name)).score(df, "vec_id").collect()}
+    folds = learn.cross_validate(df, name, SMALL.get(name), 3).orderBy("fold").collect()
+    monkeypatch.setattr(boost, "MAX_CELLS", 80)
+    monkeypatch.setattr(knn, "MAX_TRAIN_ROWS", 20)
+    again = {r.vec_id: r.probability for r in learn.fit(df, name, SMALL.get(name)).score(df, "vec_id").collect()}
+    assert all(np.allclose(again[i], whole[i]) for i in whole)
+    assert learn.cross_validate(df, name, SMALL.get(name), 3).orderBy("fold").collect() == folds
+
+
+@pytest.mark.parametrize("name", ["Random Forest", "SVM"])
+def test_models_that_grow_stay_off_the_driver(spark, name, monkeypatch):
+    """Repeated and null ids are scored row by row, and neither trees nor support vectors are fetched."""
+    df, _, y = blobs(spark, 60)
+    odd = df.withColumn("vec_id", F.when(F.col("vec_id") >= 6, F.col("vec_id") % 5))
+    for module in (forest, svm):
+        monkeypatch.setattr(module, "fetched", lambda *a: pytest.fail("the model came to the driver"))
+    model = learn.fit(df, name, SMALL[name])
+    got = model.score(odd.withColumn("was", F.col("label")), "vec_id").collect()
+    assert len(got) == 60 and sum(r.vec_id is None for r in got) == 6 and np.mean([r.prediction == r.was for r in got]) > 0.85
+    if name == "Random Forest":
+        assert sum(r.importance for r in model.importances().collect()) == pytest.approx(1)
+
+
+def test_models_score_streams_as_they_score_tables(spark, tmp_path):
+    from sensorloom.streaming import run
+
+    df, _, _ = blobs(spark, 60)
+    df.coalesce(1).write.parquet(str(tmp_path / "rows"))
+    for name in ("Random Forest", "SVM"):
+        model = learn.fit(df, name, SMALL[name])
+        stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "rows"))
+        got = run.drain(model.score(stream, "vec_id").select("vec_id", "prediction", "probability"), f"t-{name[:3]}")
+        want = {r.vec_id: r for r in model.score(df, "vec_id").collect()}
+        assert all(r.prediction == want[r.vec_id].prediction and np.allclose(r.probability, want[r.vec_id].probability) for r in got.collect())
